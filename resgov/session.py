@@ -21,6 +21,9 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.parquet.inferTimestampNTZ.enabled": "true",
+    # call-site capture for error messages costs several JVM round trips per
+    # column function while building plans; plans are built per query
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
