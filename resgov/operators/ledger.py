@@ -160,3 +160,44 @@ def drop_failed(ledger: DataFrame, version: int) -> DataFrame:
     """``DELETE WHERE version = N AND status = 'failed'`` as a null-safe complement."""
     cond = (F.col("version") == version) & (F.col("status") == FAILED)
     return ledger.filter(~F.coalesce(cond, F.lit(False)))
+
+
+def ledger_rows(attempts: DataFrame, actor: str = "system") -> DataFrame:
+    """Attempt records → ledger rows: SHA-256 of the statement, times truncated
+    to seconds, audit columns filled (values are columns, never spliced SQL)."""
+    from ..functions.times import trunc_seconds
+    at = trunc_seconds(F.col("applied_at"))
+    return attempts.select(
+        "schema_key", F.col("version").cast("int").alias("version"), "description", "sql_statement",
+        F.sha2(F.col("sql_statement"), 256).alias("checksum"), "status", at.alias("applied_at"),
+        F.col("execution_time_seconds").cast("double").alias("execution_time_seconds"), "error_message",
+        at.alias("created_at"), at.alias("updated_at"),
+        F.lit(actor).alias("created_by"), F.lit(actor).alias("updated_by"))
+
+
+def append_ledger(rows: DataFrame, path: str) -> None:
+    """Append ledger rows to the ledger dataset at ``path`` (INSERT INTO)."""
+    rows.write.mode("append").parquet(path)
+
+
+def schema_profile(df: DataFrame) -> DataFrame:
+    """Column listing of a dataset (DESCRIBE TABLE): position, name, type, nullable, comment.
+
+    Built from the schema (metadata), so it costs no scan of the data.
+    """
+    rows = [(i + 1, f.name, f.dataType.simpleString(), f.nullable, f.metadata.get("comment"))
+            for i, f in enumerate(df.schema.fields)]
+    return df.sparkSession.createDataFrame(
+        rows, "position int, name string, type string, nullable boolean, comment string")
+
+
+def schema_conformance(df: DataFrame, schema_version: int = 2) -> DataFrame:
+    """Columns missing from, extra to, or typed differently than registry schema version N."""
+    target = REGISTRY if schema_version >= 2 else REGISTRY_V1
+    want = {f.name: f.dataType.simpleString() for f in target.fields}
+    have = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    rows = [(n, want.get(n), have.get(n),
+             "missing" if n not in have else "extra" if n not in want else "type")
+            for n in list(want) + [h for h in have if h not in want]
+            if want.get(n) != have.get(n)]
+    return df.sparkSession.createDataFrame(rows, "name string, expected string, actual string, problem string")

@@ -10,6 +10,9 @@ as a sentinel that sorts after all of that partition's rows; one window over
 (partition, order) then yields each row's successor, including across
 partition edges.  The plan is a single line of operators (one range exchange,
 one hash exchange), so every branch sees the same partition boundaries.
+
+Order columns should make rows unique within a key (e.g. end with a sequence
+number): range partitioning cannot split rows whose whole sort key is equal.
 """
 
 from __future__ import annotations
@@ -37,12 +40,13 @@ def with_neighbor(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     if direction not in ("next", "prev"):
         raise ValueError("direction must be 'next' or 'prev'")
     prefix = prefix if prefix is not None else f"{direction}_"
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sort_cols = list(keys) + list(order)
     forward = direction == "next"
     # the edge row of a partition is its first row (for next) or its last (for prev)
     local_order = [F.col(c).asc_nulls_first() if forward else F.col(c).desc_nulls_last() for c in sort_cols]
-    ranged = (df.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in sort_cols])
+    range_cols = [F.col(c).asc_nulls_first() for c in sort_cols]
+    # without an explicit count AQE sizes the range partitions from runtime bytes
+    ranged = ((df.repartitionByRange(partitions, *range_cols) if partitions else df.repartitionByRange(*range_cols))
               .sortWithinPartitions(*local_order)
               .withColumn("_mid", F.monotonically_increasing_id()))
     pid = F.shiftright(F.col("_mid"), _ROW_BITS)

@@ -75,3 +75,23 @@ def test_conform(spark):
     out = L.conform(v1, 2)
     assert out.columns == [f.name for f in REGISTRY.fields]
     assert out.schema["revoked_reason"].metadata.get("comment") == "Reason for revocation"
+
+
+def test_append_profile_conformance(spark, tmp_path):
+    attempts = spark.createDataFrame(
+        [("s", 1, "d", "CREATE TABLE x (a INT)", "applied", dt.datetime(2024, 1, 1, 0, 0, 0, 500000), 0.2, None)],
+        "schema_key string, version int, description string, sql_statement string, status string, "
+        "applied_at timestamp_ntz, execution_time_seconds double, error_message string")
+    rows = L.ledger_rows(attempts)
+    path = str(tmp_path / "ledger")
+    L.append_ledger(rows, path)
+    L.append_ledger(rows, path)
+    back = spark.read.parquet(path)
+    assert back.count() == 2 and L.checksum_drift(back).count() == 0
+    assert back.first().applied_at == dt.datetime(2024, 1, 1)
+    prof = {r.name: r.type for r in L.schema_profile(rows).collect()}
+    assert prof["version"] == "int" and prof["checksum"] == "string"
+    reg_v1 = spark.createDataFrame([tuple([None] * len(REGISTRY_V1.fields))], REGISTRY_V1)
+    issues = {(r.name, r.problem) for r in L.schema_conformance(reg_v1, 2).collect()}
+    assert issues == {("revoked_reason", "missing")}
+    assert L.schema_conformance(L.conform(reg_v1, 2), 2).count() == 0
