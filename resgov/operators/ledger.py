@@ -145,15 +145,28 @@ def pending(defs: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def summary(defs: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Per schema: ledger rows, failed attempts, defined / applied / pending versions."""
-    rows = ledger.groupBy("schema_key").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("status") == FAILED).alias("n_failed_attempts"))
-    app = applied_versions(ledger).groupBy("schema_key").agg(F.count(F.lit(1)).alias("n_applied"))
-    defined = version_profile(defs).select("schema_key", F.col("n_distinct").alias("n_defined"))
-    pend = pending(defs, ledger).groupBy("schema_key").agg(F.count(F.lit(1)).alias("n_pending"))
-    out = defined.join(rows, "schema_key", "full").join(app, "schema_key", "left").join(pend, "schema_key", "left")
-    return out.select("schema_key", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in
-                                      ("n_rows", "n_failed_attempts", "n_defined", "n_applied", "n_pending")])
+    """Per schema: ledger rows, failed attempts, defined / applied / pending versions.
+
+    Each side is reduced once to one row per (schema, version); the two are
+    joined on that key (both already hash-partitioned by it) and rolled up per
+    schema — one scan of each input, three shuffles of pre-aggregated rows.
+    """
+    v = F.col("version").cast("string").try_cast("int")
+    done = (F.col("status") == APPLIED) & v.isNotNull()
+    per_ledger = ledger.groupBy("schema_key", v.alias("version")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("status") == FAILED).alias("failed"),
+        F.max(done).alias("applied"))
+    per_def = (defs.filter(F.col("version").isNotNull()).groupBy("schema_key", "version")
+               .agg(F.lit(True).alias("defined")))
+    both = per_ledger.join(per_def, ["schema_key", "version"], "full")
+    defined = F.coalesce(F.col("defined"), F.lit(False))
+    applied = F.coalesce(F.col("applied"), F.lit(False))
+    return (both.groupBy("schema_key")
+            .agg(F.coalesce(F.sum("rows"), F.lit(0)).cast("long").alias("n_rows"),
+                 F.coalesce(F.sum("failed"), F.lit(0)).cast("long").alias("n_failed_attempts"),
+                 F.count_if(defined).cast("long").alias("n_defined"),
+                 F.count_if(applied).cast("long").alias("n_applied"),
+                 F.count_if(defined & ~applied).cast("long").alias("n_pending")))
 
 
 def drop_failed(ledger: DataFrame, version: int) -> DataFrame:

@@ -44,7 +44,7 @@ def _finish(df: DataFrame, kind: str, **cols: Column) -> DataFrame:
         "is_foundation_model": F.lit(False),
         **cols,
     }
-    return df.select(*[out[f.name].cast(f.dataType).alias(f.name) for f in INVENTORY.fields])
+    return df.select(*[out[f.name].cast(f.dataType.simpleString()).alias(f.name) for f in INVENTORY.fields])
 
 
 def normalise_apps(raw: DataFrame) -> DataFrame:
