@@ -44,6 +44,15 @@ def is_foundation(entities: Column, prefixes: Sequence[str] = FOUNDATION_PREFIXE
     return F.coalesce(F.exists(entities, lambda e: _entity_is_foundation(e, prefixes)), F.lit(False))
 
 
+def any_foundation(entities: "DataFrame", key: str = "endpoint",
+                   prefixes: Sequence[str] = FOUNDATION_PREFIXES) -> "DataFrame":
+    """Foundation flag per endpoint from exploded entity rows (one row per
+    entity with ``name``, ``entity_name``, ``external_model``): ``bool_or`` is
+    mergeable, so a huge endpoint is combined map-side."""
+    e = F.struct(*[F.col(c) for c in ("name", "entity_name", "external_model")])
+    return entities.groupBy(key).agg(F.bool_or(_entity_is_foundation(e, prefixes)).alias("is_foundation_model"))
+
+
 def entity_display_name(e: Column, prefixes: Sequence[str]) -> Column:
     label = truthy_or(e["entity_name"], e["name"], F.lit("Unknown"))
     return F.when(_entity_is_foundation(e, prefixes), F.concat(label, F.lit(FOUNDATION_SUFFIX))).otherwise(label)

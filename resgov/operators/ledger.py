@@ -61,12 +61,21 @@ def version_profile(defs: DataFrame) -> DataFrame:
                  F.min("version").alias("min_version"), F.max("version").alias("max_version")))
 
 
-def non_sequential(defs: DataFrame) -> DataFrame:
-    """Schemas whose sorted versions are not exactly 1..n."""
+def non_sequential(defs: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
+    """Schemas whose sorted versions are not exactly 1..n.
+
+    With ``schemas`` (a frame of schema keys, e.g. from the ledger) a schema
+    without any definition is reported too (n_rows 0), as an empty list is invalid.
+    """
     p = version_profile(defs)
-    ok = (F.col("n_rows") == F.col("n_distinct")) & (F.col("min_version") == 1) & \
+    if schemas is not None:
+        keys = schemas.select("schema_key").union(defs.select("schema_key")).distinct()
+        p = keys.join(p, "schema_key", "left").select(
+            "schema_key", F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"),
+            F.coalesce("n_distinct", F.lit(0)).cast("long").alias("n_distinct"), "min_version", "max_version")
+    ok = (F.col("n_rows") > 0) & (F.col("n_rows") == F.col("n_distinct")) & (F.col("min_version") == 1) & \
          (F.col("max_version") == F.col("n_rows"))
-    return p.filter(~ok)
+    return p.filter(~F.coalesce(ok, F.lit(False)))
 
 
 def out_of_order(defs: DataFrame, partitions: int | None = None) -> DataFrame:

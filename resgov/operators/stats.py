@@ -10,6 +10,11 @@ from pyspark.sql import DataFrame, functions as F
 from ..schemas import MONITORED_TYPES
 
 
+def known_types(inventory: DataFrame, types: Sequence[str] = MONITORED_TYPES) -> DataFrame:
+    """Rows of the monitored types; other types belong to no section and no total."""
+    return inventory.filter(F.col("type").isin(list(types)))
+
+
 def _counts(status: DataFrame):
     return [F.count(F.lit(1)).alias("total"),
             F.count_if(F.coalesce(F.col("is_approved"), F.lit(False))).alias("approved")]
@@ -19,7 +24,7 @@ def stats_by_type(status: DataFrame, types: Sequence[str] = MONITORED_TYPES) ->
     """total / approved / unapproved per monitored type; all types present even when 0."""
     spark = status.sparkSession
     wanted = spark.createDataFrame([(t, i) for i, t in enumerate(types)], "type string, type_order int")
-    agg = status.filter(F.col("type").isin(list(types))).groupBy("type").agg(*_counts(status))
+    agg = known_types(status, types).groupBy("type").agg(*_counts(status))
     j = wanted.join(agg, "type", "left")
     total = F.coalesce("total", F.lit(0)).cast("long")
     approved = F.coalesce("approved", F.lit(0)).cast("long")
@@ -29,7 +34,7 @@ def stats_by_type(status: DataFrame, types: Sequence[str] = MONITORED_TYPES) ->
 
 def stats_overall(status: DataFrame, types: Sequence[str] = MONITORED_TYPES) -> DataFrame:
     """Totals over the monitored types and the approval rate in percent (1 decimal, 0 when empty)."""
-    agg = status.filter(F.col("type").isin(list(types))).agg(*_counts(status))
+    agg = known_types(status, types).agg(*_counts(status))
     rate = F.when(F.col("total") > 0, F.round(F.col("approved") / F.col("total") * 100, 1)).otherwise(F.lit(0.0))
     return agg.select(F.col("total").cast("long").alias("total"), F.col("approved").cast("long").alias("approved"),
                       (F.col("total") - F.col("approved")).cast("long").alias("unapproved"),

@@ -435,8 +435,12 @@ def _sql() -> dict[str, str]:
     q["ledger_not_sequential"] = f"""{lg}, p AS (
         SELECT schema_key, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT version) AS BIGINT) AS n_distinct,
           min(version) AS min_version, max(version) AS max_version
-        FROM defs WHERE version IS NOT NULL GROUP BY schema_key)
-      SELECT * FROM p WHERE NOT (n_rows = n_distinct AND min_version = 1 AND max_version = n_rows)"""
+        FROM defs WHERE version IS NOT NULL GROUP BY schema_key),
+      k AS (SELECT schema_key FROM ledger UNION SELECT schema_key FROM defs),
+      kp AS (SELECT k.schema_key, coalesce(p.n_rows, 0) AS n_rows, coalesce(p.n_distinct, 0) AS n_distinct,
+               p.min_version, p.max_version FROM k LEFT JOIN p USING (schema_key))
+      SELECT * FROM kp WHERE NOT coalesce(n_rows > 0 AND n_rows = n_distinct AND min_version = 1
+                                          AND max_version = n_rows, false)"""
     q["ledger_out_of_order"] = f"""{lg}, p AS (
         SELECT schema_key, position, version,
           lag(version) OVER w AS prev_version, lag(position) OVER w AS prev_position

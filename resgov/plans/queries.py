@@ -361,8 +361,8 @@ def ledger_duplicates(spark, sf):
 
 @query
 def ledger_not_sequential(spark, sf):
-    """Schemas whose versions are not 1..n."""
-    return L.non_sequential(_defs(spark, sf))
+    """Schemas whose versions are not 1..n (schemas known from the ledger included)."""
+    return L.non_sequential(_defs(spark, sf), _ledger(spark, sf))
 
 
 @query

@@ -121,3 +121,13 @@ def test_decode_result(spark):
     got = sorted((r.result_id, r.row_pos, r.a, r.ok, r.t) for r in decode_result(raw, schema).collect())
     assert got == [(1, 0, 1, True, dt.datetime(2024, 1, 1)), (1, 1, None, False, None),
                    (2, 0, 7, None, dt.datetime(2024, 2, 2, 10))]
+
+
+def test_any_foundation_exploded(spark):
+    from resgov.functions.foundation import any_foundation
+    rows = spark.createDataFrame(
+        [("e1", "x", "databricks-dbrx-instruct", None), ("e1", "y", "plain", None),
+         ("e2", "z", "plain", None), ("e3", "z", None, ("gpt",))],
+        "endpoint string, name string, entity_name string, external_model struct<name:string>")
+    got = {r.endpoint: r.is_foundation_model for r in any_foundation(rows).collect()}
+    assert got == {"e1": True, "e2": False, "e3": True}

@@ -95,3 +95,13 @@ def test_append_profile_conformance(spark, tmp_path):
     issues = {(r.name, r.problem) for r in L.schema_conformance(reg_v1, 2).collect()}
     assert issues == {("revoked_reason", "missing")}
     assert L.schema_conformance(L.conform(reg_v1, 2), 2).count() == 0
+
+
+def test_schema_without_definitions_is_reported(spark):
+    d = defs(spark, [("a", 1, 1, "x", "s")])
+    lg = ledger(spark, [("a", 1, "applied", 0, None), ("empty", 1, "applied", 0, None)])
+    got = {r.schema_key: r.n_rows for r in L.non_sequential(d, lg).collect()}
+    assert got == {"empty": 0}
+    d2 = defs(spark, [("a", 1, 1, "x", "s"), ("only-defs", 1, 2, "x", "s")])
+    got = {r.schema_key for r in L.non_sequential(d2, lg).collect()}
+    assert got == {"empty", "only-defs"}
