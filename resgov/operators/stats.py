@@ -21,15 +21,25 @@ def _counts(status: DataFrame):
 
 
 def stats_by_type(status: DataFrame, types: Sequence[str] = MONITORED_TYPES) -> DataFrame:
-    """total / approved / unapproved per monitored type; all types present even when 0."""
-    spark = status.sparkSession
-    wanted = spark.createDataFrame([(t, i) for i, t in enumerate(types)], "type string, type_order int")
-    agg = known_types(status, types).groupBy("type").agg(*_counts(status))
-    j = wanted.join(agg, "type", "left")
-    total = F.coalesce("total", F.lit(0)).cast("long")
-    approved = F.coalesce("approved", F.lit(0)).cast("long")
-    return j.select("type", total.alias("total"), approved.alias("approved"),
-                    (total - approved).alias("unapproved"), "type_order")
+    """total / approved / unapproved per monitored type; all types present even when 0.
+
+    One global conditional aggregate (partial per task, a single tiny final
+    merge) unpivoted into one row per type: no grouped shuffle and no join,
+    whatever the share of rows a type holds.
+    """
+    approved = F.coalesce(F.col("is_approved"), F.lit(False))
+    aggs = []
+    for i, t in enumerate(types):
+        aggs += [F.count_if(F.col("type") == t).alias(f"_t{i}"),
+                 F.count_if((F.col("type") == t) & approved).alias(f"_a{i}")]
+    one = status.agg(*aggs)
+    rows = F.explode(F.array(*[
+        F.struct(F.lit(t).alias("type"), F.col(f"_t{i}").cast("long").alias("total"),
+                 F.col(f"_a{i}").cast("long").alias("approved"), F.lit(i).alias("type_order"))
+        for i, t in enumerate(types)]))
+    return (one.select(rows.alias("_r"))
+            .select("_r.type", "_r.total", "_r.approved", (F.col("_r.total") - F.col("_r.approved")).alias("unapproved"),
+                    "_r.type_order"))
 
 
 def stats_overall(status: DataFrame, types: Sequence[str] = MONITORED_TYPES) -> DataFrame:

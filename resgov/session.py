@@ -21,6 +21,10 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.parquet.inferTimestampNTZ.enabled": "true",
+}
+
+# Static settings: only honoured when this library builds the session.
+STATIC_SETTINGS = {
     # call-site capture for error messages costs several JVM round trips per
     # column function while building plans; plans are built per query
     "spark.python.sql.dataFrameDebugging.enabled": "false",
@@ -28,9 +32,13 @@ SQL_SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the library's SQL settings to an existing session."""
+    """Apply the library's runtime SQL settings to an existing session.
+
+    Settings the session does not allow to change (e.g. on a shared cluster)
+    are left as they are.
+    """
     for key, value in SQL_SETTINGS.items():
-        if spark.conf.get(key, None) != value:
+        if spark.conf.get(key, None) != value and spark.conf.isModifiable(key):
             spark.conf.set(key, value)
     return spark
 
@@ -49,7 +57,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    for key, value in SQL_SETTINGS.items():
+    for key, value in {**SQL_SETTINGS, **STATIC_SETTINGS}.items():
         builder = builder.config(key, value)
     for key, value in (extra or {}).items():
         builder = builder.config(key, value)
