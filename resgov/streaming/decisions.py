@@ -7,9 +7,10 @@ T2 — ``registry_sink``: each micro-batch is folded (``fold_state``: last
 approve and last revoke per key, each with its (at, seq)) and merged with the
 stored state by taking maxima, so a late decision can never overwrite a newer
 one and replaying a batch changes nothing.  The merged state is written as a
-new version directory named after the batch id under a shared folder (the
-cluster's ``spark.checkpoint.dir`` unless a path is given); the registry is
-derived from the latest committed state.  Expiry needs no timers: it is
+version directory named after the batch id, holding only the key buckets the
+batch touched, under a shared folder (the cluster's ``spark.checkpoint.dir``
+unless a path is given); the registry is derived from the newest committed
+directory of every bucket.  Expiry needs no timers: it is
 evaluated when the registry is read (``resource_status``).
 """
 
@@ -41,29 +42,71 @@ def quarantine_stream(stream: DataFrame) -> DataFrame:
 
 @dataclass
 class RegistryState:
-    """Versioned fold state under ``base`` (``version=<batch id>`` directories)."""
+    """Fold state under ``base`` as ``version=<batch id>/key_bucket=<b>`` directories.
+
+    A commit rewrites only the key buckets its batch touches; the state as of
+    version N is, per bucket, the newest directory at or before N.  A version
+    counts once its job committed (``_SUCCESS``).  Replaying a batch rewrites
+    its own version from the same inputs and, the merge being a maximum,
+    yields the same state.
+    """
 
     spark: SparkSession
     base: str
+    buckets: int = 64
+
+    def _fs(self):
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.base)
+        return jvm, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def layout(self) -> dict[int, list[int]]:
+        """Committed versions and the buckets each one wrote (directory metadata only)."""
+        jvm, fs = self._fs()
+        out: dict[int, list[int]] = {}
+        for v in K.versions(self.spark, self.base):
+            vdir = jvm.org.apache.hadoop.fs.Path(f"{self.base.rstrip('/')}/version={v}")
+            out[v] = sorted(int(st.getPath().getName().split("=", 1)[1]) for st in fs.listStatus(vdir)
+                            if st.isDirectory() and st.getPath().getName().startswith("key_bucket="))
+        return out
 
     def latest_version(self, before: int | None = None) -> int | None:
-        known = [v for v in K.versions(self.spark, self.base) if before is None or v < before]
-        return known[-1] if known else None
+        known = [v for v in self.layout() if before is None or v < before]
+        return max(known) if known else None
+
+    def _paths(self, version: int | None, buckets=None, before: bool = False) -> list[str]:
+        newest: dict[int, int] = {}
+        for v, bs in sorted(self.layout().items()):
+            if version is not None and (v >= version if before else v > version):
+                continue
+            for b in bs:
+                if buckets is None or b in buckets:
+                    newest[b] = v
+        return [f"{self.base.rstrip('/')}/version={v}/key_bucket={b}" for b, v in sorted(newest.items())]
+
+    def _read(self, paths: list[str]) -> DataFrame | None:
+        if not paths:
+            return None
+        return self.spark.read.option("basePath", self.base).parquet(*paths).drop("version", "key_bucket")
 
     def state(self, version: int | None = None) -> DataFrame | None:
-        v = self.latest_version() if version is None else version
-        return None if v is None else K.read_snapshot(self.spark, self.base, v)
+        return self._read(self._paths(version))
 
     def registry(self, version: int | None = None) -> DataFrame | None:
         s = self.state(version)
         return None if s is None else D.registry_from_state(s)
 
     def commit(self, batch: DataFrame, batch_id: int) -> None:
-        """Merge one micro-batch of decisions into the state as version ``batch_id``."""
+        """Merge one micro-batch of decisions into the buckets it touches, as version ``batch_id``."""
         delta = D.fold_state(with_errors(batch).filter(F.col("error").isNull()))
-        prev_v = self.latest_version(before=batch_id)
-        merged = delta if prev_v is None else D.merge_states(K.read_snapshot(self.spark, self.base, prev_v), delta)
-        K.write_snapshot(merged, self.base, batch_id, KEY)
+        delta = delta.withColumn("key_bucket", K.key_bucket(KEY, self.buckets))
+        # at most `buckets` small integers reach the driver
+        touched = {r.key_bucket for r in delta.select("key_bucket").distinct().collect()}
+        if not touched:
+            return
+        prev = self._read(self._paths(batch_id, touched, before=True))
+        merged = delta.drop("key_bucket") if prev is None else D.merge_states(prev, delta.drop("key_bucket"))
+        K.write_snapshot(merged, self.base, batch_id, KEY, self.buckets)
 
 
 def registry_sink(state: RegistryState):

@@ -47,6 +47,8 @@ def test_stream_fold_equals_batch_and_replay_is_idempotent(spark):
     q.awaitTermination()
     expected = D.fold(log)
     assert versions(spark, state.base) == [0, 1, 2]
+    layout = state.layout()
+    assert all(0 < len(b) <= state.buckets for b in layout.values())
     got = state.registry()
     assert _digest(*_rows(got.select(*expected.columns))) == _digest(*_rows(expected))
     # replaying the last batch (e.g. after a lost executor) changes nothing
@@ -54,3 +56,19 @@ def test_stream_fold_equals_batch_and_replay_is_idempotent(spark):
     batch = spark.read.parquet(os.path.join(path, "batch=2"))
     state.commit(batch, last)
     assert _digest(*_rows(state.registry().select(*expected.columns))) == _digest(*_rows(expected))
+    # time travel: the state as of the first batch equals folding that batch alone
+    first = spark.read.parquet(os.path.join(path, "batch=0"))
+    assert _digest(*_rows(state.registry(0).select(*expected.columns))) == _digest(*_rows(D.fold(first)))
+
+
+def test_commit_touches_only_its_buckets(spark):
+    from resgov.streaming.decisions import RegistryState
+    log = X.decision_log(spark, SF)
+    state = RegistryState(spark, shared_dir(spark, "t2-buckets"), buckets=16)
+    state.commit(log, 0)
+    assert state.layout()[0] == list(range(16))
+    small = log.filter(F.col("resource_id") == log.first().resource_id)
+    state.commit(small, 1)
+    assert len(state.layout()[1]) == 1
+    expected = D.fold(log.unionByName(small))
+    assert _digest(*_rows(state.registry().select(*expected.columns))) == _digest(*_rows(expected))
