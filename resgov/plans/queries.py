@@ -4,6 +4,8 @@ is one literal per query (``fixtures.AS_OF``), so plans are deterministic."""
 
 from __future__ import annotations
 
+import functools
+import weakref
 import zlib
 from typing import Callable
 
@@ -41,28 +43,59 @@ def query(fn: Query) -> Query:
 
 # ---------------------------------------------------------------- shared inputs
 
+# Lazy DataFrame definitions (plans, not data) built once per session and
+# scale-factor directory and reused by every query that needs them.
+_DEFINED: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
+
+
+def defined_once(builder):
+    @functools.wraps(builder)
+    def get(spark: SparkSession, sf: str) -> DataFrame:
+        per_session = _DEFINED.setdefault(spark, {})
+        key = (builder.__module__, builder.__name__, sf)
+        if key not in per_session:
+            per_session[key] = builder(spark, sf)
+        return per_session[key]
+    return get
+
+
+_x_inventory = defined_once(X.inventory)
+_x_decision_log = defined_once(X.decision_log)
+_x_ledger = defined_once(X.ledger)
+_x_definitions = defined_once(X.definitions)
+_x_apps_raw = defined_once(X.apps_raw)
+_x_endpoints_raw = defined_once(X.endpoints_raw)
+_x_vector_raw = defined_once(X.vector_raw)
+_x_databases_raw = defined_once(X.databases_raw)
+_x_result_raw = defined_once(X.result_raw)
+_x_pages = defined_once(X.pages)
+
+
+@defined_once
 def registry(spark, sf) -> DataFrame:
-    return D.fold(X.decision_log(spark, sf))
+    return D.fold(_x_decision_log(spark, sf))
 
 
+@defined_once
 def status(spark, sf) -> DataFrame:
-    return J.resource_status(X.inventory(spark, sf), registry(spark, sf), X.as_of())
+    return J.resource_status(_x_inventory(spark, sf), registry(spark, sf), X.as_of())
 
 
+@defined_once
 def feed_inventory(spark, sf) -> DataFrame:
     return S.union_inventory(
-        S.normalise_apps(X.apps_raw(spark, sf)),
-        S.normalise_endpoints(X.endpoints_raw(spark, sf), X.FIXTURE_PREFIXES),
-        S.normalise_vector_search(X.vector_raw(spark, sf)),
-        S.normalise_databases(X.databases_raw(spark, sf)))
+        S.normalise_apps(_x_apps_raw(spark, sf)),
+        S.normalise_endpoints(_x_endpoints_raw(spark, sf), X.FIXTURE_PREFIXES),
+        S.normalise_vector_search(_x_vector_raw(spark, sf)),
+        S.normalise_databases(_x_databases_raw(spark, sf)))
 
 
 def _before_cut(spark, sf):
-    return X.decision_log(spark, sf).filter(F.col("at") < ntz(X.CUT))
+    return _x_decision_log(spark, sf).filter(F.col("at") < ntz(X.CUT))
 
 
 def _after_cut_valid(spark, sf):
-    return V.valid_decisions(X.decision_log(spark, sf).filter(F.col("at") >= ntz(X.CUT)))
+    return V.valid_decisions(_x_decision_log(spark, sf).filter(F.col("at") >= ntz(X.CUT)))
 
 
 # ---------------------------------------------------------------- status & stats
@@ -76,13 +109,13 @@ def resource_status(spark, sf):
 @query
 def status_by_workspace(spark, sf):
     """F1 + J1 for one workspace."""
-    return J.resource_status(X.inventory(spark, sf), registry(spark, sf), X.as_of(), WORKSPACE)
+    return J.resource_status(_x_inventory(spark, sf), registry(spark, sf), X.as_of(), WORKSPACE)
 
 
 @query
 def approved_only(spark, sf):
     """J1 restricted to approved rows via the inner-join path."""
-    return J.approved_only(X.inventory(spark, sf), registry(spark, sf), X.as_of())
+    return J.approved_only(_x_inventory(spark, sf), registry(spark, sf), X.as_of())
 
 
 @query
@@ -140,7 +173,7 @@ def check_approved(spark, sf):
 def lookup_by_name(spark, sf):
     """Detail lookup by name (app first, then serving endpoint)."""
     names = table(spark, sf, "customer").select(F.col("c_name").alias("name"))
-    return J.lookup_by_name(names, X.inventory(spark, sf))
+    return J.lookup_by_name(names, _x_inventory(spark, sf))
 
 
 @query
@@ -185,27 +218,27 @@ def duplicate_keys(spark, sf):
 @query
 def approve_rejects(spark, sf):
     """rejected approve decisions with their first error."""
-    rej = V.rejected_decisions(X.decision_log(spark, sf))
+    rej = V.rejected_decisions(_x_decision_log(spark, sf))
     return rej.filter(F.col("action") == "approve").select("seq", "resource_id", "workspace_id", "error")
 
 
 @query
 def revoke_rejects(spark, sf):
     """F8: rejected revoke decisions with their first error."""
-    rej = V.rejected_decisions(X.decision_log(spark, sf))
+    rej = V.rejected_decisions(_x_decision_log(spark, sf))
     return rej.filter(F.col("action") == "revoke").select("seq", "resource_id", "workspace_id", "error")
 
 
 @query
 def expiry_warnings(spark, sf):
     """approvals asking for an expiry before the as-of day."""
-    return V.expiry_warnings(X.decision_log(spark, sf), X.as_of())
+    return V.expiry_warnings(_x_decision_log(spark, sf), X.as_of())
 
 
 @query
 def approval_rows(spark, sf):
     """Valid approvals normalised to registry rows."""
-    return D.approval_rows(V.valid_decisions(X.decision_log(spark, sf))).drop("at")
+    return D.approval_rows(V.valid_decisions(_x_decision_log(spark, sf))).drop("at")
 
 
 @query
@@ -238,13 +271,13 @@ def unmatched_revokes(spark, sf):
 @query
 def decision_history(spark, sf):
     """Every valid decision with its validity interval."""
-    return D.history(X.decision_log(spark, sf))
+    return D.history(_x_decision_log(spark, sf))
 
 
 @query
 def registry_as_of(spark, sf):
     """K4: time travel to TRAVEL_TO by folding the log up to it."""
-    return D.registry_as_of(X.decision_log(spark, sf), ntz(X.TRAVEL_TO))
+    return D.registry_as_of(_x_decision_log(spark, sf), ntz(X.TRAVEL_TO))
 
 
 # ---------------------------------------------------------------- feeds
@@ -252,25 +285,25 @@ def registry_as_of(spark, sf):
 @query
 def feed_apps(spark, sf):
     """Apps feed normalised."""
-    return S.normalise_apps(X.apps_raw(spark, sf))
+    return S.normalise_apps(_x_apps_raw(spark, sf))
 
 
 @query
 def feed_endpoints(spark, sf):
     """S3: serving-endpoint feed normalised."""
-    return S.normalise_endpoints(X.endpoints_raw(spark, sf), X.FIXTURE_PREFIXES)
+    return S.normalise_endpoints(_x_endpoints_raw(spark, sf), X.FIXTURE_PREFIXES)
 
 
 @query
 def feed_vector_search(spark, sf):
     """Vector-search feed normalised."""
-    return S.normalise_vector_search(X.vector_raw(spark, sf))
+    return S.normalise_vector_search(_x_vector_raw(spark, sf))
 
 
 @query
 def feed_databases(spark, sf):
     """Database-instance feed normalised."""
-    return S.normalise_databases(X.databases_raw(spark, sf))
+    return S.normalise_databases(_x_databases_raw(spark, sf))
 
 
 @query
@@ -288,7 +321,7 @@ def feed_health(spark, sf):
 @query
 def foundation_endpoints(spark, sf):
     """Endpoints serving a foundation model."""
-    raw = X.endpoints_raw(spark, sf)
+    raw = _x_endpoints_raw(spark, sf)
     flag = is_foundation(F.col("config.served_entities"), X.FIXTURE_PREFIXES)
     return raw.filter(flag).select("name", F.size("config.served_entities").alias("n_entities"))
 
@@ -296,7 +329,7 @@ def foundation_endpoints(spark, sf):
 @query
 def endpoint_descriptions(spark, sf):
     """endpoint descriptions from own text, served entities or legacy models."""
-    raw = X.endpoints_raw(spark, sf)
+    raw = _x_endpoints_raw(spark, sf)
     return raw.select("name", endpoint_description(F.col("description"), F.col("config.served_entities"),
                                                    F.col("config.served_models"), X.FIXTURE_PREFIXES)
                       .alias("description"))
@@ -310,13 +343,13 @@ def decode_result_rows(spark, sf):
         T.StructField("o_orderkey", T.LongType()), T.StructField("o_orderstatus", T.StringType()),
         T.StructField("is_open", T.BooleanType()), T.StructField("o_totalprice", T.DoubleType()),
         T.StructField("o_orderdate", T.TimestampNTZType())])
-    return decode_result(X.result_raw(spark, sf), schema).drop("row_pos")
+    return decode_result(_x_result_raw(spark, sf), schema).drop("row_pos")
 
 
 @query
 def workspace_names(spark, sf):
     """Workspace name from each page's host."""
-    return X.pages(spark, sf).select("page_id", S.workspace_name(F.col("url")).alias("workspace_name"))
+    return _x_pages(spark, sf).select("page_id", S.workspace_name(F.col("url")).alias("workspace_name"))
 
 
 @query
@@ -328,11 +361,11 @@ def workspaces(spark, sf):
 # ---------------------------------------------------------------- ledger
 
 def _ledger(spark, sf):
-    return X.ledger(spark, sf)
+    return _x_ledger(spark, sf)
 
 
 def _defs(spark, sf):
-    return X.definitions(spark, sf)
+    return _x_definitions(spark, sf)
 
 
 @query
