@@ -13,7 +13,6 @@ from resgov.operators import snapshots as K
 from resgov.operators import status as J
 from resgov.operators.neighbors import with_neighbor
 from resgov.plans.queries import queries, registry
-from resgov.session import shared_dir
 from resgov.sources import fixtures as X
 
 SF = "/root/testdata/sf0.001"
@@ -34,8 +33,8 @@ def test_no_cartesian_no_python(spark, name):
         assert bad not in text, f"{name}: {bad}"
 
 
-def test_active_filter_pushed_to_parquet(spark):
-    base = shared_dir(spark, "plan-registry")
+def test_active_filter_pushed_to_parquet(spark, run_dir):
+    base = f"{run_dir}/plan-registry"
     K.write_snapshot(registry(spark, SF), base, 1)
     stored = K.read_snapshot(spark, base, 1)
     text = plan(J.active_approvals(stored, "7"))
@@ -50,7 +49,7 @@ def test_active_filter_pushed_to_parquet(spark):
     assert "revoked_reason" not in schema and "updated_at" not in schema
 
 
-def test_fold_aggregates_before_shuffle(spark):
+def test_fold_aggregates_before_shuffle(spark, run_dir):
     text = plan(registry(spark, SF), "simple")
     partial = text.find("partial_max")
     assert partial > 0
@@ -58,7 +57,7 @@ def test_fold_aggregates_before_shuffle(spark):
     assert re.search(r"max\(.*\n.*Exchange hashpartitioning\(resource_id", text, re.S)
 
 
-def test_neighbor_has_one_range_exchange(spark):
+def test_neighbor_has_one_range_exchange(spark, run_dir):
     df = X.decision_log(spark, SF).select("seq", "at", "resource_id", "workspace_id")
     text = plan(with_neighbor(df, ["resource_id", "workspace_id"], ["at", "seq"], ["seq"]), "simple")
     assert text.count("rangepartitioning") == 1

@@ -1,14 +1,13 @@
 import os
 
 from resgov.operators import snapshots as K
-from resgov.session import shared_dir
 from resgov.plans.queries import registry
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_versions_backup_roundtrip(spark):
-    base = shared_dir(spark, "test-snapshots")
+def test_versions_backup_roundtrip(spark, run_dir):
+    base = f"{run_dir}/test-snapshots"
     reg = registry(spark, SF)
     K.write_snapshot(reg, base, 1)
     K.write_snapshot(reg.limit(5), base, 2)

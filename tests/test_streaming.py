@@ -6,7 +6,6 @@ from resgov.operators import decisions as D
 from resgov.operators.snapshots import versions
 from resgov.operators.validate import rejected_decisions, valid_decisions
 from resgov.plans.check import _digest
-from resgov.session import shared_dir
 from resgov.sources import fixtures as X
 from resgov.streaming import (quarantine_stream, start_registry_stream, validated_stream)
 from resgov.streaming.decisions import decision_stream
@@ -14,9 +13,9 @@ from resgov.streaming.decisions import decision_stream
 SF = "/root/testdata/sf0.001"
 
 
-def _land(spark, name):
+def _land(spark, run_dir, name):
     """Land the decision log as three files in time order (three micro-batches)."""
-    path = shared_dir(spark, name)
+    path = f"{run_dir}/{name}"
     log = X.decision_log(spark, SF)
     for i, (lo, hi) in enumerate([("1990-01-01", "1997-01-01"), ("1997-01-01", "1999-01-01"),
                                   ("1999-01-01", "2100-01-01")]):
@@ -29,8 +28,8 @@ def _rows(df):
     return df.columns, [tuple(r) for r in df.collect()]
 
 
-def test_stream_validation_equals_batch(spark):
-    path, log = _land(spark, "stream-t1")
+def test_stream_validation_equals_batch(spark, run_dir):
+    path, log = _land(spark, run_dir, "stream-t1")
     src = decision_stream(spark, path, maxFilesPerTrigger=1, recursiveFileLookup="true")
     ok = validated_stream(src).writeStream.format("memory").queryName("t1_valid").start()
     bad = quarantine_stream(src).writeStream.format("memory").queryName("t1_bad").start()
@@ -39,11 +38,11 @@ def test_stream_validation_equals_batch(spark):
     assert _digest(*_rows(spark.table("t1_bad"))) == _digest(*_rows(rejected_decisions(log)))
 
 
-def test_stream_fold_equals_batch_and_replay_is_idempotent(spark):
-    path, log = _land(spark, "stream-t2")
+def test_stream_fold_equals_batch_and_replay_is_idempotent(spark, run_dir):
+    path, log = _land(spark, run_dir, "stream-t2")
     src = decision_stream(spark, path, maxFilesPerTrigger=1, recursiveFileLookup="true")
-    q, state = start_registry_stream(src, base=shared_dir(spark, "t2-state"),
-                                     checkpoint=shared_dir(spark, "t2-checkpoint"))
+    q, state = start_registry_stream(src, base=f"{run_dir}/t2-state",
+                                     checkpoint=f"{run_dir}/t2-checkpoint")
     q.awaitTermination()
     expected = D.fold(log)
     assert versions(spark, state.base) == [0, 1, 2]
@@ -61,10 +60,10 @@ def test_stream_fold_equals_batch_and_replay_is_idempotent(spark):
     assert _digest(*_rows(state.registry(0).select(*expected.columns))) == _digest(*_rows(D.fold(first)))
 
 
-def test_commit_touches_only_its_buckets(spark):
+def test_commit_touches_only_its_buckets(spark, run_dir):
     from resgov.streaming.decisions import RegistryState
     log = X.decision_log(spark, SF)
-    state = RegistryState(spark, shared_dir(spark, "t2-buckets"), buckets=16)
+    state = RegistryState(spark, f"{run_dir}/t2-buckets", buckets=16)
     state.commit(log, 0)
     assert state.layout()[0] == list(range(16))
     small = log.filter(F.col("resource_id") == log.first().resource_id)
