@@ -26,8 +26,11 @@ def write_snapshot(df: DataFrame, base: str, version: int, keys: Sequence[str] =
                    buckets: int = DEFAULT_BUCKETS) -> str:
     """Write ``df`` as version ``version`` partitioned by key bucket; returns the path."""
     path = f"{base.rstrip('/')}/version={int(version)}"
+    # rebalance (not repartition): AQE splits a bucket holding a large share of
+    # the rows over several writer tasks and merges small ones, so files stay
+    # few per bucket without one task writing a hot bucket alone
     (df.withColumn("key_bucket", key_bucket(keys, buckets))
-       .repartition("key_bucket")
+       .hint("rebalance", "key_bucket")
        .write.mode("overwrite").partitionBy("key_bucket").parquet(path))
     return path
 

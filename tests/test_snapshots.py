@@ -22,3 +22,22 @@ def test_versions_backup_roundtrip(spark, run_dir):
     assert (d.only_left, d.only_right) == (0, 0)
     # bucket directories partition the keys
     assert any(n.startswith("key_bucket=") for n in os.listdir(os.path.join(base, "version=1")))
+
+
+def test_hot_bucket_is_split_over_writers(spark, run_dir):
+    from pyspark.sql import functions as F
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        # a third of the rows share one key, so one bucket is hot
+        df = spark.range(300_000).select(
+            F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("resource_id"),
+            F.lit("w").alias("workspace_id"), F.col("id").alias("payload"))
+        base = f"{run_dir}/hot-bucket"
+        K.write_snapshot(df, base, 1, buckets=4)
+        hot = K.key_bucket(buckets=4)
+        b = spark.createDataFrame([("hot", "w")], "resource_id string, workspace_id string").select(hot).first()[0]
+        files = [f for f in os.listdir(os.path.join(base, "version=1", f"key_bucket={b}")) if f.endswith(".parquet")]
+        assert len(files) > 1
+        assert K.read_snapshot(spark, base, 1).count() == 300_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
