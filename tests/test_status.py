@@ -154,3 +154,14 @@ def test_duplicates_recent_expiring(spark):
     assert {r.resource_id for r in J.recent_approvals(reg, ntz(AS_OF)).collect()} == {"new"}
     assert {(r.resource_id, r.expiry_flag) for r in J.expiring(reg, ntz(AS_OF)).collect()} == \
         {("exp", "expired"), ("soon", "soon")}
+
+
+def test_listing_header_first_row(spark):
+    inv = inventory(spark, [dict(resource_id="9", type="postgres", workspace_name="later"),
+                            dict(resource_id="5", type="app", workspace_name="first", workspace_id="w2"),
+                            dict(resource_id="1", type="serving_endpoint", workspace_name="second")])
+    status = J.resource_status(inv, registry(spark, []), ntz(AS_OF))
+    h = J.listing_header(status).first()
+    assert (h.workspace_id, h.workspace_name, h.n_resources) == ("current", "first", 3)
+    h = J.listing_header(status, "w2").first()
+    assert (h.workspace_id, h.workspace_name, h.n_resources) == ("w2", "first", 1)

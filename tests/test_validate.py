@@ -75,3 +75,18 @@ def test_revoke_rules(spark):
     valid, rej = V.validate_revokes(df)
     assert sorted(r.error for r in rej.collect()) == sorted([V.IDS_REQUIRED, V.IDS_REQUIRED, V.REASON_TOO_SHORT])
     assert [r.revoked_reason for r in valid.collect()] == ["1234567890"]
+
+
+def test_expiry_warnings_hint_only(spark):
+    import datetime as dt
+    from resgov.functions.times import ntz
+    from resgov.schemas import DECISION_LOG
+    at = dt.datetime(2024, 6, 1)
+    rows = [(1, at, "approve", "n", "a", "w", "W", "c", "x", "long enough reason", "2024-05-31"),
+            (2, at, "approve", "n", "b", "w", "W", "c", "x", "long enough reason", "2024-06-01T23:00:00-05:00"),
+            (3, at, "approve", "n", "c", "w", "W", "c", "x", "long enough reason", None),
+            (4, at, "approve", "n", "d", "w", "W", "c", "x", "short", "2000-01-01")]
+    log = spark.createDataFrame(rows, DECISION_LOG)
+    got = {r.resource_id: r.past_expiry for r in V.expiry_warnings(log, ntz("2024-06-01 10:00:00")).collect()}
+    assert got == {"a": True, "b": False}          # no expiry: no row; rejected request: no row
+    assert V.valid_decisions(log).count() == 3     # a past expiry is never a reject
