@@ -30,10 +30,9 @@ def state_class(state: Column) -> Column:
 
 
 def type_label(type_col: Column) -> Column:
-    expr = F
-    for key, label in TYPE_LABELS.items():
-        expr = expr.when(type_col == key, label)
-    return expr.otherwise(DEFAULT_TYPE_LABEL)
+    """Display label of a resource type; unknown types get the app label."""
+    lookup = F.create_map(*[F.lit(x) for pair in TYPE_LABELS.items() for x in pair])
+    return F.coalesce(F.element_at(lookup, type_col), F.lit(DEFAULT_TYPE_LABEL))
 
 
 def card_class(approved: Column, foundation: Column) -> Column:
