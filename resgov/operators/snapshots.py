@@ -1,16 +1,17 @@
 """Versioned registry snapshots on plain parquet (no table-format jars needed).
 
-Layout: ``{base}/version=N/key_bucket=B/*.parquet``.  A commit writes a new
-version directory — never the one being read — so a failed or replayed job
-leaves older versions intact and a retry of the same version overwrites only
-its own directory.  Reading version N is a partition-pruned scan.
+Layout: ``{base}/version=N/key_bucket=B/*.parquet`` plus a one-row marker
+``{base}/commits/version=N`` written after the data job succeeded.  A commit
+writes a new version directory — never the one being read — so a failed or
+replayed job leaves older versions intact and a retry of the same version
+overwrites only its own directory; a version without its marker is ignored.
 """
 
 from __future__ import annotations
 
-import re
 from typing import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..schemas import KEY
@@ -23,8 +24,12 @@ def key_bucket(keys: Sequence[str] = KEY, buckets: int = DEFAULT_BUCKETS):
 
 
 def write_snapshot(df: DataFrame, base: str, version: int, keys: Sequence[str] = KEY,
-                   buckets: int = DEFAULT_BUCKETS) -> str:
-    """Write ``df`` as version ``version`` partitioned by key bucket; returns the path."""
+                   buckets: int = DEFAULT_BUCKETS, written_buckets: Sequence[int] | None = None) -> str:
+    """Write ``df`` as version ``version`` partitioned by key bucket; returns the path.
+
+    ``written_buckets`` (when the caller knows them) are recorded in the commit
+    marker so readers can resolve bucket versions without listing files.
+    """
     path = f"{base.rstrip('/')}/version={int(version)}"
     # rebalance (not repartition): AQE splits a bucket holding a large share of
     # the rows over several writer tasks and merges small ones, so files stay
@@ -32,23 +37,36 @@ def write_snapshot(df: DataFrame, base: str, version: int, keys: Sequence[str] =
     (df.withColumn("key_bucket", key_bucket(keys, buckets))
        .hint("rebalance", "key_bucket")
        .write.mode("overwrite").partitionBy("key_bucket").parquet(path))
+    # commit marker, written only after the data job succeeded
+    spark = df.sparkSession
+    marker = (spark.createDataFrame([(int(b),) for b in sorted(written_buckets)], "key_bucket int")
+              if written_buckets is not None else spark.range(1).select(F.lit(None).cast("int").alias("key_bucket")))
+    marker.write.mode("overwrite").parquet(f"{base.rstrip('/')}/commits/version={int(version)}")
     return path
 
 
 def versions(spark: SparkSession, base: str) -> list[int]:
-    """Committed versions under ``base`` (directory listing through Hadoop's FileSystem)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(base)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
+    """Committed versions under ``base`` (those with a commit marker)."""
+    try:
+        marks = spark.read.parquet(f"{base.rstrip('/')}/commits")
+    except AnalysisException:  # nothing committed yet
         return []
-    found = []
-    for status in fs.listStatus(path):
-        m = re.fullmatch(r"version=(\d+)", status.getPath().getName())
-        # a version counts once its job committed (the committer writes _SUCCESS last)
-        if m and status.isDirectory() and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            found.append(int(m.group(1)))
-    return sorted(found)
+    return sorted(r.version for r in marks.select("version").distinct().collect())
+
+
+def bucket_layout(spark: SparkSession, base: str) -> dict[int, list[int]]:
+    """Committed versions and the key buckets each one wrote, from the commit
+    markers (at most versions × buckets small rows)."""
+    try:
+        marks = spark.read.parquet(f"{base.rstrip('/')}/commits")
+    except AnalysisException:
+        return {}
+    out: dict[int, list[int]] = {}
+    for r in marks.select("version", "key_bucket").distinct().collect():
+        out.setdefault(r.version, [])
+        if r.key_bucket is not None:
+            out[r.version].append(r.key_bucket)
+    return {v: sorted(bs) for v, bs in out.items()}
 
 
 def read_snapshot(spark: SparkSession, base: str, version: int | None = None) -> DataFrame:

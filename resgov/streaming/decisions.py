@@ -46,7 +46,7 @@ class RegistryState:
 
     A commit rewrites only the key buckets its batch touches; the state as of
     version N is, per bucket, the newest directory at or before N.  A version
-    counts once its job committed (``_SUCCESS``).  Replaying a batch rewrites
+    counts once its commit marker (listing the buckets it wrote) exists.  Replaying a batch rewrites
     its own version from the same inputs and, the merge being a maximum,
     yields the same state.
     """
@@ -55,20 +55,9 @@ class RegistryState:
     base: str
     buckets: int = 64
 
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.base)
-        return jvm, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
     def layout(self) -> dict[int, list[int]]:
         """Committed versions and the buckets each one wrote (directory metadata only)."""
-        jvm, fs = self._fs()
-        out: dict[int, list[int]] = {}
-        for v in K.versions(self.spark, self.base):
-            vdir = jvm.org.apache.hadoop.fs.Path(f"{self.base.rstrip('/')}/version={v}")
-            out[v] = sorted(int(st.getPath().getName().split("=", 1)[1]) for st in fs.listStatus(vdir)
-                            if st.isDirectory() and st.getPath().getName().startswith("key_bucket="))
-        return out
+        return K.bucket_layout(self.spark, self.base)
 
     def latest_version(self, before: int | None = None) -> int | None:
         known = [v for v in self.layout() if before is None or v < before]
@@ -106,7 +95,7 @@ class RegistryState:
             return
         prev = self._read(self._paths(batch_id, touched, before=True))
         merged = delta.drop("key_bucket") if prev is None else D.merge_states(prev, delta.drop("key_bucket"))
-        K.write_snapshot(merged, self.base, batch_id, KEY, self.buckets)
+        K.write_snapshot(merged, self.base, batch_id, KEY, self.buckets, written_buckets=sorted(touched))
 
 
 def registry_sink(state: RegistryState):
