@@ -1,10 +1,14 @@
 """Versioned registry snapshots on plain parquet (no table-format jars needed).
 
-Layout: ``{base}/version=N/key_bucket=B/*.parquet`` plus a one-row marker
-``{base}/commits/version=N`` written after the data job succeeded.  A commit
-writes a new version directory — never the one being read — so a failed or
-replayed job leaves older versions intact and a retry of the same version
-overwrites only its own directory; a version without its marker is ignored.
+Layout: ``{base}/version=N/key_bucket=B/*.parquet`` plus a small marker
+``{base}/commits/version=N`` written after the data job succeeded.  A version
+is either *full* (every bucket) or *incremental* (only the buckets its marker
+lists).  Reading version N takes the newest full version at or before N and
+replaces each bucket rewritten since by its newest incremental directory —
+partition pruning keeps the read to the directories needed.  A commit writes
+a new version directory, never the one being read, so a failed or replayed
+job leaves older versions intact and a retry of the same version overwrites
+only its own directory; a version without its marker is ignored.
 """
 
 from __future__ import annotations
@@ -14,7 +18,8 @@ from typing import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..schemas import KEY
+from ..schemas import KEY, REGISTRY
+from . import decisions as D
 
 DEFAULT_BUCKETS = 16
 
@@ -54,29 +59,93 @@ def versions(spark: SparkSession, base: str) -> list[int]:
     return sorted(r.version for r in marks.select("version").distinct().collect())
 
 
-def bucket_layout(spark: SparkSession, base: str) -> dict[int, list[int]]:
-    """Committed versions and the key buckets each one wrote, from the commit
-    markers (at most versions × buckets small rows)."""
+def bucket_layout(spark: SparkSession, base: str) -> dict[int, list[int] | None]:
+    """Committed versions → buckets written (None for a full version), from the
+    commit markers (at most versions × buckets small rows)."""
     try:
         marks = spark.read.parquet(f"{base.rstrip('/')}/commits")
     except AnalysisException:
         return {}
-    out: dict[int, list[int]] = {}
+    out: dict[int, list[int] | None] = {}
     for r in marks.select("version", "key_bucket").distinct().collect():
-        out.setdefault(r.version, [])
-        if r.key_bucket is not None:
-            out[r.version].append(r.key_bucket)
-    return {v: sorted(bs) for v, bs in out.items()}
-
-
-def read_snapshot(spark: SparkSession, base: str, version: int | None = None) -> DataFrame:
-    """Version ``version`` (latest when None) without the bucket column."""
-    if version is None:
-        known = versions(spark, base)
-        if not known:
-            raise FileNotFoundError(f"no snapshot under {base}")
-        version = known[-1]
-    return spark.read.parquet(f"{base.rstrip('/')}/version={int(version)}").drop("key_bucket")
+        if r.key_bucket is None:
+            out[r.version] = None
+        elif out.get(r.version, []) is not None:
+            out.setdefault(r.version, []).append(r.key_bucket)
+    return {v: (None if bs is None else sorted(bs)) for v, bs in out.items()}
+
+
+def read_snapshot(spark: SparkSession, base: str, version: int | None = None,
+                  buckets: Sequence[int] | None = None) -> DataFrame:
+    """The dataset as of ``version`` (latest when None), optionally restricted to
+    some key buckets, without the bucket column."""
+    layout = bucket_layout(spark, base)
+    committed = sorted(v for v in layout if version is None or v <= version)
+    if not committed:
+        raise FileNotFoundError(f"no snapshot under {base} at version {version}")
+    fulls = [v for v in committed if layout[v] is None]
+    full = fulls[-1] if fulls else None
+    newest: dict[int, int] = {}
+    for v in committed:
+        if full is None or v > full:
+            for b in layout[v]:
+                newest[b] = v
+    wanted = None if buckets is None else set(buckets)
+    root = base.rstrip("/")
+    parts = []
+    if full is not None:
+        df = spark.read.option("basePath", root).parquet(f"{root}/version={full}")
+        skip = sorted(newest)
+        if skip:
+            df = df.filter(~F.col("key_bucket").isin(skip))
+        if wanted is not None:
+            df = df.filter(F.col("key_bucket").isin(sorted(wanted)))
+        parts.append(df)
+    inc = [f"{root}/version={v}/key_bucket={b}" for b, v in sorted(newest.items()) if wanted is None or b in wanted]
+    if inc:
+        parts.append(spark.read.option("basePath", root).parquet(*inc))
+    if not parts:
+        return spark.read.option("basePath", root).parquet(f"{root}/version={committed[-1]}").limit(0) \
+            .drop("version", "key_bucket")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out.drop("version", "key_bucket")
+
+
+def touched_buckets(df: DataFrame, keys: Sequence[str], buckets: int) -> list[int]:
+    # at most `buckets` small integers reach the driver
+    return sorted(r.b for r in df.select(key_bucket(keys, buckets).alias("b")).distinct().collect())
+
+
+def _prior(spark: SparkSession, base: str, version: int, buckets: list[int]) -> DataFrame:
+    before = [v for v in versions(spark, base) if v < version]
+    if not before:
+        return spark.createDataFrame([], REGISTRY)
+    return read_snapshot(spark, base, before[-1], buckets)
+
+
+def upsert_snapshot(spark: SparkSession, base: str, source: DataFrame, version: int,
+                    keys: Sequence[str] = KEY, buckets: int = DEFAULT_BUCKETS) -> list[int]:
+    """MERGE registry rows into the stored registry as version ``version``,
+    rewriting only the key buckets the source touches; returns those buckets."""
+    touched = touched_buckets(source, keys, buckets)
+    if touched:
+        merged = D.upsert(_prior(spark, base, version, touched), source, keys)
+        write_snapshot(merged, base, version, keys, buckets, written_buckets=touched)
+    return touched
+
+
+def revoke_snapshot(spark: SparkSession, base: str, valid_log: DataFrame, version: int,
+                    keys: Sequence[str] = KEY, buckets: int = DEFAULT_BUCKETS) -> list[int]:
+    """Apply revocations to the stored registry as version ``version``, rewriting
+    only the buckets their keys fall in; returns those buckets."""
+    revokes = valid_log.filter(F.col("action") == "revoke")
+    touched = touched_buckets(revokes, keys, buckets)
+    if touched:
+        updated = D.apply_revokes(_prior(spark, base, version, touched), revokes, keys)
+        write_snapshot(updated, base, version, keys, buckets, written_buckets=touched)
+    return touched
 
 
 def backup(spark: SparkSession, base: str, dest: str, version: int | None = None) -> str:

@@ -55,31 +55,18 @@ class RegistryState:
     base: str
     buckets: int = 64
 
-    def layout(self) -> dict[int, list[int]]:
-        """Committed versions and the buckets each one wrote (directory metadata only)."""
+    def layout(self) -> dict[int, list[int] | None]:
+        """Committed versions and the buckets each one wrote (commit markers only)."""
         return K.bucket_layout(self.spark, self.base)
 
     def latest_version(self, before: int | None = None) -> int | None:
-        known = [v for v in self.layout() if before is None or v < before]
+        known = [v for v in K.versions(self.spark, self.base) if before is None or v < before]
         return max(known) if known else None
 
-    def _paths(self, version: int | None, buckets=None, before: bool = False) -> list[str]:
-        newest: dict[int, int] = {}
-        for v, bs in sorted(self.layout().items()):
-            if version is not None and (v >= version if before else v > version):
-                continue
-            for b in bs:
-                if buckets is None or b in buckets:
-                    newest[b] = v
-        return [f"{self.base.rstrip('/')}/version={v}/key_bucket={b}" for b, v in sorted(newest.items())]
-
-    def _read(self, paths: list[str]) -> DataFrame | None:
-        if not paths:
+    def state(self, version: int | None = None, buckets=None) -> DataFrame | None:
+        if self.latest_version() is None:
             return None
-        return self.spark.read.option("basePath", self.base).parquet(*paths).drop("version", "key_bucket")
-
-    def state(self, version: int | None = None) -> DataFrame | None:
-        return self._read(self._paths(version))
+        return K.read_snapshot(self.spark, self.base, version, buckets)
 
     def registry(self, version: int | None = None) -> DataFrame | None:
         s = self.state(version)
@@ -88,14 +75,13 @@ class RegistryState:
     def commit(self, batch: DataFrame, batch_id: int) -> None:
         """Merge one micro-batch of decisions into the buckets it touches, as version ``batch_id``."""
         delta = D.fold_state(with_errors(batch).filter(F.col("error").isNull()))
-        delta = delta.withColumn("key_bucket", K.key_bucket(KEY, self.buckets))
-        # at most `buckets` small integers reach the driver
-        touched = {r.key_bucket for r in delta.select("key_bucket").distinct().collect()}
+        touched = K.touched_buckets(delta, KEY, self.buckets)
         if not touched:
             return
-        prev = self._read(self._paths(batch_id, touched, before=True))
-        merged = delta.drop("key_bucket") if prev is None else D.merge_states(prev, delta.drop("key_bucket"))
-        K.write_snapshot(merged, self.base, batch_id, KEY, self.buckets, written_buckets=sorted(touched))
+        prev_v = self.latest_version(before=batch_id)
+        prev = None if prev_v is None else K.read_snapshot(self.spark, self.base, prev_v, touched)
+        merged = delta if prev is None else D.merge_states(prev, delta)
+        K.write_snapshot(merged, self.base, batch_id, KEY, self.buckets, written_buckets=touched)
 
 
 def registry_sink(state: RegistryState):

@@ -41,3 +41,39 @@ def test_hot_bucket_is_split_over_writers(spark, run_dir):
         assert K.read_snapshot(spark, base, 1).count() == 300_000
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_upsert_and_revoke_rewrite_only_touched_buckets(spark, run_dir):
+    from pyspark.sql import functions as F
+    from resgov.functions.times import ntz
+    from resgov.operators import decisions as D
+    from resgov.operators.validate import valid_decisions
+    from resgov.plans.check import _digest
+    from resgov.sources import fixtures as X
+
+    def rows(df):
+        return df.columns, [tuple(r) for r in df.select(*sorted(df.columns)).collect()]
+
+    def same(a, b):
+        a, b = a.select(*sorted(a.columns)), b.select(*sorted(a.columns))
+        return _digest(*rows(a)) == _digest(*rows(b))
+
+    log = X.decision_log(spark, SF)
+    cut = ntz(X.CUT)
+    target = D.fold(log.filter(F.col("at") < cut))
+    later = valid_decisions(log.filter(F.col("at") >= cut))
+    base = f"{run_dir}/incremental-registry"
+    K.write_snapshot(target, base, 1)                               # full version
+    touched = K.upsert_snapshot(spark, base, D.approval_rows(later), 2)
+    assert K.bucket_layout(spark, base)[2] == touched and K.bucket_layout(spark, base)[1] is None
+    expected_up = D.upsert(target, D.approval_rows(later))
+    assert same(K.read_snapshot(spark, base, 2), expected_up)
+    K.revoke_snapshot(spark, base, later, 3)
+    assert same(K.read_snapshot(spark, base, 3), D.apply_revokes(expected_up, later))
+    assert same(K.read_snapshot(spark, base, 1), target)           # time travel still sees version 1
+    # one approval touches one bucket
+    one = D.approval_rows(later).limit(1)
+    assert len(K.upsert_snapshot(spark, base, one, 4)) == 1
+    assert K.read_snapshot(spark, base, 4).count() == K.read_snapshot(spark, base, 3).count() + \
+        (0 if K.read_snapshot(spark, base, 3).join(one.select("resource_id", "workspace_id"),
+                                                   ["resource_id", "workspace_id"]).count() else 1)
