@@ -75,6 +75,15 @@ def error_class(message: Column) -> Column:
             .otherwise("other"))
 
 
+def expected_error(message: Column) -> Column:
+    """True when an error is one the executor treats as expected (logged, not
+    alarmed): its text contains one of the expected markers (case-sensitive)."""
+    hit = F.lit(False)
+    for marker in EXPECTED_MARKERS:
+        hit = hit | message.contains(marker)
+    return F.when(message.isNotNull(), F.coalesce(hit, F.lit(False)))
+
+
 def row_key(resource_id: Column, workspace_id: Column) -> Column:
     """``resource_id-workspace_id`` as the listing keys its rows."""
     return F.concat_ws("-", resource_id, workspace_id)

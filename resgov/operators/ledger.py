@@ -12,7 +12,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.labels import ALREADY_EXISTS_MARKERS, error_class
+from ..functions.labels import ALREADY_EXISTS_MARKERS, error_class, expected_error
 from ..schemas import REGISTRY, REGISTRY_V1
 from .neighbors import with_neighbor
 
@@ -125,7 +125,8 @@ def outcomes(attempts: DataFrame) -> DataFrame:
 def error_classes(ledger: DataFrame) -> DataFrame:
     return (ledger.filter(F.col("error_message").isNotNull())
             .select("schema_key", "version", *[c for c in ("tie1", "tie2") if c in ledger.columns],
-                    error_class(F.col("error_message")).alias("error_class")))
+                    error_class(F.col("error_message")).alias("error_class"),
+                    expected_error(F.col("error_message")).alias("expected")))
 
 
 def conform(df: DataFrame, schema_version: int = 2) -> DataFrame:

@@ -469,7 +469,10 @@ def _sql() -> dict[str, str]:
         CASE WHEN {exists} THEN 'already_exists'
              WHEN contains(lower(error_message), 'not found') OR contains(lower(error_message), 'does not exist')
                OR contains(lower(error_message), 'table_or_view_not_found') THEN 'not_found'
-             ELSE 'other' END AS error_class
+             ELSE 'other' END AS error_class,
+        contains(error_message, 'ALREADY_EXISTS') OR contains(error_message, 'FIELD_ALREADY_EXISTS')
+          OR contains(error_message, 'TABLE_OR_VIEW_NOT_FOUND') OR contains(error_message, 'SCHEMA_NOT_FOUND')
+          AS expected
       FROM ledger WHERE error_message IS NOT NULL"""
     q["ledger_timing"] = f"""{lg}
       SELECT version, CAST(count(execution_time_seconds) AS BIGINT) AS n,

@@ -55,8 +55,9 @@ def test_ledger_checks(spark):
     outs = {(r.version, r.outcome, r.critical) for r in L.outcomes(lg).collect()}
     assert (3, "applied", False) in outs and (4, "failed", True) in outs and (5, "applied", False) in outs
     assert (2, "failed", False) in outs
-    classes = {r.version: r.error_class for r in L.error_classes(lg).collect()}
-    assert classes == {2: "not_found", 3: "already_exists", 4: "other", 5: "already_exists"}
+    classes = {r.version: (r.error_class, r.expected) for r in L.error_classes(lg).collect()}
+    assert classes == {2: ("not_found", True), 3: ("already_exists", True), 4: ("other", False),
+                       5: ("already_exists", False)}
     assert [r.version for r in L.checksum_drift(lg).collect()] == [6]
     d = defs(spark, [("s", i, i, "d", "x") for i in range(1, 8)] + [("t", 1, 1, "d", "x")])
     assert sorted(r.version for r in L.pending(d, lg).collect() if r.schema_key == "s") == [3, 4, 5, 7]
