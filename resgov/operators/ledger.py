@@ -155,7 +155,8 @@ def pending(defs: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def summary(defs: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Per schema: ledger rows, failed attempts, defined / applied / pending versions.
+    """Per schema: ledger rows, failed attempts, defined / applied versions, and of
+    the defined ones those skipped (already applied) and pending.
 
     Each side is reduced once to one row per (schema, version); the two are
     joined on that key (both already hash-partitioned by it) and rolled up per
@@ -176,6 +177,7 @@ def summary(defs: DataFrame, ledger: DataFrame) -> DataFrame:
                  F.coalesce(F.sum("failed"), F.lit(0)).cast("long").alias("n_failed_attempts"),
                  F.count_if(defined).cast("long").alias("n_defined"),
                  F.count_if(applied).cast("long").alias("n_applied"),
+                 F.count_if(defined & applied).cast("long").alias("n_skipped"),
                  F.count_if(defined & ~applied).cast("long").alias("n_pending")))
 
 

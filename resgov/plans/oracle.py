@@ -486,13 +486,16 @@ def _sql() -> dict[str, str]:
       d AS (SELECT schema_key, count(*) AS n_defined FROM defined_v GROUP BY schema_key),
       a AS (SELECT schema_key, count(*) AS n_applied FROM applied_v GROUP BY schema_key),
       p AS (SELECT schema_key, count(*) AS n_pending FROM pending_v GROUP BY schema_key),
+      sk AS (SELECT d.schema_key, count(*) AS n_skipped FROM defined_v d
+             JOIN applied_v a ON a.schema_key = d.schema_key AND a.version = d.version GROUP BY d.schema_key),
       k AS (SELECT schema_key FROM d UNION SELECT schema_key FROM r)
       SELECT k.schema_key, CAST(coalesce(r.n_rows, 0) AS BIGINT) AS n_rows,
         CAST(coalesce(r.n_failed_attempts, 0) AS BIGINT) AS n_failed_attempts,
         CAST(coalesce(d.n_defined, 0) AS BIGINT) AS n_defined, CAST(coalesce(a.n_applied, 0) AS BIGINT) AS n_applied,
-        CAST(coalesce(p.n_pending, 0) AS BIGINT) AS n_pending
+        CAST(coalesce(p.n_pending, 0) AS BIGINT) AS n_pending,
+        CAST(coalesce(sk.n_skipped, 0) AS BIGINT) AS n_skipped
       FROM k LEFT JOIN r USING (schema_key) LEFT JOIN d USING (schema_key) LEFT JOIN a USING (schema_key)
-        LEFT JOIN p USING (schema_key)"""
+        LEFT JOIN p USING (schema_key) LEFT JOIN sk USING (schema_key)"""
     q["ledger_without_failed"] = (f"{lg} SELECT {LEDGER_COLS} FROM ledger "
                                   f"WHERE NOT coalesce(version = 1 AND status = 'failed', false)")
     q["conform_v1_to_v2"] = (f"{rg} SELECT {REG_COLS.replace(', revoked_reason', '')}, "

@@ -63,7 +63,8 @@ def test_ledger_checks(spark):
     assert sorted(r.version for r in L.pending(d, lg).collect() if r.schema_key == "s") == [3, 4, 5, 7]
     summ = {r.schema_key: r for r in L.summary(d, lg).collect()}
     s = summ["s"]
-    assert (s.n_rows, s.n_failed_attempts, s.n_defined, s.n_applied, s.n_pending) == (7, 4, 7, 3, 4)
+    assert (s.n_rows, s.n_failed_attempts, s.n_defined, s.n_applied, s.n_skipped, s.n_pending) == \
+        (7, 4, 7, 3, 3, 4)
     assert summ["t"].n_rows == 0 and summ["t"].n_pending == 1
     assert L.drop_failed(lg, 2).count() == 6
     assert {r.version for r in L.applied_versions(lg).collect()} == {1, 2, 6}
