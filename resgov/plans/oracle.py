@@ -418,7 +418,9 @@ def _sql() -> dict[str, str]:
       SELECT page_id, CASE WHEN url IS NULL OR url = '' THEN 'default-workspace'
         ELSE split_part(CASE WHEN contains(url, '://') THEN split_part(url, '://', 2) ELSE url END, '.', 1) END
         AS workspace_name FROM pages"""
-    q["workspaces"] = (f"{fd} SELECT workspace_id, workspace_name, CAST(count(*) AS BIGINT) AS n_resources "
+    q["workspaces"] = (f"{fd} SELECT workspace_id, workspace_name, "
+                       f"'https://' || workspace_name || '.cloud.example.com' AS url, "
+                       f"CAST(count(*) AS BIGINT) AS n_resources "
                        f"FROM feed_inv GROUP BY workspace_id, workspace_name")
 
     q["ledger_applied"] = (f"{lg} SELECT schema_key, version, description, applied_at, status FROM ledger "

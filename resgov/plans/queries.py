@@ -354,8 +354,10 @@ def workspace_names(spark, sf):
 
 @query
 def workspaces(spark, sf):
-    """Workspaces seen in the feed inventory."""
-    return S.workspaces(feed_inventory(spark, sf))
+    """Workspaces seen in the feed inventory, with the URL their feeds came from."""
+    hosts = S.workspace_hosts(_x_apps_raw(spark, sf), _x_endpoints_raw(spark, sf), _x_vector_raw(spark, sf),
+                              _x_databases_raw(spark, sf))
+    return S.workspaces(feed_inventory(spark, sf), hosts)
 
 
 # ---------------------------------------------------------------- ledger

@@ -118,7 +118,20 @@ def feed_health(inventory: DataFrame) -> DataFrame:
                  F.count_if(F.col("created_at").isNull()).alias("n_missing_created")))
 
 
-def workspaces(inventory: DataFrame) -> DataFrame:
-    """Workspaces seen in the inventory with their resource counts."""
-    return (inventory.groupBy("workspace_id", "workspace_name")
+def workspace_hosts(*raw_feeds: DataFrame) -> DataFrame:
+    """(workspace_id, url) pairs the raw feeds were read from (partial-aggregated distinct)."""
+    out = None
+    for raw in raw_feeds:
+        pairs = raw.select("workspace_id", F.col("workspace_host").alias("url"))
+        out = pairs if out is None else out.unionByName(pairs)
+    return out.distinct()
+
+
+def workspaces(inventory: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
+    """Workspaces seen in the inventory (id, name, resource count) and, given the
+    feeds' hosts, their URL."""
+    seen = (inventory.groupBy("workspace_id", "workspace_name")
             .agg(F.count(F.lit(1)).alias("n_resources")))
+    if hosts is None:
+        return seen
+    return seen.join(hosts, "workspace_id", "left").select("workspace_id", "workspace_name", "url", "n_resources")

@@ -131,3 +131,12 @@ def test_any_foundation_exploded(spark):
         "endpoint string, name string, entity_name string, external_model struct<name:string>")
     got = {r.endpoint: r.is_foundation_model for r in any_foundation(rows).collect()}
     assert got == {"e1": True, "e2": False, "e3": True}
+
+
+def test_workspace_listing_with_urls(spark):
+    inv = spark.createDataFrame([("1", "one"), ("1", "one"), ("2", "two")], "workspace_id string, workspace_name string")
+    raw = spark.createDataFrame([("1", "https://one.example.com"), ("1", "https://one.example.com"),
+                                 ("2", "https://two.example.com")], "workspace_id string, workspace_host string")
+    got = {r.workspace_id: (r.workspace_name, r.url, r.n_resources)
+           for r in S.workspaces(inv, S.workspace_hosts(raw)).collect()}
+    assert got == {"1": ("one", "https://one.example.com", 2), "2": ("two", "https://two.example.com", 1)}
