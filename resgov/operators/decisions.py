@@ -17,12 +17,17 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.times import midnight_as_written, trunc_seconds
-from ..schemas import KEY, REGISTRY_COLUMNS
+from ..schemas import KEY, REGISTRY, REGISTRY_COLUMNS
 from .neighbors import with_neighbor
 from .validate import valid_decisions
 
 ORDER = ["at", "seq"]
 
+
+def _registry_row(cols: dict) -> list[Column]:
+    """Registry columns in table order, carrying the table's column comments."""
+    return [cols[c].alias(c, metadata=REGISTRY[c].metadata) for c in REGISTRY_COLUMNS]
+
 _APPROVE_FIELDS = ["resource_name", "workspace_name", "resource_creator", "actor", "reason", "expiration_date"]
 _REVOKE_FIELDS = ["actor", "reason"]
 
@@ -68,7 +73,8 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str] = KEY,
     """
     latest = _latest(source, keys, order, REGISTRY_COLUMNS).select(*REGISTRY_COLUMNS)
     kept = target.join(latest.select(*keys), list(keys), "left_anti")
-    return kept.select(*REGISTRY_COLUMNS).unionByName(latest)
+    both = kept.select(*REGISTRY_COLUMNS).unionByName(latest)
+    return both.select(*_registry_row({c: F.col(c) for c in REGISTRY_COLUMNS}))
 
 
 def latest_revokes(valid_log: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
@@ -94,7 +100,7 @@ def apply_revokes(target: DataFrame, valid_log: DataFrame, keys: Sequence[str] =
         "revoked_reason": F.when(hit, F.col("_reason")).otherwise(F.col("revoked_reason")),
         "updated_at": F.when(hit, F.col("_at")).otherwise(F.col("updated_at")),
     }
-    return j.select(*[replaced.get(c, F.col(c)).alias(c) for c in REGISTRY_COLUMNS])
+    return j.select(*_registry_row({c: replaced.get(c, F.col(c)) for c in REGISTRY_COLUMNS}))
 
 
 def unmatched_revokes(target: DataFrame, valid_log: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
@@ -151,7 +157,7 @@ def registry_from_state(state: DataFrame) -> DataFrame:
         "updated_at": F.when(later, r_at).otherwise(a_at),
         "revoked_reason": F.when(later, r["reason"]),
     }
-    return state.filter(a.isNotNull()).select(*[cols[c].alias(c) for c in REGISTRY_COLUMNS])
+    return state.filter(a.isNotNull()).select(*_registry_row(cols))
 
 
 def fold(log: DataFrame, keys: Sequence[str] = KEY, validate: bool = True) -> DataFrame:

@@ -15,6 +15,7 @@ def test_versions_backup_roundtrip(spark, run_dir):
     assert K.read_snapshot(spark, base).count() == 5          # latest version
     v1 = K.read_snapshot(spark, base, 1)
     assert sorted(v1.columns) == sorted(reg.columns)
+    assert v1.schema["revoked_reason"].metadata.get("comment") == "Reason for revocation"   # comments persist
     d = K.difference_counts(reg, v1).first()
     assert (d.only_left, d.only_right) == (0, 0)
     dest = K.backup(spark, base, base + "-copy", 1)
