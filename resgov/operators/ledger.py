@@ -139,6 +139,12 @@ def conform(df: DataFrame, schema_version: int = 2) -> DataFrame:
     return df.select(*cols)
 
 
+def read_conformed(spark, *paths: str, schema_version: int = 2) -> DataFrame:
+    """Read registry files written under different schema versions together
+    (``mergeSchema``: old files get nulls for newer columns) in the version-N layout."""
+    return conform(spark.read.option("mergeSchema", "true").parquet(*paths), schema_version)
+
+
 def timing(ledger: DataFrame) -> DataFrame:
     """Execution-time profile per version across the fleet (exact, mergeable aggregates)."""
     t = F.col("execution_time_seconds")

@@ -107,3 +107,15 @@ def test_schema_without_definitions_is_reported(spark):
     d2 = defs(spark, [("a", 1, 1, "x", "s"), ("only-defs", 1, 2, "x", "s")])
     got = {r.schema_key for r in L.non_sequential(d2, lg).collect()}
     assert got == {"empty", "only-defs"}
+
+
+def test_read_mixed_schema_versions(spark, tmp_path):
+    from resgov.plans.queries import registry
+    reg = registry(spark, "/root/testdata/sf0.001")
+    old_dir, new_dir = str(tmp_path / "v1"), str(tmp_path / "v2")
+    reg.drop("revoked_reason").limit(20).write.parquet(old_dir)        # written before migration 2
+    reg.write.parquet(new_dir)
+    both = L.read_conformed(spark, old_dir, new_dir)
+    assert both.columns == [f.name for f in REGISTRY.fields]
+    assert both.count() == reg.count() + 20
+    assert L.read_conformed(spark, old_dir).filter("revoked_reason IS NOT NULL").count() == 0
