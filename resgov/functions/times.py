@@ -41,3 +41,8 @@ def midnight_as_written(col: Column) -> Column:
 def epoch_millis_ntz(col: Column) -> Column:
     """Epoch milliseconds → UTC instant; 0 and null give null (Python truthiness)."""
     return F.when(col.isNotNull() & (col != 0), F.timestamp_millis(col).cast("timestamp_ntz"))
+
+
+def elapsed_seconds(start: Column, end: Column) -> Column:
+    """Seconds from ``start`` to ``end`` as a double (microsecond precision)."""
+    return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1_000_000.0

@@ -195,8 +195,15 @@ def drop_failed(ledger: DataFrame, version: int) -> DataFrame:
 
 def ledger_rows(attempts: DataFrame, actor: str = "system") -> DataFrame:
     """Attempt records → ledger rows: SHA-256 of the statement, times truncated
-    to seconds, audit columns filled (values are columns, never spliced SQL)."""
-    from ..functions.times import trunc_seconds
+    to seconds, audit columns filled (values are columns, never spliced SQL).
+    Attempts carrying ``started_at``/``finished_at`` get their execution time
+    (and applied time) from them."""
+    from ..functions.times import elapsed_seconds, trunc_seconds
+    if "execution_time_seconds" not in attempts.columns and {"started_at", "finished_at"} <= set(attempts.columns):
+        attempts = attempts.withColumn("execution_time_seconds",
+                                       elapsed_seconds(F.col("started_at"), F.col("finished_at")))
+    if "applied_at" not in attempts.columns and "started_at" in attempts.columns:
+        attempts = attempts.withColumn("applied_at", F.col("started_at"))
     at = trunc_seconds(F.col("applied_at"))
     return attempts.select(
         "schema_key", F.col("version").cast("int").alias("version"), "description", "sql_statement",

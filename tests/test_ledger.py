@@ -119,3 +119,13 @@ def test_read_mixed_schema_versions(spark, tmp_path):
     assert both.columns == [f.name for f in REGISTRY.fields]
     assert both.count() == reg.count() + 20
     assert L.read_conformed(spark, old_dir).filter("revoked_reason IS NOT NULL").count() == 0
+
+
+def test_ledger_rows_from_timed_attempts(spark):
+    attempts = spark.createDataFrame(
+        [("s", 1, "d", "ALTER TABLE t ADD COLUMN x STRING", "applied",
+          dt.datetime(2024, 1, 1, 0, 0, 0, 250000), dt.datetime(2024, 1, 1, 0, 0, 2, 750000), None)],
+        "schema_key string, version int, description string, sql_statement string, status string, "
+        "started_at timestamp_ntz, finished_at timestamp_ntz, error_message string")
+    r = L.ledger_rows(attempts).first()
+    assert r.execution_time_seconds == 2.5 and r.applied_at == dt.datetime(2024, 1, 1)
