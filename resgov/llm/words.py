@@ -18,6 +18,8 @@ _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64
 _BYTE[65:91] = _BYTE[97:123]
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[9, 10, 11, 12, 13, 32]] = False
+_IS_TERM = np.zeros(256, dtype=bool)  # terms: letters and digits only, every non-ASCII byte counts as a letter
+_IS_TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,6 +69,38 @@ def _places(starts: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def hash_terms(offsets: np.ndarray, raw: np.ndarray, prefixes: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of all terms and of each longer term's first k characters (0: it has no more than k), and bounds as above.
+
+    Latin-1 capitals count as small letters, too.
+    """
+    capital = np.zeros(len(raw), dtype=bool)
+    capital[1:] = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E)
+    raw = np.where(capital, raw + np.uint8(0x20), raw)
+    term = _IS_TERM[raw]
+    begins = term.copy()
+    begins[1:] &= ~term[:-1]
+    firsts = offsets[:-1][offsets[:-1] < len(raw)]
+    begins[firsts] = term[firsts]
+    starts = np.flatnonzero(begins)
+    bounds = np.searchsorted(starts, offsets)
+    if not len(starts):
+        return [np.zeros(0, np.uint64)] * (1 + len(prefixes)), bounds
+    place = _places(starts, len(raw))
+    longest = int(place[term].max()) + 1
+    powers = np.cumprod(np.full(longest, _BASE, dtype=np.uint64))
+    values = np.where(term, _BYTE[raw] * powers[np.minimum(place, longest - 1)], np.uint64(0))
+    out = [mix64(np.add.reduceat(values, starts))]
+    seen = np.cumsum((raw & 0xC0) != 0x80)
+    nth = seen - np.repeat(seen[starts], np.diff(np.append(starts, len(raw)))) if starts[0] == 0 else \
+        np.concatenate([np.zeros(starts[0], seen.dtype), seen[starts[0]:] - np.repeat(seen[starts], np.diff(np.append(starts, len(raw))))])
+    size = np.maximum.reduceat(np.where(term, nth, 0), starts) + 1
+    for k in prefixes:
+        part = mix64(np.add.reduceat(np.where(nth < k, values, np.uint64(0)), starts) + np.uint64(k))
+        out.append(np.where(size > k, part, np.uint64(0)))
+    return out, bounds
+
+
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of k words, in order."""
     if len(words) < k:
