@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bloom_lm import is_held_out
-from .frames import prepared
+from .frames import prepared, sent
 from .words import hash_terms, text_pieces
 
 BUCKET_BITS, FACTORS = 18, 8
@@ -125,11 +125,10 @@ def fit_machine(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts:
 
 def toxicity(docs: DataFrame, machine: Machine, parts: int = 5, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted of every whole text."""
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(machine)
+    model = sent(docs.sparkSession, machine)
 
     def run(batches):
-        machine = model.value
+        machine = model()
         for batch in batches:
             z = np.array([machine.margin(at) for at in buckets(batch.column(2))])
             scores = 1 / (1 + np.exp(-np.clip(z, -500, 500)))

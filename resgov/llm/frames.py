@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import configure, shared_dir
@@ -26,6 +28,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent(spark: SparkSession, model):
+    """Broadcast a fitted model; the function returned gives it back inside a task."""
+    raw = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+    return lambda: pickle.loads(raw.value)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
     """(node, label): label is the smallest node reachable over the undirected edges (a, b).
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bloom_lm import is_held_out
-from .frames import prepared
+from .frames import prepared, sent
 from .words import _IS_WORD, _places, hash_words, text_pieces
 
 SAMPLE = 15_000
@@ -191,11 +191,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", part
 
 
 def quality(docs: DataFrame, fitted: Model, parts: int = 5, threshold: float = 0.3) -> DataFrame:
-    model = docs.sparkSession.sparkContext.broadcast(fitted)
+    model = sent(docs.sparkSession, fitted)
 
     def run(batches):
+        network = model()
         for batch in batches:
-            scores = model.value.score(measures(batch.column(2)))
+            scores = network.score(measures(batch.column(2)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out(F.col("doc_id"), parts).alias("held_out"), "text")
