@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bloom_lm, factor_machine, pu_quality
+from . import bloom_lm, factor_machine, pii, pu_quality, warc
 from .frames import prepared
 from .mixing import mix
 from .near_dedup import near_duplicates
@@ -19,6 +19,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.score(read(spark, sf_dir, "documents"))
 
@@ -31,6 +35,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mix(read(spark, sf_dir, "documents"), share=1.5, most=2.0)
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -41,7 +49,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality, op4_lm_score, op6_toxicity, op7_fingerprints, op9_mixing, op10_near_dedup)}
+    return {f.__name__: f for f in (op2_quality, op3_warc, op4_lm_score, op6_toxicity, op7_fingerprints, op8_pii, op9_mixing, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
