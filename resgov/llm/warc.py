@@ -74,7 +74,7 @@ class Bundle:
     def __init__(self, uri: str):
         import zstandard
         system, path = place(uri)
-        self.uri, self.stream, self.frames, self.plain, self.size, self.written = uri, system.open_output_stream(path), [], [], 0, 0
+        self.uri, self.stream, self.frames, self.plain, self.size, self.written = uri, system.open_output_stream(path, compression=None), [], [], 0, 0
         self.packer = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True)
 
     def add(self, record: bytes) -> tuple[int, int]:
