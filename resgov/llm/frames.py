@@ -29,9 +29,20 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 
 def sent(spark: SparkSession, model):
-    """Broadcast a fitted model; the function returned gives it back inside a task."""
-    raw = spark.sparkContext.broadcast(cloudpickle.dumps(model))
-    return lambda: pickle.loads(raw.value)
+    """Broadcast a fitted model; the function returned gives it back inside a task.
+
+    A Python worker keeps a broadcast's value between tasks, so the model (and
+    what it caches) is unpickled once a worker, not once a task.
+    """
+    held = spark.sparkContext.broadcast({"raw": cloudpickle.dumps(model)})
+
+    def get():
+        value = held.value
+        if "model" not in value:
+            value["model"] = pickle.loads(value["raw"])
+        return value["model"]
+
+    return get
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bloom_lm, factor_machine, pii, pu_quality, warc
+from . import bloom_lm, factor_machine, pieces, pii, pu_quality, warc
 from .frames import prepared
 from .mixing import mix
 from .near_dedup import near_duplicates
@@ -15,6 +15,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: The public vocabulary file; a parameter of the operator.
+MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(read(spark, sf_dir, "documents"), MODEL_FILE)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -49,7 +57,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality, op3_warc, op4_lm_score, op6_toxicity, op7_fingerprints, op8_pii, op9_mixing, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_warc, op4_lm_score, op6_toxicity, op7_fingerprints, op8_pii, op9_mixing, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
