@@ -8,6 +8,7 @@ from . import bloom_lm, factor_machine, pieces, pii, pu_quality, warc
 from .frames import prepared
 from .mixing import mix
 from .near_dedup import near_duplicates
+from .nn_descent import near_vectors
 from .order_minhash import edited_fingerprints
 
 
@@ -35,6 +36,10 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.score(read(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factor_machine.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -57,7 +62,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_warc, op4_lm_score, op6_toxicity, op7_fingerprints, op8_pii, op9_mixing, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_warc, op4_lm_score, op5_embedding_dedup, op6_toxicity, op7_fingerprints, op8_pii, op9_mixing, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
