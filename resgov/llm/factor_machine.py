@@ -138,6 +138,19 @@ def toxicity(docs: DataFrame, machine: Machine, parts: int = 5, threshold: float
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, machine: Machine, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that score below the threshold, in one map."""
+    model = sent(docs.sparkSession, machine)
+    at, limit = docs.columns.index("text"), np.log(threshold / (1 - threshold))
+
+    def run(batches):
+        machine = model()
+        for batch in batches:
+            yield batch.filter(pa.array([machine.margin(found) < limit for found in buckets(batch.column(at))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, labels: DataFrame, parts: int = 5, size: int = SAMPLE) -> DataFrame:
     prepared(docs.sparkSession)
     return toxicity(docs, fit_machine(docs, labels, parts=parts, size=size), parts)

@@ -6,11 +6,11 @@ sequence reaches first (optimal densification), so bins fail independently
 even for short texts.  Bins are banded into buckets.  In every bucket all
 members are linked to one centre only (a star), so a bucket of n documents
 makes n - 1 candidate pairs.  Candidates are confirmed on the full shingle
-sets.  A bucket whose members do not end in one component sheds its centre,
-which by then was held against every other member, and new stars are drawn in
-it, twice as many at each round, around members of its smallest components,
-until each bucket is one component or used up: no candidate pair that could
-join two components is left out, and pairs inside a component are not made.
+sets.  Most buckets are then one component.  In the others members are held
+against each other in blocks: a bucket is cut into blocks of ``BLOCK`` members,
+each pair of blocks goes to one task as one group of bounded size, and the task
+returns only links that join two components, so no pair that could join two
+components is left out and no list of pairs is made.
 
 Documents with equal sets are one class from the start.  Rows: one a document.
 
@@ -32,6 +32,9 @@ from .words import hash_words, mix64, shingle_hashes, text_pieces
 
 BANDS, ROWS = 32, 8
 PROBES = 64
+BLOCK = 512
+DENSE = 8
+MAX_BROADCAST_IDS = 1_000_000  # 24 bytes each
 
 
 def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
@@ -76,12 +79,12 @@ def band_keys(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, node, bands, sketch): node is a 128-bit digest of the shingle set, null for the empty set; sketch has a byte of each minimum."""
+    """(doc_id, n_shingles, node, bands): node is a 128-bit digest of the shingle set, null for the empty set."""
     probes = probe_table(bands * rows)
 
     def run(batches):
         for batch in batches:
-            counts, nodes, keys, sketches = [], [], [], []
+            counts, nodes, keys = [], [], []
             for _, offsets, raw in text_pieces(batch.column(1)):
                 words, bounds = hash_words(offsets, raw)
                 for i in range(len(bounds) - 1):
@@ -89,16 +92,13 @@ def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) ->
                     counts.append(len(members))
                     if len(members):
                         nodes.append(xxhash.xxh3_128_digest(members.tobytes()))
-                        minima = bin_minima(members, bands * rows, probes)
-                        keys.append(band_keys(minima, bands, rows))
-                        sketches.append(minima.astype(np.uint8).tobytes())
+                        keys.append(band_keys(bin_minima(members, bands * rows, probes), bands, rows))
                     else:
                         nodes.append(None)
                         keys.append(None)
-                        sketches.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "node", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node binary, bands array<long>, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -116,29 +116,11 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node binary, members array<long>")
 
 
-def alike(pairs: DataFrame, sketches: DataFrame, percent: int, bins: int) -> DataFrame:
-    """Drop pairs (a, b) whose sizes or minima rule the threshold out.
-
-    Equal bins estimate the similarity; a pair goes only if it is four standard
-    deviations (of the effective sample: no more than the larger set) below.
-    """
-    columns = "a binary, b binary"
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            p, q = (batch.column(i).to_numpy().astype(np.float64) for i in (2, 3))
-            s, t = (np.stack([np.frombuffer(x, np.uint8) for x in batch.column(i).to_pylist()]) for i in (4, 5))
-            share = percent / 100
-            slack = 4 * np.sqrt(1.25 * share * (1 - share) / np.minimum(bins, np.maximum(p, q)))
-            keep = pa.array((s == t).mean(axis=1) >= share - slack)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
-
-    sized = (pairs.join(sketches.select(F.col("node").alias("a"), F.col("size").alias("p"), F.col("sketch").alias("s")), "a")
-             .join(sketches.select(F.col("node").alias("b"), F.col("size").alias("q"), F.col("sketch").alias("t")), "b")
-             .where(F.least("p", "q") * 100 >= F.greatest("p", "q") * percent))
-    return sized.select("a", "b", "p", "q", "s", "t").mapInArrow(run, columns)
+def able(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Drop pairs (a, b) whose set sizes alone rule the threshold out."""
+    return (pairs.join(sizes.select(F.col("node").alias("a"), F.col("size").alias("p")), "a")
+            .join(sizes.select(F.col("node").alias("b"), F.col("size").alias("q")), "b")
+            .where(F.least("p", "q") * 100 >= F.greatest("p", "q") * percent).select("a", "b"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -150,41 +132,98 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         common * 100 >= (F.size("m") + F.size("n") - common) * percent).select("a", "b")
 
 
+def joining(nodes: list, labels: list, blocks: list, sets: list[np.ndarray], percent: int) -> list[tuple[bytes, bytes]]:
+    """Links between components among the members of one or two blocks, no more than join them (as label pairs).
+
+    Common elements are counted for all pairs at once: columns of a 0/1 matrix for
+    elements that many members have, lists of pairs for rare ones.
+    """
+    size, n = np.array([len(s) for s in sets]), len(sets)
+    owner = np.repeat(np.arange(n), size)
+    values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = np.zeros((n, n), dtype=np.float32)
+    wide = np.flatnonzero(times >= DENSE)
+    place = np.full(len(values), -1)
+    place[wide] = np.arange(len(wide))
+    at = place[column]
+    for begin in range(0, len(wide), 4096):
+        inside = (at >= begin) & (at < begin + 4096)
+        matrix = np.zeros((n, min(4096, len(wide) - begin)), dtype=np.float32)
+        matrix[owner[inside], at[inside] - begin] = 1
+        common += matrix @ matrix.T
+    rare = np.flatnonzero((times[column] > 1) & (times[column] < DENSE))
+    rare = rare[np.argsort(column[rare], kind="stable")]
+    key, who = column[rare], owner[rare]
+    for step in range(1, DENSE - 1):
+        same = np.flatnonzero(key[step:] == key[:-step]) if len(key) > step else np.zeros(0, int)
+        both = np.bincount(who[same] * n + who[same + step], minlength=n * n).reshape(n, n)
+        common += both + both.T
+    found = np.argwhere(np.triu(common * 100 >= percent * (size[:, None] + size[None, :] - common), 1))
+    top = {label: label for label in labels}
+
+    def root(label):
+        while top[label] != label:
+            top[label] = label = top[top[label]]
+        return label
+
+    cross, out = len(set(blocks)) > 1, []
+    for i, j in found:
+        if cross and blocks[i] == blocks[j]:
+            continue
+        x, y = root(labels[i]), root(labels[j])
+        if x != y:
+            top[max(x, y)] = min(x, y)
+            out.append((labels[i], labels[j]))
+    return out
+
+
+def block_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): labels joined by a link between members (bucket, node) of one bucket."""
+    rest = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    whole = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"),
+                                       F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("g")).where("low <> high")
+    # buckets of the same members, as bands of similar texts are, count once
+    whole = whole.groupBy("n", "h", "g").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    nth = F.row_number().over(Window.partitionBy("bucket").orderBy("label", "node"))
+    placed = rest.join(whole, "bucket").withColumn("block", ((nth - 1) / BLOCK).cast("int"))
+    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "label")
+    # two blocks of one component have nothing to join
+    open_ = paired.groupBy("bucket", "x", "y").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket", "x", "y")
+    rows = paired.join(open_, ["bucket", "x", "y"]).join(sets, "node").select("bucket", "x", "y", "block", "node", "label", "members")
+
+    def run(table: pa.Table) -> pa.Table:
+        columns = {name: table.column(name).to_pylist() for name in ("node", "label", "block")}
+        sets_ = [np.asarray(m.values.to_numpy(zero_copy_only=False), np.int64) for m in table.column("members")]
+        links = joining(columns["node"], columns["label"], columns["block"], sets_, percent)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
+
+    return rows.groupBy("bucket", "x", "y").applyInArrow(run, "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id)."""
     prepared(docs.sparkSession)
     signed = written(signatures(docs, k, bands, rows), "signatures")
-    classes = written(signed.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    members = signed.where("node is not null")
+    classes = written(members.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands")), "classes")
     buckets = classes.select("node", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1").select("bucket", "centre")
     active = written(buckets.join(shared, "bucket").where("node <> centre").select("bucket", "node", "centre"), "buckets")
+    pairs = active.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     wanted = active.select("node").union(active.select("centre")).distinct()
-    sketches = written(classes.join(wanted, "node").select("node", "doc_id", "size", "sketch"), "sketches")
-    pairs = written(active.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    active = active.select("bucket", "node")
-    close = written(alike(pairs, sketches, percent, bands * rows), "close")
-    texts = docs.select("doc_id", "text").join(sketches.select("node", "doc_id"), "doc_id")
+    found = written(classes.select("node", "doc_id", "size").join(wanted, "node"), "candidates")
+    close = written(able(pairs, found, percent), "pairs")
+    ids = found.select("node", "doc_id")
+    small = found.count() <= MAX_BROADCAST_IDS
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if small else ids, "doc_id")
     sets = written(shingle_sets(texts, k).dropDuplicates(["node"]), "sets")
-    links, tried, stars = written(confirmed(close, sets, percent), "links"), pairs, 1
-    while True:
-        labels = components(links)
-        # a bucket of one component is done; elsewhere new centres meet the members of other components
-        rest = active.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        parts = rest.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-        mixed = parts.groupBy("bucket").agg(F.count("*").alias("labels")).where("labels > 1").select("bucket")
-        rest = written(rest.join(parts, ["bucket", "label"]).join(mixed, "bucket"), "buckets")
-        if not rest.limit(1).count():
-            break
-        nth = F.row_number().over(Window.partitionBy("bucket").orderBy("n", "label", "node"))
-        centres = written(rest.withColumn("nth", nth).where(F.col("nth") <= stars).select("bucket", F.col("node").alias("centre"), F.col("label").alias("own")), "centres")
-        met = (rest.join(centres, "bucket").where("label <> own")
-               .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
-        pairs = written(met.join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = written(links.unionByName(confirmed(alike(pairs, sketches, percent, bands * rows), sets, percent)), "links")
-        tried = written(tried.unionByName(pairs), "tried")
-        active = rest.join(centres.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node")
-        stars *= 2
+    active = active.select("bucket", "node")
+    labels = components(confirmed(close, sets, percent))
+    joins = components(block_links(active, labels, sets, percent))
+    label = F.coalesce("top", "label", "node")
+    labels = (classes.select("node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+              .join(joins.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", label.alias("label")))
     named = classes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = named.join(smallest, "label").select("node", "component_id")

@@ -262,6 +262,25 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
+def corpus(docs: DataFrame, model_file: str) -> DataFrame:
+    """The columns of docs but text, and n_pieces, score and ids of the best segmentation."""
+    spark = prepared(docs.sparkSession)
+    model = sent(spark, Vocabulary(model_file))
+    rest = [c for c in docs.columns if c not in ("text", "n_pieces", "score", "ids")]
+
+    def run(batches):
+        coder = _coder(model)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 128):
+                part = batch.slice(begin, 128)
+                ways = [coder.n_best(t or "", 1)[0] for t in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([len(i) for _, i in ways], pa.int64()), pa.array([s for s, _ in ways], pa.float64()), pa.array([i for _, i in ways], pa.list_(pa.int32()))], [*rest, "n_pieces", "score", "ids"])
+
+    rows = docs.select("text", *rest)
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[1:])
+    return rows.mapInArrow(run, f"{kinds}n_pieces long, score double, ids array<int>")
+
+
 def digests(docs: DataFrame, model_file: str, n: int = N_BEST) -> DataFrame:
     """A row a document without its pieces: counts, scores, a digest of the best ids and whether they decode to the text."""
     import hashlib
