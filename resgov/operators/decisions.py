@@ -3,8 +3,8 @@
 Without a table format that supports MERGE/UPDATE, the registry changes are
 DataFrame algebra:
 
-* upsert   = target ▷ source-keys  ∪  latest source row per key
-* revoke   = target ⟕ latest revoke per key, fields replaced where matched
+* upsert   = one ``groupBy(key)`` over target ∪ source, source rows rank higher
+* revoke   = one ``groupBy(key)`` over target ∪ revokes, fields replaced where both met
 * fold     = one ``groupBy(key)`` with ``max(struct(at, seq, …))`` per action —
   a mergeable aggregate, so map-side partial aggregation collapses hot keys
   before the shuffle and no group is ever materialised in one task.
@@ -71,10 +71,12 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str] = KEY,
     re-approval clears an earlier revocation).  Several source rows per key:
     the last by ``order`` wins, as if applied one after another.
     """
-    latest = _latest(source, keys, order, REGISTRY_COLUMNS).select(*REGISTRY_COLUMNS)
-    kept = target.join(latest.select(*keys), list(keys), "left_anti")
-    both = kept.select(*REGISTRY_COLUMNS).unionByName(latest)
-    return both.select(*_registry_row({c: F.col(c) for c in REGISTRY_COLUMNS}))
+    rest = [c for c in REGISTRY_COLUMNS if c not in keys]
+    stored = target.select(*keys, F.lit(0).alias("_rank"), *[F.lit(None).cast(source.schema[c].dataType).alias(f"_{c}") for c in order], *rest)
+    new = source.select(*keys, F.lit(1).alias("_rank"), *[F.col(c).alias(f"_{c}") for c in order], *rest)
+    last = (stored.unionByName(new).groupBy(*keys)
+            .agg(F.max(F.struct("_rank", *[f"_{c}" for c in order], *rest)).alias("_last")))
+    return last.select(*_registry_row({c: F.col(c) if c in keys else F.col(f"_last.{c}") for c in REGISTRY_COLUMNS}))
 
 
 def latest_revokes(valid_log: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
@@ -88,19 +90,19 @@ def apply_revokes(target: DataFrame, valid_log: DataFrame, keys: Sequence[str] =
     Keys without a registry row are a silent no-op, as in the reference (see
     ``unmatched_revokes``).  Other fields are kept.
     """
-    rv = latest_revokes(valid_log, keys).select(
-        *keys, F.lit(True).alias("_hit"), trunc_seconds(F.col("at")).alias("_at"),
-        F.col("actor").alias("_by"), F.col("reason").alias("_reason"))
-    j = target.join(rv, list(keys), "left")
-    hit = F.coalesce(F.col("_hit"), F.lit(False))
-    replaced = {
-        "is_approved": F.when(hit, F.lit(False)).otherwise(F.col("is_approved")),
-        "revoked_date": F.when(hit, F.col("_at")).otherwise(F.col("revoked_date")),
-        "revoked_by": F.when(hit, F.col("_by")).otherwise(F.col("revoked_by")),
-        "revoked_reason": F.when(hit, F.col("_reason")).otherwise(F.col("revoked_reason")),
-        "updated_at": F.when(hit, F.col("_at")).otherwise(F.col("updated_at")),
-    }
-    return j.select(*_registry_row({c: replaced.get(c, F.col(c)) for c in REGISTRY_COLUMNS}))
+    rest = [c for c in REGISTRY_COLUMNS if c not in keys]
+    row, hit = F.struct(*rest), F.struct(trunc_seconds(F.col("at")).alias("_at"), F.col("seq").alias("_seq"), F.col("actor").alias("_by"), F.col("reason").alias("_reason"))
+    stored = target.select(*keys, row.alias("_row"))
+    # ordered by the exact time and seq; the time kept is truncated
+    revokes = (valid_log.filter(F.col("action") == "revoke")
+               .select(*keys, F.struct(F.col("at"), F.col("seq"), hit.alias("hit")).alias("_revoke")))
+    met = (stored.unionByName(revokes, allowMissingColumns=True).groupBy(*keys)
+           .agg(F.max("_row").alias("_row"), F.max("_revoke").alias("_revoke")).filter(F.col("_row").isNotNull()))
+    found, r = F.col("_revoke").isNotNull(), F.col("_revoke")["hit"]
+    replaced = {"is_approved": F.lit(False), "revoked_date": r["_at"], "revoked_by": r["_by"], "revoked_reason": r["_reason"], "updated_at": r["_at"]}
+    cols = {c: F.col(c) if c in keys else F.col(f"_row.{c}") for c in REGISTRY_COLUMNS}
+    cols |= {c: F.when(found, v).otherwise(cols[c]) for c, v in replaced.items()}
+    return met.select(*_registry_row(cols))
 
 
 def unmatched_revokes(target: DataFrame, valid_log: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:

@@ -106,7 +106,7 @@ def latest_status(ledger: DataFrame, order: Sequence[str] = ("applied_at",)) ->
                     F.col("_l.error_message").alias("error_message")))
 
 
-def outcomes(attempts: DataFrame) -> DataFrame:
+def outcomes(attempts: DataFrame, id_columns: Sequence[str] = ()) -> DataFrame:
     """Outcome of each attempt from its error text: an existing target counts as
     applied with a note; other errors fail; a failing CREATE TABLE is critical."""
     err = F.col("error_message")
@@ -116,15 +116,15 @@ def outcomes(attempts: DataFrame) -> DataFrame:
     exists = F.coalesce(exists, F.lit(False))
     failed = err.isNotNull() & ~exists
     return attempts.select(
-        "schema_key", "version", *[c for c in ("tie1", "tie2") if c in attempts.columns],
+        "schema_key", "version", *id_columns,
         F.when(failed, F.lit(FAILED)).otherwise(F.lit(APPLIED)).alias("outcome"),
         F.when(exists, F.lit(EXISTS_NOTE)).when(failed, err).alias("note"),
         (failed & F.coalesce(F.col("sql_statement").contains(CRITICAL_MARKER), F.lit(False))).alias("critical"))
 
 
-def error_classes(ledger: DataFrame) -> DataFrame:
+def error_classes(ledger: DataFrame, id_columns: Sequence[str] = ()) -> DataFrame:
     return (ledger.filter(F.col("error_message").isNotNull())
-            .select("schema_key", "version", *[c for c in ("tie1", "tie2") if c in ledger.columns],
+            .select("schema_key", "version", *id_columns,
                     error_class(F.col("error_message")).alias("error_class"),
                     expected_error(F.col("error_message")).alias("expected")))
 
@@ -145,13 +145,37 @@ def read_conformed(spark, *paths: str, schema_version: int = 2) -> DataFrame:
     return conform(spark.read.option("mergeSchema", "true").parquet(*paths), schema_version)
 
 
-def timing(ledger: DataFrame) -> DataFrame:
-    """Execution-time profile per version across the fleet (exact, mergeable aggregates)."""
+def timing(ledger: DataFrame, accuracy: int = 1000) -> DataFrame:
+    """Execution-time profile per version across the fleet (mergeable aggregates).
+
+    ``p95_seconds`` is approximate: its rank is off by at most n / ``accuracy``.
+    """
     t = F.col("execution_time_seconds")
     return (ledger.groupBy("version")
-            .agg(F.count(t).alias("n"), F.round(F.avg(t), 6).alias("avg_seconds"),
-                 F.min(t).alias("min_seconds"), F.max(t).alias("max_seconds"),
-                 F.round(F.sum(t), 6).alias("total_seconds")))
+            .agg(F.count(t).alias("n"), F.avg(t).alias("avg_seconds"),
+                 F.min(t).alias("min_seconds"), F.max(t).alias("max_seconds"), F.sum(t).alias("total_seconds"),
+                 F.percentile_approx(t, 0.95, accuracy).alias("p95_seconds")))
+
+
+def report(ledger: DataFrame) -> DataFrame:
+    """Status report over all ledger rows, whatever their status."""
+    return ledger.select("schema_key", "version", "description", "applied_at", "execution_time_seconds",
+                         "status", "error_message")
+
+
+def definition_drift(ledger: DataFrame, defs: DataFrame, id_columns: Sequence[str] = ()) -> DataFrame:
+    """Applied rows of defined versions whose checksum is that of no statement
+    now defined for them: the migration was edited after it ran.
+
+    Two semi/anti joins on (schema, version) and (schema, version, checksum);
+    several definitions of a version make no pairs.
+    """
+    known = defs.filter(F.col("version").isNotNull() & F.col("sql").isNotNull())
+    now = known.select("schema_key", "version", F.sha2("sql", 256).alias("checksum")).distinct()
+    applied_rows = ledger.filter(F.col("status") == APPLIED).select("schema_key", "version", *id_columns, "applied_at", "checksum")
+    return (applied_rows.join(now.select("schema_key", "version").distinct(), ["schema_key", "version"], "left_semi")
+            .join(now, ["schema_key", "version", "checksum"], "left_anti")
+            .select("schema_key", "version", *id_columns, "applied_at", "checksum"))
 
 
 def pending(defs: DataFrame, ledger: DataFrame) -> DataFrame:

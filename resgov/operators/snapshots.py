@@ -1,164 +1,41 @@
-"""Versioned registry snapshots on plain parquet (no table-format jars needed).
+"""Registry snapshots: plain Parquet folders that are written once.
 
-Layout: ``{base}/version=N/key_bucket=B/*.parquet`` plus a small marker
-``{base}/commits/version=N`` written after the data job succeeded.  A version
-is either *full* (every bucket) or *incremental* (only the buckets its marker
-lists).  Reading version N takes the newest full version at or before N and
-replaces each bucket rewritten since by its newest incremental directory —
-partition pruning keeps the read to the directories needed.  A commit writes
-a new version directory, never the one being read, so a failed or replayed
-job leaves older versions intact and a retry of the same version overwrites
-only its own directory; a version without its marker is ignored.
+A snapshot or backup goes to a path its caller names and that must not exist
+yet, so no reader ever sees a half-replaced table and nothing stored is lost.
+Time travel is the fold of the decision log up to an instant
+(``decisions.registry_as_of``), not a store of versions.
 """
 
 from __future__ import annotations
 
-from typing import Sequence
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..schemas import KEY, REGISTRY
-from . import decisions as D
-
-DEFAULT_BUCKETS = 16
-
-
-def key_bucket(keys: Sequence[str] = KEY, buckets: int = DEFAULT_BUCKETS):
-    return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)).cast("int")
-
-
-def write_snapshot(df: DataFrame, base: str, version: int, keys: Sequence[str] = KEY,
-                   buckets: int = DEFAULT_BUCKETS, written_buckets: Sequence[int] | None = None) -> str:
-    """Write ``df`` as version ``version`` partitioned by key bucket; returns the path.
 
-    ``written_buckets`` (when the caller knows them) are recorded in the commit
-    marker so readers can resolve bucket versions without listing files.
-    """
-    path = f"{base.rstrip('/')}/version={int(version)}"
-    # rebalance (not repartition): AQE splits a bucket holding a large share of
-    # the rows over several writer tasks and merges small ones, so files stay
-    # few per bucket without one task writing a hot bucket alone
-    (df.withColumn("key_bucket", key_bucket(keys, buckets))
-       .hint("rebalance", "key_bucket")
-       .write.mode("overwrite").partitionBy("key_bucket").parquet(path))
-    # commit marker, written only after the data job succeeded
-    spark = df.sparkSession
-    marker = (spark.createDataFrame([(int(b),) for b in sorted(written_buckets)], "key_bucket int")
-              if written_buckets is not None else spark.range(1).select(F.lit(None).cast("int").alias("key_bucket")))
-    marker.write.mode("overwrite").parquet(f"{base.rstrip('/')}/commits/version={int(version)}")
+def write_snapshot(df: DataFrame, path: str) -> str:
+    """Write ``df`` to the new folder ``path`` (an existing one is an error); returns the path."""
+    df.write.mode("errorifexists").parquet(path)
     return path
 
 
-def versions(spark: SparkSession, base: str) -> list[int]:
-    """Committed versions under ``base`` (those with a commit marker)."""
-    try:
-        marks = spark.read.parquet(f"{base.rstrip('/')}/commits")
-    except AnalysisException:  # nothing committed yet
-        return []
-    return sorted(r.version for r in marks.select("version").distinct().collect())
-
-
-def bucket_layout(spark: SparkSession, base: str) -> dict[int, list[int] | None]:
-    """Committed versions → buckets written (None for a full version), from the
-    commit markers (at most versions × buckets small rows)."""
-    try:
-        marks = spark.read.parquet(f"{base.rstrip('/')}/commits")
-    except AnalysisException:
-        return {}
-    out: dict[int, list[int] | None] = {}
-    for r in marks.select("version", "key_bucket").distinct().collect():
-        if r.key_bucket is None:
-            out[r.version] = None
-        elif out.get(r.version, []) is not None:
-            out.setdefault(r.version, []).append(r.key_bucket)
-    return {v: (None if bs is None else sorted(bs)) for v, bs in out.items()}
-
-
-def read_snapshot(spark: SparkSession, base: str, version: int | None = None,
-                  buckets: Sequence[int] | None = None) -> DataFrame:
-    """The dataset as of ``version`` (latest when None), optionally restricted to
-    some key buckets, without the bucket column."""
-    layout = bucket_layout(spark, base)
-    committed = sorted(v for v in layout if version is None or v <= version)
-    if not committed:
-        raise FileNotFoundError(f"no snapshot under {base} at version {version}")
-    fulls = [v for v in committed if layout[v] is None]
-    full = fulls[-1] if fulls else None
-    newest: dict[int, int] = {}
-    for v in committed:
-        if full is None or v > full:
-            for b in layout[v]:
-                newest[b] = v
-    wanted = None if buckets is None else set(buckets)
-    root = base.rstrip("/")
-    parts = []
-    if full is not None:
-        df = spark.read.option("basePath", root).parquet(f"{root}/version={full}")
-        skip = sorted(newest)
-        if skip:
-            df = df.filter(~F.col("key_bucket").isin(skip))
-        if wanted is not None:
-            df = df.filter(F.col("key_bucket").isin(sorted(wanted)))
-        parts.append(df)
-    inc = [f"{root}/version={v}/key_bucket={b}" for b, v in sorted(newest.items()) if wanted is None or b in wanted]
-    if inc:
-        parts.append(spark.read.option("basePath", root).parquet(*inc))
-    if not parts:
-        return spark.read.option("basePath", root).parquet(f"{root}/version={committed[-1]}").limit(0) \
-            .drop("version", "key_bucket")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out.drop("version", "key_bucket")
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
 
 
-def touched_buckets(df: DataFrame, keys: Sequence[str], buckets: int) -> list[int]:
-    # at most `buckets` small integers reach the driver
-    return sorted(r.b for r in df.select(key_bucket(keys, buckets).alias("b")).distinct().collect())
-
-
-def _prior(spark: SparkSession, base: str, version: int, buckets: list[int]) -> DataFrame:
-    before = [v for v in versions(spark, base) if v < version]
-    if not before:
-        return spark.createDataFrame([], REGISTRY)
-    return read_snapshot(spark, base, before[-1], buckets)
-
-
-def upsert_snapshot(spark: SparkSession, base: str, source: DataFrame, version: int,
-                    keys: Sequence[str] = KEY, buckets: int = DEFAULT_BUCKETS) -> list[int]:
-    """MERGE registry rows into the stored registry as version ``version``,
-    rewriting only the key buckets the source touches; returns those buckets."""
-    touched = touched_buckets(source, keys, buckets)
-    if touched:
-        merged = D.upsert(_prior(spark, base, version, touched), source, keys)
-        write_snapshot(merged, base, version, keys, buckets, written_buckets=touched)
-    return touched
-
-
-def revoke_snapshot(spark: SparkSession, base: str, valid_log: DataFrame, version: int,
-                    keys: Sequence[str] = KEY, buckets: int = DEFAULT_BUCKETS) -> list[int]:
-    """Apply revocations to the stored registry as version ``version``, rewriting
-    only the buckets their keys fall in; returns those buckets."""
-    revokes = valid_log.filter(F.col("action") == "revoke")
-    touched = touched_buckets(revokes, keys, buckets)
-    if touched:
-        updated = D.apply_revokes(_prior(spark, base, version, touched), revokes, keys)
-        write_snapshot(updated, base, version, keys, buckets, written_buckets=touched)
-    return touched
-
-
-def backup(spark: SparkSession, base: str, dest: str, version: int | None = None) -> str:
-    """Copy a snapshot version to ``dest`` (CREATE TABLE … AS SELECT)."""
-    src = read_snapshot(spark, base, version)
-    src.write.mode("overwrite").parquet(dest)
-    return dest
+def backup(spark: SparkSession, path: str, dest: str) -> str:
+    """Copy a snapshot to the new folder ``dest`` (CREATE TABLE … AS SELECT)."""
+    return write_snapshot(read_snapshot(spark, path), dest)
 
 
 def difference_counts(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows in left but not right and vice versa (multiset ``exceptAll`` both ways), one row."""
-    right = right.select(*left.columns)
-    a = left.exceptAll(right).select(F.lit(1).alias("l"), F.lit(0).alias("r"))
-    b = right.exceptAll(left).select(F.lit(0).alias("l"), F.lit(1).alias("r"))
-    return a.unionByName(b).agg(F.coalesce(F.sum("l"), F.lit(0)).cast("long").alias("only_left"),
-                                F.coalesce(F.sum("r"), F.lit(0)).cast("long").alias("only_right"))
+    """One row: rows of each side, and rows (repeats counted) only one side has.
+
+    Both sides meet in one aggregation on all columns, so each is read once.
+    """
+    columns = left.columns
+    sides = left.withColumn("_l", F.lit(1)).withColumn("_r", F.lit(0)).unionByName(
+        right.select(*columns).withColumn("_l", F.lit(0)).withColumn("_r", F.lit(1)))
+    per_row = sides.groupBy(*columns).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return per_row.agg(total("_l").alias("n_left"), total("_r").alias("n_right"),
+                       total(F.greatest(F.col("_l") - F.col("_r"), F.lit(0))).alias("only_left"),
+                       total(F.greatest(F.col("_r") - F.col("_l"), F.lit(0))).alias("only_right"))

@@ -138,7 +138,7 @@ def card_view(status: DataFrame, as_of: Column) -> DataFrame:
         approver_label(F.col("approved_by")).alias("approver_label"),
         expiry_flag(F.col("expiration_date"), as_of).alias("expiry_flag"),
         date_label(F.col("approval_date")).alias("approval_date_label"),
-        date_label(F.col("expiration_date")).alias("expiration_date_label"),
+        date_label(F.col("expiration_date"), with_time=True).alias("expiration_date_label"),
     )
 
 

@@ -30,14 +30,17 @@ inv AS (
 LOG = """
 log AS (
   SELECT o_orderkey AS seq, o_orderdate AS "at",
-    CASE WHEN o_orderstatus = 'P' THEN 'revoke' ELSE 'approve' END AS action,
-    c_name AS resource_name, CAST(c_custkey AS VARCHAR) AS resource_id, CAST(c_nationkey AS VARCHAR) AS workspace_id,
+    CASE WHEN o_orderkey % 53 = 9 THEN 'extend' WHEN o_orderstatus = 'P' THEN 'revoke' ELSE 'approve' END AS action,
+    CASE WHEN o_orderkey % 41 = 6 THEN '' WHEN o_orderkey % 41 <> 7 THEN c_name END AS resource_name,
+    CAST(c_custkey AS VARCHAR) AS resource_id,
+    CASE WHEN o_orderstatus = 'P' AND o_orderkey % 43 = 8 THEN '' ELSE CAST(c_nationkey AS VARCHAR) END AS workspace_id,
     n_name AS workspace_name, concat('user', CAST(c_custkey % 20 AS VARCHAR), '@example.com') AS resource_creator,
     concat('clerk', CAST(o_orderkey % 50 AS VARCHAR)) AS actor,
     concat(o_orderpriority, ' #', o_orderstatus) AS reason,
-    CASE WHEN o_orderstatus = 'O' THEN
+    CASE WHEN o_orderstatus = 'O' THEN CASE o_orderkey % 37 WHEN 1 THEN '2024-3-1' WHEN 2 THEN '2024' WHEN 3 THEN '10:00'
+        WHEN 4 THEN 'next spring' WHEN 5 THEN '' ELSE
       strftime(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 720 AS INTEGER), '%Y-%m-%d')
-      || CASE o_orderkey % 3 WHEN 0 THEN 'T23:30:00-05:00' WHEN 1 THEN '' ELSE ' 12:00:00' END END AS expiration_date
+      || CASE o_orderkey % 3 WHEN 0 THEN 'T23:30:00-05:00' WHEN 1 THEN '' ELSE ' 12:00:00' END END END AS expiration_date
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
 checked AS (
   SELECT *, CASE
@@ -45,7 +48,7 @@ checked AS (
       WHEN resource_name IS NULL OR resource_name = '' OR resource_id IS NULL OR resource_id = ''
         THEN 'Resource name and ID are required'
       WHEN reason IS NULL OR length(trim(reason)) < 10 THEN 'Justification must be at least 10 characters'
-      WHEN expiration_date IS NOT NULL AND expiration_date <> '' AND TRY_CAST(expiration_date AS TIMESTAMPTZ) IS NULL
+      WHEN expiration_date IS NOT NULL AND expiration_date <> '' AND NOT regexp_matches(expiration_date, '^[0-9]{4}-[0-9]{2}-[0-9]{2}')
         THEN 'Invalid expiration date' END
     WHEN action = 'revoke' THEN CASE
       WHEN resource_id IS NULL OR resource_id = '' OR workspace_id IS NULL OR workspace_id = ''
@@ -66,7 +69,7 @@ def fold(src: str, name: str) -> str:
 {name} AS (
   SELECT a.resource_name, a.resource_id, a.workspace_id, a.workspace_name, a.resource_creator,
     a.actor AS approved_by, date_trunc('second', a."at") AS approval_date,
-    CAST(substr(trim(a.expiration_date), 1, 10) AS TIMESTAMP) AS expiration_date,
+    TRY_CAST(nullif(substr(trim(a.expiration_date), 1, 10), '') AS TIMESTAMP) AS expiration_date,
     a.reason AS justification, r.seq IS NULL AS is_approved,
     date_trunc('second', r."at") AS revoked_date, r.actor AS revoked_by,
     CASE WHEN r.seq IS NULL THEN date_trunc('second', a."at") ELSE date_trunc('second', r."at") END AS updated_at,
@@ -219,28 +222,31 @@ def with_feeds() -> str:
 
 
 LEDGER = """
+li AS (
+  SELECT *, CASE WHEN l_partkey % 11 = 0 THEN 'CREATE TABLE t' || CAST(l_partkey AS VARCHAR) || ' (id STRING)'
+                 ELSE 'ALTER TABLE t ADD COLUMN c' || CAST(l_partkey AS VARCHAR) || ' STRING' END AS stmt,
+    CAST(CASE WHEN l_suppkey % 29 = 0 THEN NULL WHEN l_orderkey % 2 = 0 OR l_partkey % 5 <> 0 THEN l_linenumber
+              ELSE l_linenumber + 1 END AS INTEGER) AS ver
+  FROM lineitem),
 ledger AS (
-  SELECT CAST(l_orderkey AS VARCHAR) AS schema_key,
-    CAST(CASE WHEN l_orderkey % 2 = 0 THEN row_number() OVER w ELSE l_linenumber END AS INTEGER) AS version,
-    'step ' || CAST(l_linenumber AS VARCHAR) AS description,
-    'ALTER TABLE t ADD COLUMN c' || CAST(l_partkey AS VARCHAR) || ' STRING' AS sql_statement,
-    CASE WHEN l_partkey % 13 = 0 THEN sha256('ALTER TABLE t ADD COLUMN c' || CAST(l_partkey AS VARCHAR) || ' STRING ')
-         ELSE sha256('ALTER TABLE t ADD COLUMN c' || CAST(l_partkey AS VARCHAR) || ' STRING') END AS checksum,
+  SELECT CAST(l_orderkey AS VARCHAR) AS schema_key, ver AS version, 'step ' || CAST(l_linenumber AS VARCHAR) AS description,
+    stmt AS sql_statement, CASE WHEN l_partkey % 13 = 0 THEN sha256(stmt || ' ') ELSE sha256(stmt) END AS checksum,
     CASE WHEN l_returnflag = 'R' THEN 'failed' ELSE 'applied' END AS status,
     l_shipdate AS applied_at, l_quantity / 10.0 AS execution_time_seconds,
     CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'FIELD_ALREADY_EXISTS: c'
+         WHEN l_returnflag = 'R' AND l_suppkey % 3 = 0 THEN 'PERMISSION_DENIED: t'
          WHEN l_returnflag = 'R' THEN 'TABLE_OR_VIEW_NOT_FOUND: t' END AS error_message,
     l_shipdate AS created_at, l_shipdate AS updated_at, 'system' AS created_by, 'system' AS updated_by,
     l_partkey AS tie1, l_suppkey AS tie2
-  FROM lineitem
-  WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey)),
+  FROM li),
 defs AS (
-  SELECT CAST(l_orderkey AS VARCHAR) AS schema_key, CAST(row_number() OVER w AS INTEGER) AS position,
-    CAST(CASE WHEN l_orderkey % 2 = 0 THEN row_number() OVER w ELSE l_linenumber END AS INTEGER) AS version,
+  SELECT CAST(l_orderkey AS VARCHAR) AS schema_key,
+    CAST(((date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) * 10 + l_linenumber) * 10000000 + l_partkey) * 100000
+         + l_suppkey AS BIGINT) AS position,
+    ver AS version,
     CASE WHEN l_partkey % 17 <> 0 THEN 'step ' || CAST(l_linenumber AS VARCHAR) END AS description,
-    CASE WHEN l_suppkey % 19 <> 0 THEN 'ALTER TABLE t ADD COLUMN c' || CAST(l_partkey AS VARCHAR) || ' STRING' END AS sql
-  FROM lineitem
-  WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey)),
+    CASE WHEN l_suppkey % 19 <> 0 THEN stmt || CASE WHEN l_partkey % 7 = 0 THEN ' -- edited' ELSE '' END END AS sql
+  FROM li WHERE l_orderkey % 17 <> 0),
 applied_v AS (SELECT DISTINCT schema_key, version FROM ledger WHERE status = 'applied' AND version IS NOT NULL),
 defined_v AS (SELECT DISTINCT schema_key, version FROM defs WHERE version IS NOT NULL),
 pending_v AS (SELECT d.* FROM defined_v d WHERE NOT EXISTS (
@@ -326,7 +332,7 @@ def _sql() -> dict[str, str]:
         CASE WHEN approved_by = 'system' THEN 'System (Foundation Model)' ELSE approved_by END AS approver_label,
         {EXPIRY_FLAG.format(c='expiration_date')} AS expiry_flag,
         strftime(approval_date, '%b %d, %Y') AS approval_date_label,
-        strftime(expiration_date, '%b %d, %Y') AS expiration_date_label
+        strftime(expiration_date, '%b %d, %Y %H:%M') AS expiration_date_label
       FROM status"""
     q["state_classes"] = f"""{fd}
       SELECT type, resource_id, workspace_id, state,
@@ -348,13 +354,13 @@ def _sql() -> dict[str, str]:
     q["revoke_rejects"] = (f"WITH {LOG} SELECT seq, resource_id, workspace_id, error FROM checked "
                            f"WHERE error IS NOT NULL AND action = 'revoke'")
     q["expiry_warnings"] = f"""WITH {LOG}, e AS (
-        SELECT seq, resource_id, workspace_id, CAST(substr(trim(expiration_date), 1, 10) AS TIMESTAMP) AS expiration_date
-        FROM valid WHERE action = 'approve' AND expiration_date IS NOT NULL)
+        SELECT seq, resource_id, workspace_id, TRY_CAST(nullif(substr(trim(expiration_date), 1, 10), '') AS TIMESTAMP) AS expiration_date
+        FROM valid WHERE action = 'approve' AND expiration_date <> '')
       SELECT *, CAST(expiration_date AS DATE) < CAST({AS_OF} AS DATE) AS past_expiry FROM e"""
     q["approval_rows"] = f"""WITH {LOG}
       SELECT seq, resource_name, resource_id, workspace_id, workspace_name, resource_creator, actor AS approved_by,
         date_trunc('second', "at") AS approval_date,
-        CAST(substr(trim(expiration_date), 1, 10) AS TIMESTAMP) AS expiration_date,
+        TRY_CAST(nullif(substr(trim(expiration_date), 1, 10), '') AS TIMESTAMP) AS expiration_date,
         reason AS justification, true AS is_approved, CAST(NULL AS TIMESTAMP) AS revoked_date,
         CAST(NULL AS VARCHAR) AS revoked_by, date_trunc('second', "at") AS updated_at,
         CAST(NULL AS VARCHAR) AS revoked_reason
@@ -368,7 +374,7 @@ def _sql() -> dict[str, str]:
       src_rows AS (
         SELECT resource_name, resource_id, workspace_id, workspace_name, resource_creator, actor AS approved_by,
           date_trunc('second', "at") AS approval_date,
-          CAST(substr(trim(expiration_date), 1, 10) AS TIMESTAMP) AS expiration_date,
+          TRY_CAST(nullif(substr(trim(expiration_date), 1, 10), '') AS TIMESTAMP) AS expiration_date,
           reason AS justification, true AS is_approved, CAST(NULL AS TIMESTAMP) AS revoked_date,
           CAST(NULL AS VARCHAR) AS revoked_by, date_trunc('second', "at") AS updated_at,
           CAST(NULL AS VARCHAR) AS revoked_reason
@@ -411,9 +417,13 @@ def _sql() -> dict[str, str]:
     q["foundation_endpoints"] = (f"{fd} SELECT name, CAST(n_entities AS INTEGER) AS n_entities "
                                  f"FROM ep_full WHERE any_fm")
     q["endpoint_descriptions"] = f"{fd} SELECT name, description FROM feed_endpoints"
-    q["decode_result_rows"] = """
-      SELECT CAST(o_orderkey // 100 AS BIGINT) AS result_id, o_orderkey, o_orderstatus, o_orderstatus = 'O' AS is_open,
-        o_totalprice, o_orderdate FROM orders"""
+    # every 31st row has three fields only: the first three of its own manifest's order
+    short, odd = "o_orderkey % 31 = 0", "(o_orderkey // 100) % 2 = 1"
+    q["decode_result_rows"] = f"""
+      SELECT CAST(o_orderkey // 100 AS BIGINT) AS result_id, CASE WHEN NOT ({short} AND {odd}) THEN o_orderkey END AS o_orderkey,
+        CASE WHEN NOT ({short} AND {odd}) THEN o_orderstatus END AS o_orderstatus, o_orderstatus = 'O' AS is_open,
+        CASE WHEN NOT ({short} AND NOT {odd}) THEN o_totalprice END AS o_totalprice,
+        CASE WHEN NOT ({short} AND NOT {odd}) THEN o_orderdate END AS o_orderdate FROM orders"""
     q["workspace_names"] = """
       SELECT page_id, CASE WHEN url IS NULL OR url = '' THEN 'default-workspace'
         ELSE split_part(CASE WHEN contains(url, '://') THEN split_part(url, '://', 2) ELSE url END, '.', 1) END
@@ -502,7 +512,18 @@ def _sql() -> dict[str, str]:
                                   f"WHERE NOT coalesce(version = 1 AND status = 'failed', false)")
     q["conform_v1_to_v2"] = (f"{rg} SELECT {REG_COLS.replace(', revoked_reason', '')}, "
                              f"CAST(NULL AS VARCHAR) AS revoked_reason FROM reg")
-    q["backup_equals_source"] = "SELECT 1 AS version, CAST(0 AS BIGINT) AS only_left, CAST(0 AS BIGINT) AS only_right"
+    q["backup_equals_source"] = f"""{rg} SELECT CAST(count(*) AS BIGINT) AS n_left, CAST(count(*) AS BIGINT) AS n_right,
+        CAST(0 AS BIGINT) AS only_left, CAST(0 AS BIGINT) AS only_right FROM reg"""
+    q["unknown_actions"] = (f"WITH {LOG} SELECT seq, resource_id, workspace_id, error FROM checked "
+                            f"WHERE action NOT IN ('approve', 'revoke')")
+    q["ledger_report"] = (f"{lg} SELECT schema_key, version, description, applied_at, execution_time_seconds, status, "
+                          f"error_message FROM ledger")
+    q["ledger_definition_drift"] = f"""{lg}, now AS (
+        SELECT schema_key, version, sha256(sql) AS checksum FROM defs WHERE version IS NOT NULL AND sql IS NOT NULL)
+      SELECT schema_key, version, tie1, tie2, applied_at, checksum FROM ledger l WHERE status = 'applied'
+        AND EXISTS (SELECT 1 FROM now n WHERE n.schema_key = l.schema_key AND n.version = l.version)
+        AND NOT EXISTS (SELECT 1 FROM now n WHERE n.schema_key = l.schema_key AND n.version = l.version
+                        AND n.checksum = l.checksum)"""
     return q
 
 

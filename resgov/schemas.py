@@ -48,23 +48,23 @@ DECISION_LOG = T.StructType([
 ])
 
 REGISTRY_V1 = T.StructType([
-    _field("resource_name", T.StringType(), "Name of the resource"),
-    _field("resource_id", T.StringType(), "Unique resource identifier"),
-    _field("workspace_id", T.StringType(), "Workspace ID"),
-    _field("workspace_name", T.StringType(), "Workspace display name"),
-    _field("resource_creator", T.StringType(), "User who created the resource"),
-    _field("approved_by", T.StringType(), "User who approved the resource"),
-    _field("approval_date", TS, "Timestamp of approval"),
-    _field("expiration_date", TS, "Optional expiration date"),
-    _field("justification", T.StringType(), "Reason for approval"),
-    _field("is_approved", T.BooleanType(), "Current approval status"),
-    _field("revoked_date", TS, "Timestamp when revoked"),
-    _field("revoked_by", T.StringType(), "User who revoked approval"),
-    _field("updated_at", TS, "Last update timestamp"),
+    _field("resource_name", T.StringType(), "what the resource is called"),
+    _field("resource_id", T.StringType(), "id of the resource inside its workspace"),
+    _field("workspace_id", T.StringType(), "id of the workspace it lives in"),
+    _field("workspace_name", T.StringType(), "how the workspace is shown"),
+    _field("resource_creator", T.StringType(), "who made the resource"),
+    _field("approved_by", T.StringType(), "who said yes"),
+    _field("approval_date", TS, "when it was approved (UTC)"),
+    _field("expiration_date", TS, "day the approval ends, if any"),
+    _field("justification", T.StringType(), "why it was approved"),
+    _field("is_approved", T.BooleanType(), "false once revoked"),
+    _field("revoked_date", TS, "when it was revoked (UTC)"),
+    _field("revoked_by", T.StringType(), "who revoked it"),
+    _field("updated_at", TS, "last change of the row (UTC)"),
 ])
 
 REGISTRY = T.StructType(REGISTRY_V1.fields + [
-    _field("revoked_reason", T.StringType(), "Reason for revocation"),
+    _field("revoked_reason", T.StringType(), "why it was revoked"),
 ])
 
 # Column order of the registry as the reference's table ends up after

@@ -69,13 +69,14 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A directory under the cluster's shared checkpoint folder.
 
-    Reads ``spark.checkpoint.dir`` from the session.  Only when it is unset
-    (local tests) is a private folder created and registered, so snapshots,
-    stream checkpoints and lineage cuts never land on an executor-local disk
-    of a real cluster.
+    Reads ``spark.checkpoint.dir`` from the session.  Where it is unset, a
+    private folder is created and registered in local mode (tests); on a
+    cluster that is an error, as executors would write to disks of their own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="resgov-")
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -18,8 +18,9 @@ def decode_result(raw: DataFrame, schema: T.StructType, keep=("result_id",)) ->
                           F.posexplode("data_array").alias("row_pos", "_row"))
     out = []
     for field in schema.fields:
-        idx = F.array_position(F.col("_names"), field.name).cast("int")
-        value = F.when(idx > 0, F.element_at(F.col("_row"), idx))
+        # of columns with one name the last counts; a row too short for its manifest has nulls
+        behind = F.array_position(F.reverse("_names"), field.name).cast("int")
+        value = F.when(behind > 0, F.try_element_at(F.col("_row"), F.size("_names") - behind + 1))
         if isinstance(field.dataType, T.BooleanType):
             typed = F.lower(value) == "true"
         elif isinstance(field.dataType, T.StringType):

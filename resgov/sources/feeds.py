@@ -30,7 +30,7 @@ def workspace_name(host: Column) -> Column:
 
 def json_state(doc: Column) -> Column:
     """State from a polymorphic JSON value: ``{"state": X}`` → X, ``"X"`` → X, else UNKNOWN."""
-    text = F.ltrim(doc)
+    text = F.regexp_replace(doc, r"^\s+", "")
     return (F.when(text.startswith("{"), F.coalesce(F.get_json_object(text, "$.state"), F.lit(UNKNOWN)))
             .when(text.startswith('"'), F.coalesce(F.get_json_object(text, "$"), F.lit(UNKNOWN)))
             .otherwise(F.lit(UNKNOWN)))
@@ -118,20 +118,15 @@ def feed_health(inventory: DataFrame) -> DataFrame:
                  F.count_if(F.col("created_at").isNull()).alias("n_missing_created")))
 
 
-def workspace_hosts(*raw_feeds: DataFrame) -> DataFrame:
-    """(workspace_id, url) pairs the raw feeds were read from (partial-aggregated distinct)."""
+def workspaces(*raw_feeds: DataFrame) -> DataFrame:
+    """Workspaces of the raw feeds: id, name, URL (the first host by text, of several) and resource count.
+
+    Every feed is read once for two columns; rows are counted per (id, host)
+    before the one exchange, and an id with several hosts stays one row.
+    """
     out = None
     for raw in raw_feeds:
         pairs = raw.select("workspace_id", F.col("workspace_host").alias("url"))
         out = pairs if out is None else out.unionByName(pairs)
-    return out.distinct()
-
-
-def workspaces(inventory: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
-    """Workspaces seen in the inventory (id, name, resource count) and, given the
-    feeds' hosts, their URL."""
-    seen = (inventory.groupBy("workspace_id", "workspace_name")
-            .agg(F.count(F.lit(1)).alias("n_resources")))
-    if hosts is None:
-        return seen
-    return seen.join(hosts, "workspace_id", "left").select("workspace_id", "workspace_name", "url", "n_resources")
+    seen = out.groupBy("workspace_id").agg(F.min("url").alias("url"), F.count(F.lit(1)).alias("n_resources"))
+    return seen.select("workspace_id", workspace_name(F.col("url")).alias("workspace_name"), "url", "n_resources")

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.times import ntz
 from .tables import table
@@ -60,7 +60,9 @@ def inventory(spark: SparkSession, sf: str) -> DataFrame:
 
 def _expiration_text(day: Column, key: Column) -> Column:
     date = F.date_format(day, "yyyy-MM-dd")
-    return (F.when(key % 3 == 0, F.concat(date, F.lit("T23:30:00-05:00")))
+    return (F.when(key % 37 == 1, "2024-3-1").when(key % 37 == 2, "2024").when(key % 37 == 3, "10:00")
+             .when(key % 37 == 4, "next spring").when(key % 37 == 5, "")
+             .when(key % 3 == 0, F.concat(date, F.lit("T23:30:00-05:00")))
             .when(key % 3 == 1, date)
             .otherwise(F.concat(date, F.lit(" 12:00:00"))))
 
@@ -75,10 +77,10 @@ def decision_log(spark: SparkSession, sf: str) -> DataFrame:
             .select(
                 key.alias("seq"),
                 F.col("o_orderdate").alias("at"),
-                F.when(F.col("o_orderstatus") == "P", "revoke").otherwise("approve").alias("action"),
-                F.col("c_name").alias("resource_name"),
+                F.when(key % 53 == 9, "extend").when(F.col("o_orderstatus") == "P", "revoke").otherwise("approve").alias("action"),
+                F.when(key % 41 == 6, F.lit("")).when(key % 41 != 7, F.col("c_name")).alias("resource_name"),
                 _s("c_custkey").alias("resource_id"),
-                _s("c_nationkey").alias("workspace_id"),
+                F.when((F.col("o_orderstatus") == "P") & (key % 43 == 8), F.lit("")).otherwise(_s("c_nationkey")).alias("workspace_id"),
                 F.col("n_name").alias("workspace_name"),
                 F.concat(F.lit("user"), _s(F.col("c_custkey") % 20), F.lit("@example.com")).alias("resource_creator"),
                 F.concat(F.lit("clerk"), _s(key % 50)).alias("actor"),
@@ -94,24 +96,36 @@ CUT = _dt.datetime(1998, 1, 1)
 TRAVEL_TO = _dt.datetime(1997, 6, 30)
 
 
+def _statement() -> Column:
+    """What a ledger row ran: a table for every eleventh part, else a column."""
+    part = _s("l_partkey")
+    return (F.when(F.col("l_partkey") % 11 == 0, F.concat(F.lit("CREATE TABLE t"), part, F.lit(" (id STRING)")))
+            .otherwise(F.concat(F.lit("ALTER TABLE t ADD COLUMN c"), part, F.lit(" STRING"))))
+
+
+def _version() -> Column:
+    """Even keys their line number, odd keys one off for some parts; some have none."""
+    return (F.when(F.col("l_suppkey") % 29 == 0, F.lit(None))
+            .when(F.col("l_orderkey") % 2 == 0, F.col("l_linenumber"))
+            .otherwise(F.col("l_linenumber") + (F.col("l_partkey") % 5 == 0).cast("int"))).cast("int")
+
+
 def ledger(spark: SparkSession, sf: str) -> DataFrame:
-    """One migration ledger per order; even keys dense versions, odd keys raw line numbers."""
+    """One migration ledger per order, a row per line: a map over lineitem."""
     li = table(spark, sf, "lineitem")
-    order = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey")
-    key = F.col("l_orderkey")
-    sql = F.concat(F.lit("ALTER TABLE t ADD COLUMN c"), _s("l_partkey"), F.lit(" STRING"))
-    good = F.sha2(sql, 256)
+    sql = _statement()
     failed = F.col("l_returnflag") == "R"
     return li.select(
-        _s(key).alias("schema_key"),
-        F.when(key % 2 == 0, F.row_number().over(order)).otherwise(F.col("l_linenumber")).cast("int").alias("version"),
+        _s("l_orderkey").alias("schema_key"),
+        _version().alias("version"),
         F.concat(F.lit("step "), _s("l_linenumber")).alias("description"),
         sql.alias("sql_statement"),
-        F.when(F.col("l_partkey") % 13 == 0, F.sha2(F.concat(sql, F.lit(" ")), 256)).otherwise(good).alias("checksum"),
+        F.when(F.col("l_partkey") % 13 == 0, F.sha2(F.concat(sql, F.lit(" ")), 256)).otherwise(F.sha2(sql, 256)).alias("checksum"),
         F.when(failed, "failed").otherwise("applied").alias("status"),
         F.col("l_shipdate").alias("applied_at"),
         (F.col("l_quantity") / 10.0).alias("execution_time_seconds"),
         F.when(failed & (F.col("l_linestatus") == "F"), "FIELD_ALREADY_EXISTS: c")
+         .when(failed & (F.col("l_suppkey") % 3 == 0), "PERMISSION_DENIED: t")
          .when(failed, "TABLE_OR_VIEW_NOT_FOUND: t").alias("error_message"),
         F.col("l_shipdate").alias("created_at"),
         F.col("l_shipdate").alias("updated_at"),
@@ -123,18 +137,18 @@ def ledger(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def definitions(spark: SparkSession, sf: str) -> DataFrame:
-    """Migration definitions per schema, listed in ledger order; some fields missing."""
-    li = table(spark, sf, "lineitem")
-    order = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey")
-    key = F.col("l_orderkey")
-    pos = F.row_number().over(order)
+    """Migration definitions per schema, listed by ship day, line and part; some fields
+    missing, every seventeenth schema without any, some statements edited since."""
+    li = table(spark, sf, "lineitem").filter(F.col("l_orderkey") % 17 != 0)
+    day = F.datediff(F.col("l_shipdate"), F.lit("1990-01-01")).cast("long")
+    position = ((day * 10 + F.col("l_linenumber")) * 10_000_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey")
     return li.select(
-        _s(key).alias("schema_key"),
-        pos.cast("int").alias("position"),
-        F.when(key % 2 == 0, pos).otherwise(F.col("l_linenumber")).cast("int").alias("version"),
+        _s("l_orderkey").alias("schema_key"),
+        position.cast("long").alias("position"),
+        _version().alias("version"),
         F.when(F.col("l_partkey") % 17 != 0, F.concat(F.lit("step "), _s("l_linenumber"))).alias("description"),
         F.when(F.col("l_suppkey") % 19 != 0,
-               F.concat(F.lit("ALTER TABLE t ADD COLUMN c"), _s("l_partkey"), F.lit(" STRING"))).alias("sql"),
+               F.concat(_statement(), F.when(F.col("l_partkey") % 7 == 0, F.lit(" -- edited")).otherwise(F.lit("")))).alias("sql"),
     )
 
 
@@ -276,8 +290,10 @@ def result_raw(spark: SparkSession, sf: str, chunk_rows: int = 100) -> DataFrame
             ("o_orderdate", "TIMESTAMP", _s("o_orderdate"))]
     manifest = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("type_name")) for n, t, _ in cols])
     row = F.array(*[v for _, _, v in cols])
+    # every 31st row ends after three fields
+    cut = lambda r: F.when(F.col("o_orderkey") % 31 == 0, F.slice(r, 1, 3)).otherwise(r)
     return (o.select(chunk.alias("result_id"), odd.alias("odd"), F.col("o_orderkey"),
-                     F.when(odd, F.reverse(row)).otherwise(row).alias("row"))
+                     cut(F.when(odd, F.reverse(row)).otherwise(row)).alias("row"))
             .groupBy("result_id", "odd")
             .agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "row"))).alias("rows"))
             .select("result_id",

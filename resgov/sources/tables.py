@@ -8,16 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-# Schemas are read from the parquet footers once per path; later reads pass
-# the schema so building a plan does not re-infer it.
-_SCHEMAS: dict[str, object] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    schema = _SCHEMAS.get(path)
-    if schema is None:
-        df = spark.read.parquet(path)
-        _SCHEMAS[path] = df.schema
-        return df
-    return spark.read.schema(schema).parquet(path)
+    # read afresh each time: files and columns added since count
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -4,14 +4,12 @@ T1 — ``validated_stream`` / ``quarantine_stream``: the approve/revoke rules as
 stateless projection of a stream; valid rows and rejects go to separate sinks.
 
 T2 — ``registry_sink``: each micro-batch is folded (``fold_state``: last
-approve and last revoke per key, each with its (at, seq)) and merged with the
-stored state by taking maxima, so a late decision can never overwrite a newer
-one and replaying a batch changes nothing.  The merged state is written as a
-version directory named after the batch id, holding only the key buckets the
-batch touched, under a shared folder (the cluster's ``spark.checkpoint.dir``
-unless a path is given); the registry is derived from the newest committed
-directory of every bucket.  Expiry needs no timers: it is
-evaluated when the registry is read (``resource_status``).
+approve and last revoke per key, each with its (at, seq)) and the fold is
+appended to a folder.  Reading merges all folds by taking maxima, so a late
+decision never overwrites a newer one, and a batch appended twice (a retry, or
+a fresh checkpoint over the same folder) changes nothing.  Batch numbers play
+no part.  ``compact`` writes the merged state to a new folder.  Expiry needs no
+timers: it is evaluated when the registry is read (``resource_status``).
 """
 
 from __future__ import annotations
@@ -23,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import decisions as D
 from ..operators import snapshots as K
 from ..operators.validate import with_errors
-from ..schemas import DECISION_LOG, KEY
+from ..schemas import DECISION_LOG
 from ..session import shared_dir
 
 
@@ -42,52 +40,32 @@ def quarantine_stream(stream: DataFrame) -> DataFrame:
 
 @dataclass
 class RegistryState:
-    """Fold state under ``base`` as ``version=<batch id>/key_bucket=<b>`` directories.
-
-    A commit rewrites only the key buckets its batch touches; the state as of
-    version N is, per bucket, the newest directory at or before N.  A version
-    counts once its commit marker (listing the buckets it wrote) exists.  Replaying a batch rewrites
-    its own version from the same inputs and, the merge being a maximum,
-    yields the same state.
-    """
+    """Folds of micro-batches appended under ``base``; the state is their merge."""
 
     spark: SparkSession
     base: str
-    buckets: int = 64
-
-    def layout(self) -> dict[int, list[int] | None]:
-        """Committed versions and the buckets each one wrote (commit markers only)."""
-        return K.bucket_layout(self.spark, self.base)
 
-    def latest_version(self, before: int | None = None) -> int | None:
-        known = [v for v in K.versions(self.spark, self.base) if before is None or v < before]
-        return max(known) if known else None
+    def commit(self, batch: DataFrame) -> None:
+        """Append the fold of one micro-batch of decisions: one write, evaluated once."""
+        D.fold_state(with_errors(batch).filter(F.col("error").isNull())).write.mode("append").parquet(self.base)
 
-    def state(self, version: int | None = None, buckets=None) -> DataFrame | None:
-        if self.latest_version() is None:
-            return None
-        return K.read_snapshot(self.spark, self.base, version, buckets)
+    def state(self) -> DataFrame:
+        """One row a key, merged from every fold appended so far."""
+        return D.merge_states(self.spark.read.parquet(self.base))
 
-    def registry(self, version: int | None = None) -> DataFrame | None:
-        s = self.state(version)
-        return None if s is None else D.registry_from_state(s)
+    def registry(self) -> DataFrame:
+        return D.registry_from_state(self.state())
 
-    def commit(self, batch: DataFrame, batch_id: int) -> None:
-        """Merge one micro-batch of decisions into the buckets it touches, as version ``batch_id``."""
-        delta = D.fold_state(with_errors(batch).filter(F.col("error").isNull()))
-        touched = K.touched_buckets(delta, KEY, self.buckets)
-        if not touched:
-            return
-        prev_v = self.latest_version(before=batch_id)
-        prev = None if prev_v is None else K.read_snapshot(self.spark, self.base, prev_v, touched)
-        merged = delta if prev is None else D.merge_states(prev, delta)
-        K.write_snapshot(merged, self.base, batch_id, KEY, self.buckets, written_buckets=touched)
+    def compact(self, dest: str) -> "RegistryState":
+        """Write the merged state to the new folder ``dest``; appends go on there."""
+        K.write_snapshot(self.state(), dest)
+        return RegistryState(self.spark, dest)
 
 
 def registry_sink(state: RegistryState):
     """``foreachBatch`` function committing each micro-batch to ``state``."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        state.commit(batch, batch_id)
+        state.commit(batch)
     return sink
 
 

@@ -10,7 +10,7 @@ import math
 
 from pyspark.sql import SparkSession
 
-from ..sources.tables import TABLES
+from resgov.sources.tables import TABLES
 
 
 def _canon(v) -> str:

@@ -138,5 +138,5 @@ def test_workspace_listing_with_urls(spark):
     raw = spark.createDataFrame([("1", "https://one.example.com"), ("1", "https://one.example.com"),
                                  ("2", "https://two.example.com")], "workspace_id string, workspace_host string")
     got = {r.workspace_id: (r.workspace_name, r.url, r.n_resources)
-           for r in S.workspaces(inv, S.workspace_hosts(raw)).collect()}
+           for r in S.workspaces(raw).collect()}
     assert got == {"1": ("one", "https://one.example.com", 2), "2": ("two", "https://two.example.com", 1)}

@@ -76,7 +76,7 @@ def test_conform(spark):
     v1 = spark.createDataFrame([tuple([None] * len(REGISTRY_V1.fields))], REGISTRY_V1)
     out = L.conform(v1, 2)
     assert out.columns == [f.name for f in REGISTRY.fields]
-    assert out.schema["revoked_reason"].metadata.get("comment") == "Reason for revocation"
+    assert out.schema["revoked_reason"].metadata.get("comment") == "why it was revoked"
 
 
 def test_append_profile_conformance(spark, tmp_path):

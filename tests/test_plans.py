@@ -35,8 +35,8 @@ def test_no_cartesian_no_python(spark, name):
 
 def test_active_filter_pushed_to_parquet(spark, run_dir):
     base = f"{run_dir}/plan-registry"
-    K.write_snapshot(registry(spark, SF), base, 1)
-    stored = K.read_snapshot(spark, base, 1)
+    K.write_snapshot(registry(spark, SF), base)
+    stored = K.read_snapshot(spark, base)
     text = plan(J.active_approvals(stored, "7"))
     pushed = re.search(r"PushedFilters: \[(.*)\]", text).group(1)
     assert "EqualTo(is_approved,true)" in pushed and "IsNull(revoked_date)" in pushed
@@ -62,3 +62,22 @@ def test_neighbor_has_one_range_exchange(spark, run_dir):
     text = plan(with_neighbor(df, ["resource_id", "workspace_id"], ["at", "seq"], ["seq"]), "simple")
     assert text.count("rangepartitioning") == 1
     assert text.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("name", ["upsert_registry", "revoke_registry"])
+def test_merge_has_one_key_exchange(spark, name):
+    """Above the fold's own exchange there is none but the merge's; no join."""
+    text = plan(queries()[name](spark, SF), "simple")
+    keyed = text.count("hashpartitioning(resource_id")
+    assert keyed <= (3 if name == "upsert_registry" else 2) and "SortMergeJoin" not in text
+
+
+@pytest.mark.parametrize("name", sorted(n for n in queries() if n.startswith("ledger_") and n != "ledger_out_of_order"))
+def test_ledger_has_no_window(spark, name):
+    assert "Window" not in plan(queries()[name](spark, SF), "simple")
+
+
+def test_workspaces_read_each_feed_once(spark):
+    text = plan(queries()["workspaces"](spark, SF))
+    for name in ("supplier", "events"):
+        assert len(re.findall(rf"Location: InMemoryFileIndex \[file:[^\]]*/{name}.parquet\]", text)) == 1

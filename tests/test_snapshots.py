@@ -1,80 +1,58 @@
-import os
+import pytest
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
+from resgov.functions.times import ntz
+from resgov.operators import decisions as D
 from resgov.operators import snapshots as K
+from resgov.operators.validate import valid_decisions
 from resgov.plans.queries import registry
+from resgov.sources import fixtures as X
+from resgov.sources.tables import table
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_versions_backup_roundtrip(spark, run_dir):
-    base = f"{run_dir}/test-snapshots"
-    reg = registry(spark, SF)
-    K.write_snapshot(reg, base, 1)
-    K.write_snapshot(reg.limit(5), base, 2)
-    assert K.versions(spark, base) == [1, 2]
-    assert K.read_snapshot(spark, base).count() == 5          # latest version
-    v1 = K.read_snapshot(spark, base, 1)
-    assert sorted(v1.columns) == sorted(reg.columns)
-    assert v1.schema["revoked_reason"].metadata.get("comment") == "Reason for revocation"   # comments persist
-    d = K.difference_counts(reg, v1).first()
-    assert (d.only_left, d.only_right) == (0, 0)
-    dest = K.backup(spark, base, base + "-copy", 1)
-    d = K.difference_counts(v1, spark.read.parquet(dest)).first()
-    assert (d.only_left, d.only_right) == (0, 0)
-    # bucket directories partition the keys
-    assert any(n.startswith("key_bucket=") for n in os.listdir(os.path.join(base, "version=1")))
-
+def counts(a, b):
+    return tuple(K.difference_counts(a, b).first())
 
-def test_hot_bucket_is_split_over_writers(spark, run_dir):
-    from pyspark.sql import functions as F
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
-    try:
-        # a third of the rows share one key, so one bucket is hot
-        df = spark.range(300_000).select(
-            F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("resource_id"),
-            F.lit("w").alias("workspace_id"), F.col("id").alias("payload"))
-        base = f"{run_dir}/hot-bucket"
-        K.write_snapshot(df, base, 1, buckets=4)
-        hot = K.key_bucket(buckets=4)
-        b = spark.createDataFrame([("hot", "w")], "resource_id string, workspace_id string").select(hot).first()[0]
-        files = [f for f in os.listdir(os.path.join(base, "version=1", f"key_bucket={b}")) if f.endswith(".parquet")]
-        assert len(files) > 1
-        assert K.read_snapshot(spark, base, 1).count() == 300_000
-    finally:
-        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
 
+def test_snapshot_and_backup(spark, run_dir):
+    reg = registry(spark, SF)
+    path = K.write_snapshot(reg, f"{run_dir}/snapshot")
+    snap = K.read_snapshot(spark, path)
+    n = reg.count()
+    assert counts(reg, snap) == (n, n, 0, 0)
+    assert snap.schema["revoked_reason"].metadata.get("comment") == "why it was revoked"   # comments persist
+    copy = K.read_snapshot(spark, K.backup(spark, path, f"{run_dir}/backup"))
+    assert counts(snap, copy) == (n, n, 0, 0)
+    assert counts(reg, copy.limit(n - 1)) == (n, n - 1, 1, 0)
 
-def test_upsert_and_revoke_rewrite_only_touched_buckets(spark, run_dir):
-    from pyspark.sql import functions as F
-    from resgov.functions.times import ntz
-    from resgov.operators import decisions as D
-    from resgov.operators.validate import valid_decisions
-    from resgov.plans.check import _digest
-    from resgov.sources import fixtures as X
 
-    def rows(df):
-        return df.columns, [tuple(r) for r in df.select(*sorted(df.columns)).collect()]
+def test_an_existing_folder_is_never_replaced(spark, run_dir):
+    reg = registry(spark, SF)
+    path = K.write_snapshot(reg.limit(3), f"{run_dir}/once")
+    for write in (lambda: K.write_snapshot(reg, path), lambda: K.backup(spark, path, path)):
+        with pytest.raises(AnalysisException):
+            write()
+    assert K.read_snapshot(spark, path).count() == 3
 
-    def same(a, b):
-        a, b = a.select(*sorted(a.columns)), b.select(*sorted(a.columns))
-        return _digest(*rows(a)) == _digest(*rows(b))
 
+def test_unmatched_revoke_leaves_a_stored_registry_readable(spark, run_dir):
     log = X.decision_log(spark, SF)
-    cut = ntz(X.CUT)
-    target = D.fold(log.filter(F.col("at") < cut))
-    later = valid_decisions(log.filter(F.col("at") >= cut))
-    base = f"{run_dir}/incremental-registry"
-    K.write_snapshot(target, base, 1)                               # full version
-    touched = K.upsert_snapshot(spark, base, D.approval_rows(later), 2)
-    assert K.bucket_layout(spark, base)[2] == touched and K.bucket_layout(spark, base)[1] is None
-    expected_up = D.upsert(target, D.approval_rows(later))
-    assert same(K.read_snapshot(spark, base, 2), expected_up)
-    K.revoke_snapshot(spark, base, later, 3)
-    assert same(K.read_snapshot(spark, base, 3), D.apply_revokes(expected_up, later))
-    assert same(K.read_snapshot(spark, base, 1), target)           # time travel still sees version 1
-    # one approval touches one bucket
-    one = D.approval_rows(later).limit(1)
-    assert len(K.upsert_snapshot(spark, base, one, 4)) == 1
-    assert K.read_snapshot(spark, base, 4).count() == K.read_snapshot(spark, base, 3).count() + \
-        (0 if K.read_snapshot(spark, base, 3).join(one.select("resource_id", "workspace_id"),
-                                                   ["resource_id", "workspace_id"]).count() else 1)
+    target = D.fold(log.filter(F.col("at") < ntz(X.CUT)))
+    stored = K.read_snapshot(spark, K.write_snapshot(target, f"{run_dir}/stored"))
+    revoke = valid_decisions(log).filter(F.col("action") == "revoke").limit(1).withColumn("resource_id", F.lit("nobody"))
+    after = K.read_snapshot(spark, K.write_snapshot(D.apply_revokes(stored, revoke), f"{run_dir}/after"))
+    n = stored.count()
+    assert counts(stored, after) == (n, n, 0, 0)
+
+
+def test_files_added_later_are_read(spark, run_dir):
+    """Queries define their inputs afresh, so a table that grew gives more rows in the same session."""
+    sf = f"{run_dir}/sf"
+    for name in ("orders", "customer", "nation"):
+        table(spark, SF, name).write.parquet(f"{sf}/{name}.parquet")
+    first = registry(spark, sf).count(), X.decision_log(spark, sf).count()
+    table(spark, SF, "orders").withColumn("extra", F.lit(1)).write.mode("append").parquet(f"{sf}/orders.parquet")
+    assert X.decision_log(spark, sf).count() == 2 * first[1] and registry(spark, sf).count() == first[0]

@@ -27,3 +27,21 @@ def test_instants_are_utc(spark):
     assert r.e == dt.datetime(2023, 11, 14, 22, 13, 20)
     assert r.zero is None                      # 0 is falsy: no timestamp
     assert r.t == dt.datetime(2024, 1, 1, 10, 0)
+
+
+def test_bad_dates_are_null_not_failures(spark):
+    rows = [(t,) for t in ("2024-3-1", "2024", "2024-03", "10:00", "T10:00:00", "2024-02-30", "2024-03-01x", "20240301", "")]
+    got = spark.createDataFrame(rows, "s string").select(midnight_as_written(F.col("s")).alias("m"), parse_instant(F.col("s")).alias("p")).collect()
+    assert all(r.m is None for r in got)
+
+
+def test_utc_in_any_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([("2024-03-10T23:30:00Z", "2024-11-03 01:30:00", 1730613600123)], "z string, n string, ms long")
+        r = df.select(parse_instant(F.col("z")).cast("string").alias("z"), parse_instant(F.col("n")).cast("string").alias("n"),
+                      epoch_millis_ntz(F.col("ms")).cast("string").alias("e"), epoch_millis_ntz(F.lit(10**17)).alias("far")).first()
+        assert (r.z, r.n, r.e, r.far) == ("2024-03-10 23:30:00", "2024-11-03 01:30:00", "2024-11-03 06:00:00.123", None)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
