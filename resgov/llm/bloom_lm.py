@@ -168,7 +168,7 @@ def score(docs: DataFrame, parts: int = 10, max_broadcast: int = MAX_BROADCAST)
     spark = prepared(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out(F.col("doc_id"), parts).alias("held_out"), "text")
     train = docs.where(~F.col("held_out"))
-    words = written(counted(train, False).groupBy("kind", "key").agg(F.sum("n").alias("n")), "words")
+    words = written(counted(train, False).groupBy("kind", "key").agg(F.sum("n").alias("n")).where("n > 0"), "words")
     sums = {r.kind: r for r in words.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("keys"), F.sum(level_of("n")).alias("levels")).collect()}
     total, distinct = (int(sums[1].n), int(sums[1].keys)) if 1 in sums else (0, 0)
     entries = (int(sums[1].levels) if 1 in sums else 0) + (int(sums[2].levels) * THIN if 2 in sums else 0) + 1
@@ -177,7 +177,7 @@ def score(docs: DataFrame, parts: int = 10, max_broadcast: int = MAX_BROADCAST)
     # all counts again, now with every pair: each segment's n-grams meet in one task
     parts_out = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     grams = (counted(train, True).withColumn("segment", F.shiftrightunsigned("key", 54).cast("int")).repartition(parts_out, "segment")
-             .groupBy("segment", "kind", "key").agg(F.sum("n").alias("n")).withColumn("level", level_of("n")))
+             .groupBy("segment", "kind", "key").agg(F.sum("n").alias("n")).where("n > 0").withColumn("level", level_of("n")))
     if size > max_broadcast:
         return joined_scores(docs, words, grams, total, distinct)
     filled = segments(grams, bits).collect()

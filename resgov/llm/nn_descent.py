@@ -211,7 +211,8 @@ def audited(nodes: DataFrame, counts: DataFrame, threshold: float) -> float:
 
 def searched(nodes: DataFrame, threshold: float, tables: range, lists: DataFrame | None) -> DataFrame:
     """Neighbour lists after further orderings and rounds of joins."""
-    parts = max(8, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # neighbours across a partition's end are not met: no fewer than 64 windows a partition
+    parts = max(1, min(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.count() // (64 * WINDOW)))
     for table in tables:
         more = neighbours_by_order(nodes, table, parts)
         lists = more if lists is None else lists.unionByName(more)
