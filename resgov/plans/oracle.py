@@ -190,7 +190,7 @@ feed_vector AS (
     CASE WHEN s_acctbal >= 0 THEN 'Type: STANDARD' ELSE '' END AS description, false AS is_foundation_model
   FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 db_raw AS (
-  SELECT CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'db-' || CAST(p_partkey AS VARCHAR) END AS uid,
+  SELECT p_partkey AS pk, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'db-' || CAST(p_partkey AS VARCHAR) END AS uid,
     CASE WHEN p_partkey % 5 <> 0 THEN p_name END AS name, p_brand AS creator,
     CASE WHEN p_partkey % 3 = 0 THEN '2024-05-01T08:00:00Z' END AS created_at,
     CASE p_partkey % 4 WHEN 0 THEN p_type WHEN 1 THEN '' END AS comment,
@@ -201,7 +201,7 @@ db_raw AS (
     CASE WHEN p_size % 2 = 0 THEN 'STARTING' END AS status,
     CAST(n_nationkey AS VARCHAR) AS workspace_id, {HOST_NAME} AS workspace_name
   FROM part JOIN nation ON CAST(p_partkey % 25 AS INTEGER) = n_nationkey),
-feed_db AS (
+feed_db_keyed AS (
   SELECT coalesce(name, uid, '') AS name, coalesce(uid, name, '') AS resource_id,
     coalesce(state, status, 'RUNNING') AS state, coalesce(creator, 'unknown') AS creator,
     CASE WHEN created_at IS NOT NULL AND created_at <> '' THEN strptime(created_at, '%Y-%m-%dT%H:%M:%SZ') END
@@ -210,8 +210,9 @@ feed_db AS (
     coalesce(nullif(comment, ''), nullif(description, ''),
              CASE WHEN read_write_dns IS NOT NULL AND read_write_dns <> '' THEN 'Host: ' || read_write_dns END, '')
       AS description,
-    false AS is_foundation_model
+    false AS is_foundation_model, pk
   FROM db_raw),
+feed_db AS (SELECT * EXCLUDE (pk) FROM feed_db_keyed),
 feed_inv AS (
   SELECT * FROM feed_apps UNION ALL SELECT * FROM feed_endpoints
   UNION ALL SELECT * FROM feed_vector UNION ALL SELECT * FROM feed_db)"""
@@ -408,6 +409,22 @@ def _sql() -> dict[str, str]:
     q["feed_vector_search"] = f"{fd} SELECT * FROM feed_vector"
     q["feed_databases"] = f"{fd} SELECT * FROM feed_db"
     q["inventory_union"] = f"{fd} SELECT * FROM feed_inv"
+    bad = "{k} % 61 = 0 OR {k} % 67 = 0"
+    lines = f"""lines AS (
+        SELECT 'app' AS type, event_id AS k FROM events WHERE CAST(user_id % 25 AS INTEGER) IN (SELECT n_nationkey FROM nation)
+        UNION ALL SELECT 'serving_endpoint', o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey
+        UNION ALL SELECT 'vector_search', s_suppkey FROM supplier
+        UNION ALL SELECT 'postgres', p_partkey FROM part)"""
+    q["feed_rejects"] = f"WITH {lines} SELECT type, CAST(k AS BIGINT) AS line_no FROM lines WHERE {bad.format(k='k')}"
+    q["landed_health"] = f"""WITH {lines} SELECT type, CAST(count(*) AS BIGINT) AS n_lines,
+        CAST(count(*) FILTER (WHERE {bad.format(k='k')}) AS BIGINT) AS n_rejected FROM lines GROUP BY type"""
+    q["inventory_landed"] = f"""{fd},
+      keyed AS (
+        SELECT *, CAST(substr(name, 5) AS BIGINT) AS k FROM feed_apps
+        UNION ALL SELECT *, CAST(substr(name, 10) AS BIGINT) FROM feed_endpoints
+        UNION ALL SELECT *, CAST(regexp_extract(name, '[0-9]+') AS BIGINT) FROM feed_vector
+        UNION ALL SELECT * EXCLUDE (pk), CAST(pk AS BIGINT) FROM feed_db_keyed)
+      SELECT * EXCLUDE (k) FROM keyed WHERE NOT ({bad.format(k='k')})"""
     q["feed_health"] = f"""{fd}
       SELECT type, CAST(count(*) AS BIGINT) AS n_rows,
         CAST(count(*) FILTER (WHERE resource_id IS NULL OR resource_id = '') AS BIGINT) AS n_missing_id,

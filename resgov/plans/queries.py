@@ -288,6 +288,27 @@ def feed_health(spark, sf):
     return S.feed_health(feed_inventory(spark, sf))
 
 
+@query
+def inventory_landed(spark, sf):
+    """The inventory parsed from landed JSON text, without its unreadable lines."""
+    return S.landed_inventory(X.landed(spark, sf), X.FIXTURE_PREFIXES)
+
+
+@query
+def feed_rejects(spark, sf):
+    """A5: landed lines that could not be read."""
+    return S.rejects(X.landed(spark, sf)).select("type", "line_no")
+
+
+@query
+def landed_health(spark, sf):
+    """A5: landed lines, readable or not, per feed."""
+    lines = X.landed(spark, sf)
+    bad = S.rejects(lines).groupBy("type").agg(F.count(F.lit(1)).alias("n_rejected"))
+    return (lines.groupBy("type").agg(F.count(F.lit(1)).alias("n_lines")).join(bad, "type", "left")
+            .select("type", "n_lines", F.coalesce("n_rejected", F.lit(0)).cast("long").alias("n_rejected")))
+
+
 @query
 def foundation_endpoints(spark, sf):
     """Endpoints serving a foundation model."""

@@ -131,3 +131,16 @@ RESULT_RAW = T.StructType([
         _field("name", T.StringType()), _field("type_name", T.StringType())]))),
     _field("data_array", T.ArrayType(T.ArrayType(T.StringType()))),
 ])
+
+
+# What is read from a landed JSON record of each feed; other fields are ignored.
+_HOST = "workspace_id STRING, workspace_host STRING"
+LANDED = {
+    "app": f"name STRING, creator STRING, create_time STRING, description STRING, compute_status STRING, app_status STRING, {_HOST}",
+    "serving_endpoint": "id STRING, name STRING, creator STRING, creation_timestamp BIGINT, description STRING, state STRUCT<ready: STRING>, "
+                        "config STRUCT<served_entities: ARRAY<STRUCT<name: STRING, entity_name: STRING, entity_version: STRING, "
+                        f"external_model: STRUCT<name: STRING>>>, served_models: ARRAY<STRUCT<model_name: STRING>>>, {_HOST}",
+    "vector_search": f"name STRING, creator STRING, creation_timestamp BIGINT, endpoint_type STRING, endpoint_status STRUCT<state: STRING>, {_HOST}",
+    "postgres": "uid STRING, name STRING, creator STRING, created_at STRING, comment STRING, description STRING, read_write_dns STRING, "
+                f"state STRING, status STRING, {_HOST}",
+}

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.foundation import FOUNDATION_PREFIXES, endpoint_description, is_foundation
 from ..functions.text import is_truthy, truthy_or
 from ..functions.times import epoch_millis_ntz, parse_instant
-from ..schemas import INVENTORY
+from ..schemas import INVENTORY, LANDED
 
 UNKNOWN = "UNKNOWN"
 DEFAULT_WORKSPACE = "default-workspace"
@@ -101,6 +101,36 @@ def normalise_databases(raw: DataFrame) -> DataFrame:
                                          F.when(is_truthy(dns), F.concat(F.lit("Host: "), dns)), F.lit("")))
 
 
+def parsed(lines: DataFrame, kind: str) -> DataFrame:
+    """Landed JSON lines of one feed with ``record``, null where a line is no whole record of the feed's schema.
+
+    Parsing is permissive: a bad line never ends the job, it goes to ``rejects``.
+    """
+    own = lines.filter(F.col("type") == kind)
+    record = F.from_json("line", f"{LANDED[kind]}, _corrupt STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    return own.withColumn("record", record).withColumn("record", F.when(F.col("record._corrupt").isNull(), F.col("record")))
+
+
+def records(lines: DataFrame, kind: str) -> DataFrame:
+    """The raw feed of its readable lines."""
+    return parsed(lines, kind).filter(F.col("record").isNotNull()).select("record.*").drop("_corrupt")
+
+
+def rejects(lines: DataFrame) -> DataFrame:
+    """Lines of all feeds that could not be read, as they came (quarantine)."""
+    out = None
+    for kind in LANDED:
+        bad = parsed(lines, kind).filter(F.col("record").isNull()).drop("record")
+        out = bad if out is None else out.unionByName(bad)
+    return out
+
+
+def landed_inventory(lines: DataFrame, prefixes: Sequence[str]) -> DataFrame:
+    """The inventory of landed JSON: every feed parsed, normalised and appended."""
+    return union_inventory(normalise_apps(records(lines, "app")), normalise_endpoints(records(lines, "serving_endpoint"), prefixes),
+                           normalise_vector_search(records(lines, "vector_search")), normalise_databases(records(lines, "postgres")))
+
+
 def union_inventory(*feeds: DataFrame) -> DataFrame:
     """Append normalised feeds; missing columns become null, the foundation flag false."""
     out = None

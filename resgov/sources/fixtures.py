@@ -173,6 +173,7 @@ def apps_raw(spark: SparkSession, sf: str) -> DataFrame:
     up = F.upper(F.col("event_type"))
     return (e.join(nation(spark, sf), ws == F.col("n_nationkey"))
             .select(
+                key.alias("line_no"),
                 F.concat(F.lit("app-"), _s(key)).alias("name"),
                 F.when(key % 7 != 0, F.concat(F.lit("user"), _s("user_id"), F.lit("@example.com"))).alias("creator"),
                 F.when(F.col("event_type") != "view",
@@ -219,6 +220,7 @@ def endpoints_raw(spark: SparkSession, sf: str) -> DataFrame:
             .join(c, o.o_custkey == c.c_custkey)
             .join(nation(spark, sf), F.col("c_nationkey") == F.col("n_nationkey"))
             .select(
+                key.alias("line_no"),
                 F.when(key % 10 != 0, F.concat(F.lit("ep-"), _s(key))).alias("id"),
                 F.concat(F.lit("endpoint-"), _s(key)).alias("name"),
                 F.when(key % 9 != 0, F.concat(F.lit("clerk"), _s(key % 50))).alias("creator"),
@@ -242,6 +244,7 @@ def vector_raw(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("s_suppkey")
     return (s.join(nation(spark, sf), s.s_nationkey == F.col("n_nationkey"))
             .select(
+                key.alias("line_no"),
                 F.col("s_name").alias("name"),
                 F.when(key % 4 != 0, F.concat(F.lit("owner"), _s(key % 10))).alias("creator"),
                 F.when(key % 6 != 0, F.lit(1_700_000_000_000) + key * 1000).alias("creation_timestamp"),
@@ -260,6 +263,7 @@ def databases_raw(spark: SparkSession, sf: str) -> DataFrame:
     ws = (key % 25).cast("int")
     return (p.join(nation(spark, sf), ws == F.col("n_nationkey"))
             .select(
+                key.alias("line_no"),
                 F.when(kind == 0, F.lit(None).cast("string")).when(kind == 1, F.lit(""))
                  .otherwise(F.concat(F.lit("db-"), _s(key))).alias("uid"),
                 F.when(key % 5 != 0, F.col("p_name")).alias("name"),
@@ -276,6 +280,20 @@ def databases_raw(spark: SparkSession, sf: str) -> DataFrame:
             ))
 
 
+def landed(spark: SparkSession, sf: str) -> DataFrame:
+    """The four feeds as landed JSON text (type, line_no, line); every 61st line is cut off, every 67th is no JSON."""
+    out = None
+    for kind, raw in (("app", apps_raw(spark, sf)), ("serving_endpoint", endpoints_raw(spark, sf)),
+                      ("vector_search", vector_raw(spark, sf)), ("postgres", databases_raw(spark, sf))):
+        line = F.to_json(F.struct(*[c for c in raw.columns if c != "line_no"]))
+        no = F.col("line_no")
+        rows = raw.select(F.lit(kind).alias("type"), no.cast("long").alias("line_no"),
+                          F.when(no % 61 == 0, F.substring(line, 1, 20)).when(no % 67 == 0, F.lit("<html>"))
+                          .otherwise(line).alias("line"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def result_raw(spark: SparkSession, sf: str, chunk_rows: int = 100) -> DataFrame:
     """Warehouse-style string results of an orders query, chunked to at most
     ``chunk_rows`` rows per result; odd chunks list their columns in reverse
