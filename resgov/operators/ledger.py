@@ -129,20 +129,27 @@ def error_classes(ledger: DataFrame, id_columns: Sequence[str] = ()) -> DataFram
                     expected_error(F.col("error_message")).alias("expected")))
 
 
-def conform(df: DataFrame, schema_version: int = 2) -> DataFrame:
-    """Bring registry data written under schema v1 (no revoked_reason) to version N."""
+def conform(df: DataFrame, schema_version: int = 2, backfill: dict[str, Column] | None = None) -> DataFrame:
+    """Bring registry data written under an older schema (v1: no revoked_reason) to version N.
+
+    A column the data lacks is null, or the expression ``backfill`` names for it
+    (a CASE over the other columns); where the column is there, its nulls are
+    filled by that expression.
+    """
     target = REGISTRY if schema_version >= 2 else REGISTRY_V1
+    fill = backfill or {}
     cols = []
     for f in target.fields:
-        c = F.col(f.name) if f.name in df.columns else F.lit(None)
+        own = [F.col(f.name)] if f.name in df.columns else []
+        c = F.coalesce(*own, fill.get(f.name, F.lit(None)))
         cols.append(c.cast(f.dataType).alias(f.name, metadata=f.metadata))
     return df.select(*cols)
 
 
-def read_conformed(spark, *paths: str, schema_version: int = 2) -> DataFrame:
+def read_conformed(spark, *paths: str, schema_version: int = 2, backfill: dict[str, Column] | None = None) -> DataFrame:
     """Read registry files written under different schema versions together
     (``mergeSchema``: old files get nulls for newer columns) in the version-N layout."""
-    return conform(spark.read.option("mergeSchema", "true").parquet(*paths), schema_version)
+    return conform(spark.read.option("mergeSchema", "true").parquet(*paths), schema_version, backfill)
 
 
 def timing(ledger: DataFrame, accuracy: int = 1000) -> DataFrame:

@@ -529,6 +529,9 @@ def _sql() -> dict[str, str]:
                                   f"WHERE NOT coalesce(version = 1 AND status = 'failed', false)")
     q["conform_v1_to_v2"] = (f"{rg} SELECT {REG_COLS.replace(', revoked_reason', '')}, "
                              f"CAST(NULL AS VARCHAR) AS revoked_reason FROM reg")
+    q["conform_with_backfill"] = (f"{rg} SELECT {REG_COLS.replace(', revoked_reason', '')}, CASE WHEN is_approved THEN NULL "
+                                  f"WHEN revoked_by IS NOT NULL THEN 'Revoked by ' || revoked_by ELSE 'No reason recorded' END "
+                                  f"AS revoked_reason FROM reg")
     q["backup_equals_source"] = f"""{rg} SELECT CAST(count(*) AS BIGINT) AS n_left, CAST(count(*) AS BIGINT) AS n_right,
         CAST(0 AS BIGINT) AS only_left, CAST(0 AS BIGINT) AS only_right FROM reg"""
     q["unknown_actions"] = (f"WITH {LOG} SELECT seq, resource_id, workspace_id, error FROM checked "

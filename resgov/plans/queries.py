@@ -449,6 +449,13 @@ def conform_v1_to_v2(spark, sf):
     return L.conform(registry(spark, sf).drop("revoked_reason"), 2)
 
 
+@query
+def conform_with_backfill(spark, sf):
+    """v1 data conformed to v2, the new column filled by a CASE."""
+    why = F.when(F.col("is_approved"), F.lit(None)).when(F.col("revoked_by").isNotNull(), F.concat(F.lit("Revoked by "), F.col("revoked_by"))).otherwise("No reason recorded")
+    return L.conform(registry(spark, sf).drop("revoked_reason"), 2, {"revoked_reason": why})
+
+
 @query
 def backup_equals_source(spark, sf):
     """K1/K3: write the registry, back the copy up, compare the backup with the registry."""
