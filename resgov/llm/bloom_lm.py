@@ -38,7 +38,7 @@ MU = 2000.0
 BITS, PROBES = 10, 4
 SEGMENTS = 1024
 LEVELS = 44
-MAX_BROADCAST = 768 << 20
+MAX_BROADCAST = 256 << 20
 CHUNK = 3 << 20
 THIN = 256
 
@@ -140,6 +140,25 @@ def segments(counts: DataFrame, bits: int) -> DataFrame:
     return counts.select("segment", "key", "level").mapInArrow(run, "segment int, bits binary")
 
 
+def sorted_words(words: DataFrame, parts: int) -> DataFrame:
+    """(segment, keys, counts): the exact word table in ranges of the hash, each in ascending order."""
+
+    def run(batches):
+        found: dict = {}
+        for batch in batches:
+            owner, keys, n = (batch.column(i).to_numpy() for i in range(3))
+            for segment in np.unique(owner):
+                mine = owner == segment
+                found.setdefault(int(segment), []).append((keys[mine].view(np.uint64), n[mine]))
+        for segment, lists in found.items():
+            keys, n = (np.concatenate(c) for c in zip(*lists))
+            order = np.argsort(keys)
+            yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([keys[order].tobytes()], pa.binary()), pa.array([n[order].tobytes()], pa.binary())], ["segment", "keys", "counts"])
+
+    rows = words.where("kind = 1").select(F.shiftrightunsigned("key", 58).cast("int").alias("segment"), "key", "n")
+    return rows.repartition(parts, "segment").mapInArrow(run, "segment int, keys binary, counts binary")
+
+
 def probed(keys: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
     """Levels found by probing until one is missing."""
     levels = np.zeros(len(keys), dtype=np.int64)
@@ -180,20 +199,23 @@ def score(docs: DataFrame, parts: int = 10, max_broadcast: int = MAX_BROADCAST)
              .groupBy("segment", "kind", "key").agg(F.sum("n").alias("n")).where("n > 0").withColumn("level", level_of("n")))
     if size > max_broadcast:
         return joined_scores(docs, words, grams, total, distinct)
-    filled = segments(grams, bits).collect()
+    # a segment at a time: the driver never holds the model twice
     table = np.zeros(bits * SEGMENTS // 8, dtype=np.uint8)
-    for segment, raw in filled:
-        table[segment * (bits // 8):(segment + 1) * (bits // 8)] = np.frombuffer(raw, np.uint8)
-    del filled
-    known = words.where("kind = 1").select("key", "n").toArrow()
-    keys, n = known.column("key").to_numpy().view(np.uint64), known.column("n").to_numpy()
-    order = np.argsort(keys)
-    model = spark.sparkContext.broadcast((table.tobytes(), keys[order].tobytes(), n[order].astype(np.int64).tobytes()))
-    del table, known, keys, n, order
+    for r in written(segments(grams, bits), "filter").toLocalIterator():
+        table[r.segment * (bits // 8):(r.segment + 1) * (bits // 8)] = np.frombuffer(r.bits, np.uint8)
+    bloom = spark.sparkContext.broadcast(table.tobytes())
+    del table
+    keys, n = np.zeros(distinct, np.uint64), np.zeros(distinct, np.int64)
+    at = 0
+    for r in written(sorted_words(words, parts_out), "known").orderBy("segment").toLocalIterator():
+        some = np.frombuffer(r.keys, np.uint64)
+        keys[at:at + len(some)], n[at:at + len(some)] = some, np.frombuffer(r.counts, np.int64)
+        at += len(some)
+    known = spark.sparkContext.broadcast((keys.tobytes(), n.tobytes()))
+    del keys, n
 
     def run(batches):
-        raw, keys, n = model.value
-        table, keys, n = np.frombuffer(raw, np.uint8), np.frombuffer(keys, np.uint64), np.frombuffer(n, np.int64)
+        table, (keys, n) = np.frombuffer(bloom.value, np.uint8), (np.frombuffer(known.value[0], np.uint64), np.frombuffer(known.value[1], np.int64))
         floor = math.log10(total + 0.1 * (distinct + 1)) if total else math.log10(0.1)
         for batch in batches:
             out: list = [[], [], [], []]
