@@ -8,9 +8,13 @@ of each node (its list, and a sample of those that list it) are joined with
 each other, and better ones enter the lists, until a round finds no new link.
 
 A node whose whole list is linked is saturated: it may have more links than its
-list can hold.  Its list is enlarged to its component, which is compared
-exactly in pairs of blocks of ``BLOCK`` nodes, each pair one bounded group; only
-counts come back, so a dense group of n costs no n * n rows.
+list can hold.  Components with saturated nodes are dense.  Links between two
+dense components need not be in any list, so dense components of a label are
+held against each other (``bridges``): blocks of ``BLOCK`` nodes have a centre
+and a largest angle to it, and only pairs of blocks that the triangle inequality
+of angles rules out are not compared.  Components joined so are one, and each is
+compared exactly in pairs of blocks, each pair one bounded group; only counts
+come back, so a dense group of n costs no n * n rows.
 
 Recall is audited: ``AUDIT`` nodes (smallest hashes) are compared with all
 nodes by brute force.  While less than ``RECALL`` of their links are known, the
@@ -59,8 +63,8 @@ def encoded(vectors: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "vec_id long, label string, raw binary")
 
 
-def neighbours_by_order(nodes: DataFrame, table: int, parts: int) -> DataFrame:
-    """(u, v, sim): for each node the NEAR nearest of those sorted next to it by the signs of random projections."""
+def neighbours_by_order(nodes: DataFrame, table: int, parts: int, threshold: float) -> DataFrame:
+    """(u, v, sim): for each node, of those sorted next to it by the signs of random projections, the NEAR nearest and all linked."""
     def code(batches):
         planes: dict = {}
         for batch in batches:
@@ -97,12 +101,13 @@ def neighbours_by_order(nodes: DataFrame, table: int, parts: int) -> DataFrame:
                     s = np.where(fresh, s, -2.0)
                     table_[step:, step - 1], other[step:, step - 1] = s, own[:-step]
                     table_[:-step, WINDOW + step - 1], other[:-step, WINDOW + step - 1] = s, own[step:]
-                best = np.argsort(-table_, axis=1)[:, :NEAR]
-                row = np.repeat(np.arange(n), best.shape[1])
+                best = np.argsort(-table_, axis=1)
+                row, nth = np.repeat(np.arange(n), best.shape[1]), np.tile(np.arange(best.shape[1]), n)
                 s = table_[row, best.ravel()]
-                us.append(own[row][s > -2])
-                vs.append(other[row, best.ravel()][s > -2])
-                sims.append(s[s > -2])
+                keep = (s > -2) & ((nth < NEAR) | (s >= threshold))
+                us.append(own[row][keep])
+                vs.append(other[row, best.ravel()][keep])
+                sims.append(s[keep])
                 begin = end
             kept = (ids[-WINDOW:], keys[-WINDOW:], raws[-WINDOW:])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (us, vs, sims)], ["u", "v", "sim"])
@@ -161,10 +166,55 @@ def joined_neighbours(lists: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.repartition(parts, "m").sortWithinPartitions("m").mapInArrow(run, EDGES)
 
 
+def in_blocks(members: DataFrame, *part: str) -> DataFrame:
+    """members with their block, of about BLOCK rows, and the number of blocks of their part."""
+    sizes = members.groupBy(*part).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    return members.join(sizes, [*part]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+
+def bridges(members: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): components of (component, label, node, raw) that a link joins, one row a pair of linked blocks."""
+    placed = written(in_blocks(members, "component").select("component", "block", "label", F.octet_length("raw").alias("size"), "node", "raw"), "placed")
+
+    def ball(table: pa.Table) -> pa.Table:
+        x = unit(table.column("raw").to_pylist())
+        centre = x.sum(axis=0)
+        centre = centre / np.linalg.norm(centre) if np.linalg.norm(centre) > 1e-6 else x[0]
+        angle = float(np.arccos(np.clip((x @ centre).min(), -1, 1)))
+        one = table.slice(0, 1)
+        return pa.table([one.column(c) for c in ("label", "size", "component", "block")] + [pa.array([centre.tobytes()], pa.binary()), pa.array([angle])], ["label", "size", "component", "block", "raw", "angle"])
+
+    balls = written(placed.groupBy("component", "block").applyInArrow(ball, "label string, size int, component long, block int, raw binary, angle double"), "balls")
+    cells = in_blocks(balls.select("label", "size", F.struct("component", "block").alias("node"), "raw", "angle"), "label", "size")
+    paired = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "label", "size", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", F.col("node.component").alias("component"), F.col("node.block").alias("nth"), "raw", "angle")
+    widest = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6
+
+    def near(table: pa.Table) -> pa.Table:
+        own, nth, cell, angle = (table.column(c).to_numpy() for c in ("component", "nth", "block", "angle"))
+        x = unit(table.column("raw").to_pylist())
+        close = np.arccos(np.clip(x @ x.T, -1, 1)) <= angle[:, None] + angle[None, :] + widest
+        close &= own[:, None] < own[None, :]
+        if cell.min() != cell.max():
+            close &= cell[:, None] != cell[None, :]
+        i, j = np.nonzero(close)
+        return pa.table({"a": own[i], "m": nth[i], "b": own[j], "n": nth[j]})
+
+    pairs = written(paired.groupBy("label", "size", "x", "y").applyInArrow(near, "a long, m int, b long, n int"), "pairs")
+    left = pairs.join(placed.select(F.col("component").alias("a"), F.col("block").alias("m"), F.lit(0).alias("side"), "raw"), ["a", "m"])
+    right = pairs.join(placed.select(F.col("component").alias("b"), F.col("block").alias("n"), F.lit(1).alias("side"), "raw"), ["b", "n"])
+
+    def linked(table: pa.Table) -> pa.Table:
+        x, side = unit(table.column("raw").to_pylist()), table.column("side").to_numpy()
+        some = len(x) and (x[side == 0] @ x[side == 1].T >= threshold).any()
+        return table.select(["a", "b"]).slice(0, int(some))
+
+    return left.unionByName(right).groupBy("a", "m", "b", "n").applyInArrow(linked, "a long, b long")
+
+
 def dense_counts(members: DataFrame, threshold: float) -> DataFrame:
     """(node, links): weight of the nodes linked with each of (component, node, weight, raw), inside its component."""
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = in_blocks(members, "component")
     paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "weight", "raw")
 
@@ -214,7 +264,7 @@ def searched(nodes: DataFrame, threshold: float, tables: range, lists: DataFrame
     # neighbours across a partition's end are not met: no fewer than 64 windows a partition
     parts = max(1, min(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.count() // (64 * WINDOW)))
     for table in tables:
-        more = neighbours_by_order(nodes, table, parts)
+        more = neighbours_by_order(nodes, table, parts, threshold)
         lists = more if lists is None else lists.unionByName(more)
     lists = written(nearest(lists), "lists")
     known = lists.where(F.col("sim") >= threshold).count()
@@ -240,7 +290,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
         groups = written(components(links, "u", "v"), "groups").withColumnRenamed("label", "component")
         full = links.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= K).select(F.col("u").alias("node"))
         dense = groups.join(full, "node").select("component").distinct()
-        members = groups.join(dense, "component").join(nodes, "node").select("component", "node", "weight", "raw")
+        members = written(groups.join(dense, "component").join(nodes, "node").select("component", "label", "node", "weight", "raw"), "members")
+        joins = components(bridges(members, threshold)).select(F.col("node").alias("component"), F.col("label").alias("top"))
+        groups, members = (rows_.join(joins, "component", "left").withColumn("component", F.coalesce("top", "component")).drop("top") for rows_ in (groups, members))
         both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
         weights = nodes.select(F.col("node").alias("v"), "weight")
         listed = both.join(weights, "v").groupBy(F.col("u").alias("node")).agg(F.sum("weight").alias("links"))

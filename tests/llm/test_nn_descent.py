@@ -48,3 +48,20 @@ def test_odd_rows(spark):
     assert got(spark, rows) == brute(rows, 0.93)
     assert N.near_vectors(spark.createDataFrame([], SCHEMA)).collect() == []
     assert got(spark, rows[:3]) == brute(rows[:3], 0.93)
+
+
+def two_dense_groups(size=30):
+    """Two groups, cosine above 0.99 inside and 0.95 across: every list fills with members of the own group."""
+    rng = np.random.default_rng(5)
+    a, b = np.linalg.qr(rng.normal(size=(32, 2)))[0].T
+    centres = (a, 0.955 * a + np.sqrt(1 - 0.955**2) * b)
+    return [(i, [float(np.float32(v)) for v in centres[i % 2] + rng.normal(scale=0.008, size=32)], 1, 0) for i in range(2 * size)]
+
+
+@pytest.mark.parametrize("block", [8, 512])
+def test_linked_dense_groups(spark, monkeypatch, block):
+    """All links are known across two saturated groups, and one survivor stays."""
+    monkeypatch.setattr(N, "BLOCK", block)
+    rows = two_dense_groups()
+    out = got(spark, rows)
+    assert out == brute(rows, 0.93) and sum(kept for *_, kept in out) == 1
