@@ -16,9 +16,13 @@ of angles rules out are not compared.  Components joined so are one, and each is
 compared exactly in pairs of blocks, each pair one bounded group; only counts
 come back, so a dense group of n costs no n * n rows.
 
-Recall is audited: ``AUDIT`` nodes (smallest hashes) are compared with all
-nodes by brute force.  While less than ``RECALL`` of their links are known, the
-search goes on with twice as many orderings.
+Recall is audited: nodes in the order of their hashes, ``AUDIT`` and then four
+times as many at a time, are compared with all nodes by brute force, until
+``LINKED`` of them have links or every node has been compared.  While less than
+``RECALL`` of their links are known, as a share of all and as a mean over the
+nodes, the search goes on with twice as many orderings.  If ``MOST`` orderings
+are not enough, all nodes of a label are compared in pairs of blocks, which is
+exact.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components, and rows without label, link with nothing; repeated rows are equal
@@ -36,8 +40,8 @@ from .frames import components, prepared, sent, written
 
 K, WINDOW, NEAR, TABLES, BITS = 8, 8, 4, 8, 60
 BLOCK = 512
-ROUNDS = 4
-AUDIT, RECALL = 400, 0.98
+MOST = 8 * TABLES
+AUDIT, AUDIT_MOST, LINKED, RECALL = 400, 25_600, 200, 0.98
 EDGES = "u long, v long, sim double"
 
 
@@ -212,11 +216,14 @@ def bridges(members: DataFrame, threshold: float) -> DataFrame:
     return left.unionByName(right).groupBy("a", "m", "b", "n").applyInArrow(linked, "a long, b long")
 
 
-def dense_counts(members: DataFrame, threshold: float) -> DataFrame:
-    """(node, links): weight of the nodes linked with each of (component, node, weight, raw), inside its component."""
-    placed = in_blocks(members, "component")
+def compared(members: DataFrame, threshold: float, *part: str) -> DataFrame:
+    """(node, links, low) of (part, node, weight, raw), a row a node and pair of blocks of its part that hold it.
+
+    links is the weight of the nodes linked with the node there; low the smallest node that links lead to there.
+    """
+    placed = in_blocks(members, *part)
     paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "weight", "raw")
+        *part, F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "weight", "raw")
 
     def run(table: pa.Table) -> pa.Table:
         ids, weight, block = (table.column(c).to_numpy() for c in ("node", "weight", "block"))
@@ -225,15 +232,31 @@ def dense_counts(members: DataFrame, threshold: float) -> DataFrame:
         np.fill_diagonal(linked, False)
         if block.min() != block.max():
             linked &= block[:, None] != block[None, :]
-        return pa.table({"node": ids, "links": (linked @ weight.astype(np.int64)).astype(np.int64)})
+        low = ids
+        while True:
+            least = np.minimum(low, np.where(linked, low[None, :], np.iinfo(np.int64).max).min(axis=1))
+            if (least == low).all():
+                break
+            low = least
+        return pa.table({"node": ids, "links": (linked @ weight.astype(np.int64)).astype(np.int64), "low": low})
+
+    return paired.groupBy(*part, "x", "y").applyInArrow(run, "node long, links long, low long")
+
+
+def dense_counts(members: DataFrame, threshold: float) -> DataFrame:
+    """(node, links): weight of the nodes linked with each of (component, node, weight, raw), inside its component."""
+    return compared(members, threshold, "component").groupBy("node").agg(F.sum("links").alias("links"))
 
-    parts = paired.groupBy("component", "x", "y").applyInArrow(run, "node long, links long")
-    return parts.groupBy("node").agg(F.sum("links").alias("links"))
 
+def exact(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(node, component) and (node, links) of all nodes, by comparing all nodes of a label."""
+    found = written(compared(nodes.withColumn("size", F.octet_length("raw")), threshold, "label", "size"), "exact")
+    groups = components(found.select(F.col("node").alias("a"), F.col("low").alias("b"))).withColumnRenamed("label", "component")
+    return groups, written(found.groupBy("node").agg(F.sum("links").alias("links")), "counts")
 
-def audited(nodes: DataFrame, counts: DataFrame, threshold: float) -> float:
-    """Share of the links of AUDIT nodes that counts (node, links) has; brute force against all nodes, in one map."""
-    chosen = nodes.orderBy(F.xxhash64("node")).limit(AUDIT).select("node", "label", "raw").collect()
+
+def true_links(nodes: DataFrame, chosen: list, threshold: float) -> DataFrame:
+    """(node, truth): weight of the nodes linked with each of the chosen (node, label, raw) that has any; one map over all nodes."""
     model = sent(nodes.sparkSession, [tuple(r) for r in chosen])
 
     def run(batches):
@@ -250,13 +273,38 @@ def audited(nodes: DataFrame, counts: DataFrame, threshold: float) -> float:
                 if key in groups:
                     ids, x = groups[key]
                     near = (x @ unit([r for _, r, _ in found]).T >= threshold) & (ids[:, None] != np.array([n for n, _, _ in found])[None, :])
-                    for n, w in zip(ids, near @ np.array([w for _, _, w in found])):
+                    sums = near @ np.array([w for _, _, w in found])
+                    for n, w in zip(ids[sums > 0], sums[sums > 0]):
                         total[int(n)] = total.get(int(n), 0) + int(w)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["node", "truth"])
 
-    truth = nodes.select("node", "label", "raw", "weight").mapInArrow(run, "node long, truth long").groupBy("node").agg(F.sum("truth").alias("truth")).where("truth > 0")
-    share = truth.join(counts, "node", "left").agg(F.avg(F.least(F.lit(1.0), F.coalesce("links", F.lit(0)) / F.col("truth")))).first()[0]
-    return 1.0 if share is None else float(share)
+    return nodes.select("node", "label", "raw", "weight").mapInArrow(run, "node long, truth long").groupBy("node").agg(F.sum("truth").alias("truth"))
+
+
+def audit(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(node, truth) of nodes in hash order, until LINKED of them have links or none is left."""
+    hashed = nodes.select("node", "label", "raw", F.xxhash64("node").alias("h"))
+    truth, size, after = None, AUDIT, None
+    while True:
+        rest = hashed if after is None else hashed.where(F.col("h") > F.lit(after))
+        chosen = rest.orderBy("h").limit(size).collect()
+        if not chosen:
+            break
+        more = written(true_links(nodes, [r[:3] for r in chosen], threshold), "truth")
+        truth = more if truth is None else truth.unionByName(more)
+        if truth.count() >= LINKED:
+            break
+        after, size = chosen[-1].h, min(4 * size, AUDIT_MOST)
+    return truth
+
+
+def recall(truth: DataFrame | None, counts: DataFrame) -> float:
+    """Share of the audited links that counts (node, links) has: of all or as a mean over nodes, whichever is less; 1 if there are none."""
+    if truth is None:
+        return 1.0
+    known = F.least("truth", F.coalesce("links", F.lit(0)))
+    row = truth.join(counts, "node", "left").agg(F.sum(known) / F.sum("truth"), F.avg(known / F.col("truth"))).first()
+    return 1.0 if row[0] is None else float(min(row))
 
 
 def searched(nodes: DataFrame, threshold: float, tables: range, lists: DataFrame | None) -> DataFrame:
@@ -268,13 +316,12 @@ def searched(nodes: DataFrame, threshold: float, tables: range, lists: DataFrame
         lists = more if lists is None else lists.unionByName(more)
     lists = written(nearest(lists), "lists")
     known = lists.where(F.col("sim") >= threshold).count()
-    for _ in range(ROUNDS):
+    while True:
         lists = written(nearest(lists.unionByName(joined_neighbours(lists, nodes))), "lists")
         found = lists.where(F.col("sim") >= threshold).count()
         if found <= known:
-            break
+            return lists
         known = found
-    return lists
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
@@ -283,6 +330,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     rows = written(encoded(vectors), "vectors")
     nodes = written(rows.where("raw is not null").groupBy("label", "raw").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("weight"))
                     .withColumn("node", F.monotonically_increasing_id()), "nodes")
+    truth = audit(nodes, threshold)
     lists, tables = None, TABLES
     while True:
         lists = searched(nodes, threshold, range(0 if tables == TABLES else tables // 2, tables), lists)
@@ -296,9 +344,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
         both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
         weights = nodes.select(F.col("node").alias("v"), "weight")
         listed = both.join(weights, "v").groupBy(F.col("u").alias("node")).agg(F.sum("weight").alias("links"))
-        exact = written(dense_counts(members, threshold), "dense")
-        counts = written(listed.join(exact.select("node"), "node", "left_anti").unionByName(exact), "counts")
-        if tables >= 8 * TABLES or audited(nodes, counts, threshold) >= RECALL:
+        dense = written(dense_counts(members, threshold), "dense")
+        counts = written(listed.join(dense.select("node"), "node", "left_anti").unionByName(dense), "counts")
+        if recall(truth, counts) >= RECALL:
+            break
+        if tables >= MOST:
+            groups, counts = exact(nodes, threshold)
             break
         tables *= 2
     named = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -65,3 +65,22 @@ def test_linked_dense_groups(spark, monkeypatch, block):
     rows = two_dense_groups()
     out = got(spark, rows)
     assert out == brute(rows, 0.93) and sum(kept for *_, kept in out) == 1
+
+
+def test_short_recall_is_not_accepted(spark, monkeypatch):
+    """Orderings that find nothing: rare links outside the first audit queries are still all found."""
+    empty = lambda nodes, *_: nodes.sparkSession.createDataFrame([], N.EDGES)
+    monkeypatch.setattr(N, "neighbours_by_order", empty)
+    monkeypatch.setattr(N, "AUDIT", 5)
+    monkeypatch.setattr(N, "BLOCK", 64)
+    monkeypatch.setattr(N, "MOST", N.TABLES)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(200, 24))
+    rows = [(i, [float(np.float32(v)) for v in x], 1, 0) for i, x in enumerate(np.concatenate([base, base[:1] + 0.02]))]
+    assert got(spark, rows) == brute(rows, 0.93)
+
+
+def test_recall_weighs_links(spark):
+    truth = spark.createDataFrame([(i, 1) for i in range(99)] + [(99, 100)], "node long, truth long")
+    counts = spark.createDataFrame([(i, 1) for i in range(99)], "node long, links long")
+    assert N.recall(truth, counts) < 0.5 and N.recall(truth, truth.withColumnRenamed("truth", "links")) == 1
