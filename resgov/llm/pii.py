@@ -6,8 +6,8 @@ so the time is linear in the text, whatever it holds.  Generators propose more
 spans than that (digits grouped in other ways, numbers without a country mark,
 written-out at signs), overlapping ones too.  For each kind, gradient-boosted
 trees learn from format and context features of sampled candidates which of
-them are like base spans.  Rows that are not come from the generators (chains
-without their first or last group, shortened addresses, other numbers) and from
+them are like base spans.  Rows that are not come from the generators (parts of
+chains of digit groups, shortened addresses, other numbers) and from
 spoiled base spans (a digit changed, a part out of range, digits or the domain's
 end cut).  A probability threshold calibrated on candidates the
 trees did not see (precision ``PRECISION`` or more) selects additions.  What
@@ -26,7 +26,9 @@ null ids are treated like any.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 import hashlib
+from itertools import islice
 import re
 
 import numpy as np
@@ -40,6 +42,7 @@ SAMPLE_DOCS, SAMPLE_ROWS = 20_000, 40_000
 TREES, DEPTH, RATE, BINS = 40, 3, 0.2, 24
 PRECISION = 0.98
 MIN_EACH = 10
+CHUNK = 20_000
 
 _DIGITS = re.compile(r"[0-9]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -121,25 +124,22 @@ def base_spans(text: str, runs: list[tuple[int, int]] | None = None) -> list[tup
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-def candidates(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
-    """High-recall spans: chains of digit groups under several joiners, and anything around an at sign."""
-    found = set()
+def candidates(text: str, runs: list[tuple[int, int]]):
+    """Yield high-recall spans: every run of digit groups of a fitting digit count under several joiners, and anything around an at sign."""
     for joiners, most, kind, low, high in ((" -./", 2, "card", 8, 24), (" ().-/", 3, "phone", 6, 15), (".-", 1, "ip", 4, 16)):
-        i = 0
-        while i < len(runs):
-            j, n = i, runs[i][1] - runs[i][0]
-            while j + 1 < len(runs) and 0 < runs[j + 1][0] - runs[j][1] <= most and all(c in joiners for c in text[runs[j][1]:runs[j + 1][0]]):
+        for i, (start, end) in enumerate(runs):
+            if kind == "phone" and start:
+                start -= text[start - 1] == "("
+                start -= start > 0 and text[start - 1] == "+"
+            j, n = i, end - runs[i][0]
+            while n <= high:
+                if n >= low:
+                    yield start, runs[j][1], kind
                 j += 1
+                if j == len(runs) or runs[j][0] - runs[j - 1][1] > most or any(c not in joiners for c in text[runs[j - 1][1]:runs[j][0]]):
+                    break
                 n += runs[j][1] - runs[j][0]
-            if low <= n <= high:
-                start = runs[i][0]
-                if kind == "phone" and start:
-                    start -= text[start - 1] == "("
-                    start -= start > 0 and text[start - 1] == "+"
-                found.add((start, runs[j][1], kind))
-                if j > i:
-                    found.update(((runs[i + 1][0], runs[j][1], kind), (start, runs[j - 1][1], kind)))
-            i = j + 1
+    found = set()
     for m in _AT.finditer(text):
         before = m.start() - (text[m.start() - 1:m.start()] == " " and m.group() != "@")
         start, domain = _left(text, before, max(0, before - 64)), _WIDE_DOMAIN.match(text, m.end())
@@ -150,7 +150,7 @@ def candidates(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int, s
                 found.add((start, dot, "email"))
             if (inner := text.rfind(".", start, before)) >= 0 and inner + 1 < before:
                 found.add((inner + 1, domain.end(), "email"))
-    return sorted(found)
+    yield from sorted(found)
 
 
 def spoiled(span: str, kind: str) -> str:
@@ -221,13 +221,12 @@ class Trees:
         return me
 
     def _walk(self, tree, binned) -> np.ndarray:
-        out = np.empty(len(binned))
-        for i, row in enumerate(binned):
-            node = tree[0]
-            while node[0] >= 0:
-                node = tree[node[2] if row[node[0]] <= node[1] else node[3]]
-            out[i] = node[4]
-        return out
+        feature, cut, left, right = np.array([node[:4] for node in tree], dtype=np.int64).T
+        at, rows = np.zeros(len(binned), dtype=np.int64), np.arange(len(binned))
+        for _ in range(DEPTH):
+            go = binned[rows, np.maximum(feature[at], 0)] <= cut[at]
+            at = np.where(feature[at] < 0, at, np.where(go, left[at], right[at]))
+        return np.array([node[4] for node in tree])[at]
 
     def margin(self, rows: np.ndarray) -> np.ndarray:
         binned = np.stack([np.searchsorted(e, c, side="right") for e, c in zip(self.edges, rows.T)], axis=1)
@@ -263,6 +262,9 @@ class Chooser:
 
 
 def fit_choosers(docs: DataFrame, size: int = SAMPLE_DOCS, rows: int = SAMPLE_ROWS) -> dict[str, Chooser]:
+    def out(kinds, values, labels):
+        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.list_(pa.float64())), pa.array(labels, pa.float64())], ["kind", "values", "label"])
+
     def run(batches):
         for batch in batches:
             kinds, values, labels = [], [], []
@@ -275,12 +277,15 @@ def fit_choosers(docs: DataFrame, size: int = SAMPLE_DOCS, rows: int = SAMPLE_RO
                     kinds.append(k)
                     values.append(features(text, s, e, k))
                     labels.append(float((s, e, k) in base))
+                    if len(kinds) >= CHUNK:
+                        yield out(kinds, values, labels)
+                        kinds, values, labels = [], [], []
                 for s, e, k in base:
                     wrong = spoiled(text[s:e], k)
                     kinds.append(k)
                     values.append(features(text[:s] + wrong + text[e:], s, s + len(wrong), k))
                     labels.append(0.0)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.list_(pa.float64())), pa.array(labels, pa.float64())], ["kind", "values", "label"])
+            yield out(kinds, values, labels)
 
     some = docs.select("text", F.xxhash64("doc_id").alias("h")).where("text is not null")
     chosen = some.select("h").orderBy("h").limit(size).agg(F.max("h")).first()[0]
@@ -302,18 +307,20 @@ def all_spans(text: str, choosers: dict[str, Chooser]) -> tuple[list, list]:
         return [], []
     base = base_spans(text, runs)
     covered = [(s, e) for s, e, _ in base]
-    more = [c for c in candidates(text, runs) if not any(c[0] < e and s < c[1] for s, e in covered)] if len(covered) < 64 else _apart(candidates(text, runs), covered)
-    likely = []
-    for k in KINDS:
-        own = [c for c in more if c[2] == k]
-        chooser = choosers.get(k)
-        if own and chooser is not None and chooser.trees is not None:
-            p = chooser.probability(np.array([features(text, *c) for c in own]))
-            likely += [(-float(q), c) for q, c in zip(p, own) if q >= chooser.threshold]
-    added: list = []
-    for _, c in sorted(likely):
-        if not any(c[0] < e and s < c[1] for s, e, _ in added):
-            added.append(c)
+    likely, proposed = [], candidates(text, runs)
+    while some := list(islice(proposed, CHUNK)):
+        more = [c for c in some if not any(c[0] < e and s < c[1] for s, e in covered)] if len(covered) < 64 else _apart(some, covered)
+        for k in KINDS:
+            own = [c for c in more if c[2] == k]
+            chooser = choosers.get(k)
+            if own and chooser is not None and chooser.trees is not None:
+                p = chooser.probability(np.array([features(text, *c) for c in own]))
+                likely += [(-float(q), c[0] - c[1], c) for q, c in zip(p, own) if q >= chooser.threshold]
+    added: list = []  # in order; the likelier one stays, of equally likely ones the longer
+    for _, _, c in sorted(likely):
+        at = bisect_left(added, c)
+        if (at == 0 or added[at - 1][1] <= c[0]) and (at == len(added) or c[1] <= added[at][0]):
+            insort(added, c)
     return base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 

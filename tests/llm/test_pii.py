@@ -77,3 +77,37 @@ def test_odd_rows(spark, odd, nothing):
     got = {r.doc_id: r.text for r in covered.collect()}
     assert got[3] is None and "<email>" in got[9] and "<phone>" in got[9] and "joe@" not in got[9]
     assert P.personal_data(nothing).collect() == [] and P.redacted(nothing, {}).collect() == []
+
+
+def test_candidates_of_adjacent_numbers():
+    for text, span, kind in (("555-123-4567 555-987-6543", "555-123-4567", "phone"), ("555-123-4567 555-987-6543", "555-987-6543", "phone"), ("2024-01-05 555-123-4567", "555-123-4567", "phone"),
+                             ("4111 1111 1111 1111 555-123-4567", "4111 1111 1111 1111", "card"), ("4111 1111 1111 1111 12/26 123", "4111 1111 1111 1111", "card"),
+                             ("1 2 10.0.0.1-10.0.0.2", "10.0.0.2", "ip"), ("12 34 (988) 555-2485 77", "(988) 555-2485", "phone")):
+        at = text.index(span)
+        assert (at, at + len(span), kind) in set(P.candidates(text, P._runs(text))), (text, span)
+
+
+def test_adjacent_numbers_are_found():
+    """Trees that know phones and parts of chains find each phone of a list."""
+    import numpy as np
+    rng = random.Random(3)
+    rows, label = [], []
+    for _ in range(600):
+        number = f"{rng.randint(200, 999)}-{rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+        text = f"call {number} {number[::-1][:4]}-{rng.randint(1, 99)} now"
+        for s, e, k in P.candidates(text, P._runs(text)):
+            if k == "phone":
+                rows.append(P.features(text, s, e, k))
+                label.append(float(text[s:e] == number))
+    order = rng.sample(range(len(rows)), len(rows))
+    chooser = P.Chooser(np.array(rows)[order], np.array(label)[order])
+    assert chooser.trees is not None
+    for text in ("call 555-123-4567 555-987-6543 now", "on 2024-01-05 555-123-4567 rang"):
+        spans = {text[s:e] for s, e, k in P.all_spans(text, {"phone": chooser})[1]}
+        assert set(re.findall(r"555-[0-9]{3}-[0-9]{4}", text)) <= spans
+
+
+def test_long_chains_take_linear_time():
+    start = time.process_time()
+    assert sum(1 for _ in P.candidates("1 " * 100_000, P._runs("1 " * 100_000))) < 4_000_000
+    assert time.process_time() - start < 20
