@@ -102,18 +102,30 @@ def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) ->
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(node, members) of the given (node, text) rows."""
+    """(node, members) of the texts of docs that have words; node as in signatures."""
 
     def run(batches):
         for batch in batches:
-            row = 0
-            for _, offsets, raw in text_pieces(batch.column(1)):
+            for _, offsets, raw in text_pieces(batch.column(0)):
                 words, bounds = hash_words(offsets, raw)
-                sets = [shingle_set(words[bounds[i]:bounds[i + 1]], k).view(np.int64) for i in range(len(bounds) - 1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), pa.array(sets, pa.list_(pa.int64()))], ["node", "members"])
-                row += len(sets)
+                sets = [s for i in range(len(bounds) - 1) if len(s := shingle_set(words[bounds[i]:bounds[i + 1]], k))]
+                nodes = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "members"])
+
+    return docs.select("text").mapInArrow(run, "node binary, members array<long>")
 
-    return docs.select("node", "text").mapInArrow(run, "node binary, members array<long>")
+
+def wanted_sets(docs: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """(node, members) of the classes found (node, doc_id).
+
+    The ids only choose the texts to look at (all those without id); which class a
+    text belongs to is its set's digest.
+    """
+    small = found.count() <= MAX_BROADCAST_IDS
+    ids, nodes = found.select("doc_id"), found.select("node")
+    named = docs.select("doc_id", "text").where("doc_id is not null").join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+    texts = named.unionByName(docs.select("doc_id", "text").where("doc_id is null"))
+    return shingle_sets(texts, k).join(F.broadcast(nodes) if small else nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
 def able(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -214,10 +226,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     wanted = active.select("node").union(active.select("centre")).distinct()
     found = written(classes.select("node", "doc_id", "size").join(wanted, "node"), "candidates")
     close = written(able(pairs, found, percent), "pairs")
-    ids = found.select("node", "doc_id")
-    small = found.count() <= MAX_BROADCAST_IDS
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if small else ids, "doc_id")
-    sets = written(shingle_sets(texts, k).dropDuplicates(["node"]), "sets")
+    sets = written(wanted_sets(docs, found, k), "sets")
     active = active.select("bucket", "node")
     labels = components(confirmed(close, sets, percent))
     joins = components(block_links(active, labels, sets, percent))

@@ -120,3 +120,25 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5)], "a long, b long")
     found = {r.node: r.label for r in components(edges).collect()}
     assert found == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def near_copies(words, n, places):
+    """n texts, each with one other word of its own."""
+    out = []
+    for i in range(n):
+        text = list(words)
+        text[places[i]] = f"other{i}"
+        out.append(" ".join(text))
+    return out
+
+
+def test_null_ids_and_shared_ids(spark):
+    """Near copies without id link, and of two texts under one id each has its own links."""
+    a, b = ([f"{c}{i}" for i in range(150)] for c in "ab")
+    rows = [(5, " ".join(a)), *((None, t) for t in near_copies(a, 4, [3, 60, 100, 140])), (7, " ".join(b)), (7, " ".join(a[:60])), (3, near_copies(a[:60], 1, [59])[0]),
+            *((None, t) for t in near_copies(b, 2, [20, 90])), (8, near_copies(b, 3, [0, 1, 149])[2])]
+    for _ in range(3):
+        random.Random(len(rows)).shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert order(got(N.near_duplicates(df, 3, 85))) == order(brute(rows, 3, 85))
+        rows = rows + [(7, "one two three")]
