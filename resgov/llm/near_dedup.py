@@ -78,8 +78,9 @@ def band_keys(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, node, bands): node is a 128-bit digest of the shingle set, null for the empty set."""
+def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS, row_id: str | None = None) -> DataFrame:
+    """(doc_id, n_shingles, node, bands), and row_id: node is a 128-bit digest of the shingle set, null for the empty set."""
+    carried = [] if row_id is None else [row_id]
     probes = probe_table(bands * rows)
 
     def run(batches):
@@ -96,9 +97,9 @@ def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) ->
                     else:
                         nodes.append(None)
                         keys.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), *batch.columns[2:]], ["doc_id", "n_shingles", "node", "bands", *carried])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node binary, bands array<long>")
+    return docs.select("doc_id", "text", *carried).mapInArrow(run, "doc_id long, n_shingles long, node binary, bands array<long>" + "".join(f", {c} long" for c in carried))
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -213,10 +214,10 @@ def block_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent:
     return rows.groupBy("bucket", "x", "y").applyInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id)."""
+def grouped(docs: DataFrame, k: int, percent: int, bands: int, rows: int, row_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The signatures, and (node, doc_id, label) of their classes: the class's smallest doc_id and its component."""
     prepared(docs.sparkSession)
-    signed = written(signatures(docs, k, bands, rows), "signatures")
+    signed = written(signatures(docs, k, bands, rows, row_id), "signatures")
     members = signed.where("node is not null")
     classes = written(members.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands")), "classes")
     buckets = classes.select("node", F.explode("bands").alias("bucket"))
@@ -233,9 +234,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     label = F.coalesce("top", "label", "node")
     labels = (classes.select("node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
               .join(joins.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", label.alias("label")))
-    named = classes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
+    return signed, classes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id)."""
+    signed, named = grouped(docs, k, percent, bands, rows)
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = named.join(smallest, "label").select("node", "component_id")
     linked = signed.where("node is not null").select("doc_id", "n_shingles", "node").join(named, "node").select("doc_id", "n_shingles", "component_id")
     alone = signed.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def survivors(docs: DataFrame, row_id: str, k: int = 5, percent: int = 80) -> DataFrame:
+    """(row_id) of the rows that stay: of each component the one of smallest doc_id, then row_id; all without words.
+
+    row_id names a column of docs, a long that is another in every row and the same whenever docs is read.
+    """
+    signed, named = grouped(docs, k, percent, BANDS, ROWS, row_id)
+    first = F.min(F.struct(F.col("signed.doc_id").isNull().alias("none"), F.col("signed.doc_id").alias("doc_id"), F.col(row_id).alias("row")))
+    one = signed.alias("signed").join(named.select("node", "label"), "node").groupBy("label").agg(first.alias("first"))
+    return one.select(F.col("first.row").alias(row_id)).unionByName(signed.where("node is null").select(row_id))

@@ -38,6 +38,19 @@ def test_stages_one_by_one(spark):
     assert len(out) == mixed.count() and all(coder.decode(r.ids) == texts[r.doc_id] and r.n_pieces == len(r.ids) for r in out)
 
 
+def test_near_dedup_keeps_one_row_of_a_group(spark, odd):
+    """Repeated rows, null ids and one id over two texts: one row of each group, every row without words."""
+    words, other = " ".join(f"a{i}" for i in range(90)), " ".join(f"b{i}" for i in range(90))
+    more = [(None, words), (None, words + " end"), (50, words + " last"), (51, other), (50, other + " end"), (None, other + " end"), (None, "one of a kind"), (None, "one of a kind"), (60, "left alone"), (60, "right alone")]
+    docs = odd.unionByName(spark.createDataFrame([(i, t, "en", "a", len(t), "n", 1, 2) for i, t in more], odd.schema))
+    out = C.near_dedup(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text if len(r.text or "") < 1000 else "long") for r in out.collect()), key=repr)
+    single = {r.doc_id: r.text for r in odd.collect()}
+    want = [(1, single[1]), (3, None), (4, ""), (5, " \t\n"), (6, "one two"), (7, "long"), (9, single[9]), (50, words + " last"), (50, other + " end"), (None, "one of a kind"), (60, "left alone"), (60, "right alone")]
+    assert got == sorted(want, key=repr)
+
+
 def test_entry_stands_without_the_optional_package(tmp_path):
     """With neither corpus_pipeline nor llm importable, the entry point has the other queries."""
     code = ("import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as E; q = E.queries(); "
