@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bloom_lm, factor_machine, pieces, pii, pu_quality, warc
+from . import bloom_lm, factor_machine, hard_negatives, oracle, pieces, pii, pu_quality, rank_index, token_blocks, warc
 from .frames import prepared
 from .mixing import mix
 from .near_dedup import near_duplicates
@@ -18,6 +18,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: The public vocabulary file; a parameter of the operator.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+#: The public tokenizer of op13, by name.
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,9 +63,23 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_index.digests(read(spark, sf_dir, "documents")).drop("n_segments")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(read(spark, sf_dir, "embeddings"))
+
+
+def op13_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return token_blocks.stored(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_warc, op4_lm_score, op5_embedding_dedup, op6_toxicity, op7_fingerprints, op8_pii, op9_mixing, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_warc, op4_lm_score, op5_embedding_dedup, op6_toxicity, op7_fingerprints, op8_pii, op9_mixing, op10_near_dedup,
+                                    op11_fill_in_middle, op12_hard_negatives, op13_token_blocks)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
