@@ -164,6 +164,28 @@ def timing(ledger: DataFrame, accuracy: int = 1000) -> DataFrame:
                  F.percentile_approx(t, 0.95, accuracy).alias("p95_seconds")))
 
 
+def timing_sketches(ledger: DataFrame, by: Sequence[str] = ("version", "day"), k: int = 200) -> DataFrame:
+    """Per version and day: attempts and a mergeable KLL sketch of their execution times, fit to be stored.
+
+    ``k`` sets the sketch's size; at 200 a rank is off by about 1.7 % at most (99 % confidence).  Null times count in neither.
+    """
+    t = F.col("execution_time_seconds")
+    days = ledger.withColumn("day", F.to_date("applied_at")).filter(t.isNotNull() & ~F.isnan(t))
+    return days.groupBy(*by).agg(F.count(t).alias("n"), F.kll_sketch_agg_double(t, k).alias("sketch"))
+
+
+def timing_percentiles(sketches: DataFrame, points: Sequence[float] = (0.5, 0.95, 0.99), by: Sequence[str] = ("version",),
+                       since: Column | None = None, until: Column | None = None) -> DataFrame:
+    """Percentiles over any span of days [since, until), from stored sketches alone: by, n and p50, p95, ..."""
+    day, span = F.col("day"), sketches
+    if since is not None:
+        span = span.filter(day >= since)
+    if until is not None:
+        span = span.filter(day < until)
+    merged = span.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("_s"))
+    return merged.select(*by, "n", *[F.kll_sketch_get_quantile_double("_s", F.lit(float(p))).alias(f"p{round(p * 100):d}") for p in points])
+
+
 def report(ledger: DataFrame) -> DataFrame:
     """Status report over all ledger rows, whatever their status."""
     return ledger.select("schema_key", "version", "description", "applied_at", "execution_time_seconds",
@@ -245,7 +267,10 @@ def ledger_rows(attempts: DataFrame, actor: str = "system") -> DataFrame:
 
 
 def append_ledger(rows: DataFrame, path: str) -> None:
-    """Append ledger rows to the ledger dataset at ``path`` (INSERT INTO)."""
+    """Append ledger rows to the ledger dataset at ``path`` (INSERT INTO); a rerun appends them again.
+
+    ``layout.append_new`` adds only rows that are not stored yet.
+    """
     rows.write.mode("append").parquet(path)
 
 

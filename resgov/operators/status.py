@@ -38,8 +38,8 @@ def not_expired(expiration: Column, as_of: Column) -> Column:
 
 
 def resource_status(inventory: DataFrame, registry: DataFrame, as_of: Column,
-                    workspace_id: str | None = None) -> DataFrame:
-    """Inventory ⟕ active approvals on (resource_id, workspace_id).
+                    workspace_id: str | None = None, on: Sequence[str] = KEY) -> DataFrame:
+    """Inventory ⟕ active approvals on (resource_id, workspace_id), or on a column that stands for both.
 
     Foundation models are approved by ``system`` at ``as_of`` with no expiry,
     whatever the registry says; others are approved when an active approval
@@ -48,11 +48,11 @@ def resource_status(inventory: DataFrame, registry: DataFrame, as_of: Column,
     Join strategy (broadcast vs shuffle) is left to AQE's runtime sizes.
     """
     inv = filter_workspace(drop_approval_columns(inventory), workspace_id)
-    act = (active_approvals(registry, workspace_id)
-           .select(*KEY, F.lit(True).alias("_match"),
+    act = (filter_workspace(registry.filter((F.col("is_approved") == F.lit(True)) & F.col("revoked_date").isNull()), workspace_id)
+           .select(*on, F.lit(True).alias("_match"),
                    F.col("approval_date").alias("_date"), F.col("approved_by").alias("_by"),
                    F.col("expiration_date").alias("_exp"), F.col("justification").alias("_why")))
-    j = inv.join(act, KEY, "left")
+    j = inv.join(act, list(on), "left")
     fm = F.coalesce(F.col("is_foundation_model"), F.lit(False))
     live = F.coalesce(F.col("_match"), F.lit(False)) & not_expired(F.col("_exp"), as_of)
     out = {

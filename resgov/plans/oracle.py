@@ -544,6 +544,55 @@ def _sql() -> dict[str, str]:
         AND EXISTS (SELECT 1 FROM now n WHERE n.schema_key = l.schema_key AND n.version = l.version)
         AND NOT EXISTS (SELECT 1 FROM now n WHERE n.schema_key = l.schema_key AND n.version = l.version
                         AND n.checksum = l.checksum)"""
+    # of decisions at the same time the one with the largest seq holds
+    q["decision_as_of"] = f"""WITH {LOG},
+      held AS (SELECT * FROM valid QUALIFY row_number() OVER (PARTITION BY resource_id, workspace_id, "at" ORDER BY seq DESC) = 1),
+      asked AS (SELECT l_orderkey AS order_id, l_linenumber AS line, CAST(c_custkey AS VARCHAR) AS resource_id, CAST(c_nationkey AS VARCHAR) AS workspace_id,
+                  CAST(l_shipdate AS TIMESTAMP) AS asked_at
+                FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)
+      SELECT a.order_id, a.line, a.resource_id, a.workspace_id, a.asked_at, h.seq, h.action, h.actor,
+        coalesce(h.action = 'approve' AND (coalesce(h.expiration_date, '') = '' OR TRY_CAST(substr(trim(h.expiration_date), 1, 10) AS TIMESTAMP) >= a.asked_at), false) AS was_approved
+      FROM asked a ASOF LEFT JOIN held h ON a.resource_id = h.resource_id AND a.workspace_id = h.workspace_id AND h."at" <= a.asked_at"""
+    q["registry_of_region"] = f"""{rg} SELECT {REG_COLS} FROM reg WHERE workspace_id IN (
+        SELECT CAST(n_nationkey AS VARCHAR) FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA')"""
+    q["resource_status_bucketed"] = q["resource_status"]
+    q["registry_lookup"] = f"{rg} SELECT {REG_COLS} FROM reg WHERE resource_id = '64' AND workspace_id = '21'"
+    q["stored_ledger_maintained"] = f"""{lg},
+      stored AS (SELECT schema_key, version, status FROM ledger WHERE version <= 3 AND NOT coalesce(version = 1 AND status = 'failed', false)
+        UNION ALL SELECT schema_key, version, status FROM ledger WHERE version > 3
+        QUALIFY row_number() OVER (PARTITION BY schema_key, version, checksum, applied_at
+                                   ORDER BY description DESC NULLS LAST, sql_statement DESC NULLS LAST, status DESC NULLS LAST) = 1)
+      SELECT version, status, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT schema_key) AS BIGINT) AS n_schemas FROM stored GROUP BY version, status"""
+    fifth = "CAST(resource_id AS BIGINT) % 5 = 0"
+    q["backup_fingerprints"] = f"""{rg}
+      SELECT workspace_id, CAST(count(*) AS BIGINT) AS n_left,
+        CAST(count(*) + CASE workspace_id WHEN '7' THEN -1 WHEN '11' THEN 1 ELSE 0 END * count(*) FILTER (WHERE {fifth}) AS BIGINT) AS n_right,
+        NOT (workspace_id IN ('3', '7', '11') AND count(*) FILTER (WHERE {fifth}) > 0) AS same
+      FROM reg GROUP BY workspace_id"""
+    q["backup_differences"] = f"""{rg}, f AS (SELECT resource_id, workspace_id, approved_by FROM reg WHERE workspace_id IN ('3', '7', '11') AND {fifth})
+      SELECT resource_id, workspace_id, approved_by, CAST(1 AS BIGINT) AS n_left, CAST(CASE workspace_id WHEN '11' THEN 2 ELSE 0 END AS BIGINT) AS n_right FROM f
+      UNION ALL SELECT resource_id, workspace_id, 'somebody', 0, 1 FROM f WHERE workspace_id = '3'"""
+    q["result_variants"] = f"""
+      SELECT CAST(o_orderkey // 100 AS BIGINT) AS result_id, CASE WHEN NOT ({short} AND {odd}) THEN CAST(o_orderkey AS VARCHAR) END AS o_orderkey,
+        CASE WHEN NOT ({short} AND {odd}) THEN o_orderstatus END AS o_orderstatus, o_orderstatus = 'O' AS is_open,
+        CASE WHEN NOT ({short} AND NOT {odd}) THEN round(o_totalprice, 2) END AS o_totalprice,
+        CASE WHEN NOT ({short} AND NOT {odd}) THEN o_orderdate END AS o_orderdate FROM orders"""
+    # a column that no row of a result holds has no type
+    kind = "CASE WHEN count(*) FILTER (WHERE NOT ({gone})) = 0 THEN 'VOID' ELSE {kind} END"
+    late, early = f"{short} AND NOT {odd}", f"{short} AND {odd}"
+    price = "CASE any_value(o_orderkey // 100) % 3 WHEN 0 THEN 'STRING' WHEN 1 THEN 'DOUBLE' ELSE 'DECIMAL' END"
+    key = "CASE any_value(o_orderkey // 100) % 5 WHEN 0 THEN 'STRING' ELSE 'BIGINT' END"
+    q["result_variant_schemas"] = f"""
+      WITH r AS (SELECT count(*) AS n, 'OBJECT<is_open: BOOLEAN, o_orderdate: ' || {kind.format(gone=late, kind="'TIMESTAMP_NTZ'")} || ', o_orderkey: ' || {kind.format(gone=early, kind=key)}
+          || ', o_orderstatus: ' || {kind.format(gone=early, kind="'STRING'")} || ', o_totalprice: ' || {kind.format(gone=late, kind=price)} || '>' AS row_schema FROM orders GROUP BY o_orderkey // 100)
+      SELECT row_schema, CAST(count(*) AS BIGINT) AS n_results, CAST(sum(n) AS BIGINT) AS n_rows FROM r GROUP BY row_schema"""
+    q["result_type_clashes"] = """
+      WITH r AS (SELECT DISTINCT o_orderkey // 100 AS i FROM orders),
+      t AS (SELECT 'o_totalprice' AS name, CASE i % 3 WHEN 0 THEN 'STRING' WHEN 1 THEN 'DOUBLE' ELSE 'DECIMAL' END AS t FROM r
+            UNION ALL SELECT 'o_orderkey', CASE i % 5 WHEN 0 THEN 'STRING' ELSE 'LONG' END FROM r)
+      SELECT name, string_agg(DISTINCT t, ',' ORDER BY t) AS types, CAST(count(DISTINCT t) AS BIGINT) AS n_types FROM t GROUP BY name HAVING count(DISTINCT t) > 1"""
+    q["ledger_percentiles"] = f"""{lg}
+      SELECT version, CAST(count(*) AS BIGINT) AS n_times, true AS p50_ok, true AS p95_ok, true AS p99_ok FROM ledger WHERE execution_time_seconds IS NOT NULL GROUP BY version"""
     return q
 
 

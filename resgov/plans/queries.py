@@ -10,16 +10,20 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from ..functions.times import ntz
+from ..functions.times import midnight_as_written, ntz
+from ..operators import asof as O
 from ..operators import decisions as D
+from ..operators import layout as W
 from ..operators import ledger as L
 from ..operators import snapshots as K
 from ..operators import stats as A
 from ..operators import status as J
 from ..operators import validate as V
+from ..schemas import LEDGER
 from ..session import configure, shared_dir
 from ..sources import feeds as S
 from ..sources import fixtures as X
+from ..sources import decode as C
 from ..sources.decode import decode_result
 from ..sources.tables import table
 from ..functions.foundation import is_foundation, endpoint_description
@@ -27,6 +31,9 @@ from ..functions.labels import state_class
 
 Query = Callable[[SparkSession, str], DataFrame]
 WORKSPACE = "7"
+# Buckets of the stored tables; on a cluster about the table's size over 128 MB.
+BUCKETS = 8
+LOOKUP_KEY = ("64", "21")
 # Columns that tell the fixture's ledger rows apart.
 IDS = ("tie1", "tie2")
 REGISTRY: dict[str, Query] = {}
@@ -485,5 +492,103 @@ def ledger_definition_drift(spark, sf):
     return L.definition_drift(_ledger(spark, sf), _defs(spark, sf), IDS)
 
 
+# ---------------------------------------------------------------- as-of and stored layouts
+
+@query
+def decision_as_of(spark, sf):
+    """The decision in force, and whether it was a live approval, when each line shipped."""
+    facts = V.valid_decisions(X.decision_log(spark, sf)).withColumn("expires", midnight_as_written(F.col("expiration_date")))
+    held = O.as_of(X.approval_questions(spark, sf), facts, D.KEY, "asked_at", "at", ["seq"], ["seq", "action", "actor", "expires"])
+    live = (F.col("action") == "approve") & J.not_expired(F.col("expires"), F.col("asked_at"))
+    return held.withColumn("was_approved", F.coalesce(live, F.lit(False))).drop("expires")
+
+
+@query
+def registry_of_region(spark, sf):
+    """The stored registry's rows of one region's workspaces, other folders pruned at run time."""
+    path = W.write_partitioned(registry(spark, sf), shared_dir(spark, f"registry-by-workspace-{uuid.uuid4().hex}"))
+    return W.pick_workspaces(W.read_partitioned(spark, path), X.workspaces_of_region(spark, sf, "ASIA"))
+
+
+def _bucketed(spark, df, what):
+    name = f"{what}_{uuid.uuid4().hex}"
+    return W.write_bucketed(df, name, shared_dir(spark, name), BUCKETS)
+
+
+@query
+def resource_status_bucketed(spark, sf):
+    """J1 over inventory and registry stored in buckets of their row key: joined without an exchange."""
+    inv, reg = (_bucketed(spark, df, what) for df, what in ((X.inventory(spark, sf), "inventory"), (registry(spark, sf), "registry")))
+    return J.resource_status(inv, reg, X.as_of(), on=[W.ROW_KEY])
+
+
+@query
+def registry_lookup(spark, sf):
+    """K1: the registry row of one key, read from its bucket."""
+    return W.lookup(_bucketed(spark, registry(spark, sf), "registry"), LOOKUP_KEY)
+
+
+@query
+def stored_ledger_maintained(spark, sf):
+    """K2/K5: a ledger stored by version, appended to twice, then without the failed rows of version 1: rows per version and status."""
+    rows = _ledger(spark, sf).select(*LEDGER.fieldNames())
+    path = W.write_ledger(rows.filter(F.col("version") <= 3), shared_dir(spark, f"ledger-{uuid.uuid4().hex}"))
+    for _ in range(2):
+        W.append_new(rows.filter(F.col("version") > 2), path)
+    W.delete_failed(spark, path, 1)
+    return W.read_ledger(spark, path).groupBy("version", "status").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("schema_key").alias("n_schemas"))
+
+
+@query
+def backup_fingerprints(spark, sf):
+    """K3: registry and a damaged copy compared by content fingerprints per workspace."""
+    reg = registry(spark, sf)
+    return K.compare_fingerprints(reg, X.damaged(reg), ["workspace_id"])
+
+
+@query
+def backup_differences(spark, sf):
+    """K3: the rows that differ, compared only in the workspaces whose fingerprints do."""
+    reg = registry(spark, sf)
+    return K.differing_rows(reg, X.damaged(reg), ["workspace_id"]).select("resource_id", "workspace_id", "approved_by", "n_left", "n_right")
+
+
+@query
+def result_variants(spark, sf):
+    """Results typed by their own manifests, one VARIANT a row; fields read out again."""
+    rows = C.decode_variants(X.result_mixed(spark, sf))
+    got = lambda name, kind: F.try_variant_get("row", f"$.{name}", kind)
+    return rows.select("result_id", got("o_orderkey", "string").alias("o_orderkey"), got("o_orderstatus", "string").alias("o_orderstatus"), got("is_open", "boolean").alias("is_open"),
+                       F.round(got("o_totalprice", "double"), 2).alias("o_totalprice"), got("o_orderdate", "timestamp_ntz").alias("o_orderdate"))
+
+
+@query
+def result_variant_schemas(spark, sf):
+    """The schema that each result's rows turn out to have (decimals without their digits), and how many results share it."""
+    per_result = C.result_schemas(C.decode_variants(X.result_mixed(spark, sf)))
+    per_result = per_result.withColumn("row_schema", F.regexp_replace("row_schema", r"DECIMAL\(\d+,\d+\)", "DECIMAL"))
+    return per_result.groupBy("row_schema").agg(F.count(F.lit(1)).alias("n_results"), F.sum("n_rows").alias("n_rows"))
+
+
+@query
+def result_type_clashes(spark, sf):
+    """Columns whose type differs from result to result."""
+    return C.type_clashes(X.result_mixed(spark, sf))
+
+
+@query
+def ledger_percentiles(spark, sf):
+    """Per version, whether percentiles from merged daily sketches lie within 2 % of their exact ranks."""
+    led = _ledger(spark, sf).filter(F.col("execution_time_seconds").isNotNull())
+    got = L.timing_percentiles(L.timing_sketches(led)).withColumnRenamed("n", "n_times")
+    t = F.col("execution_time_seconds")
+    met = led.select("version", t).join(F.broadcast(got.withColumnRenamed("version", "_v")), F.col("version").eqNullSafe(F.col("_v")))
+    checks = []
+    for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)):
+        below, upto = F.count_if(t < F.col(name)) / F.count(t), F.count_if(t <= F.col(name)) / F.count(t)
+        checks.append(((below <= p + 0.02) & (upto >= p - 0.02)).alias(f"{name}_ok"))
+    return met.groupBy("version").agg(F.max("n_times").alias("n_times"), *checks)
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

@@ -82,7 +82,7 @@ STATUS_COLUMNS = [
 
 LEDGER = T.StructType([
     _field("schema_key", T.StringType(), "which schema this ledger belongs to"),
-    _field("version", T.IntegerType(), "Migration version number"),
+    _field("version", T.IntegerType(), "number of the migration, from 1"),
     _field("description", T.StringType()),
     _field("sql_statement", T.StringType()),
     _field("checksum", T.StringType(), "SHA-256 of sql_statement"),

@@ -319,5 +319,35 @@ def result_raw(spark: SparkSession, sf: str, chunk_rows: int = 100) -> DataFrame
                     F.transform("rows", lambda r: r["row"]).alias("data_array")))
 
 
+def result_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    """The string results with manifests that do not agree: prices are text, doubles or
+    decimals by result, and every fifth result calls its order keys text."""
+    price = F.element_at(F.array(*map(F.lit, ("STRING", "DOUBLE", "DECIMAL"))), (F.col("result_id") % 3 + 1).cast("int"))
+    kind = lambda c: (F.when(c["name"] == "o_totalprice", price)
+                      .when((c["name"] == "o_orderkey") & (F.col("result_id") % 5 == 0), F.lit("STRING")).otherwise(c["type_name"]))
+    return result_raw(spark, sf).withColumn("columns", F.transform("columns", lambda c: F.struct(c["name"].alias("name"), kind(c).alias("type_name"))))
+
+
+def approval_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """Was the customer's resource approved when each of its lines shipped?"""
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), F.col("l_shipdate").cast("timestamp_ntz").alias("asked_at"))
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("c_custkey"))
+    owners = table(spark, sf, "customer").select("c_custkey", _s("c_custkey").alias("resource_id"), _s("c_nationkey").alias("workspace_id"))
+    return lines.join(orders, "order_id").join(owners, "c_custkey").select("order_id", "line", "resource_id", "workspace_id", "asked_at")
+
+
+def damaged(registry: DataFrame) -> DataFrame:
+    """A copy with faults in the workspaces 3 (rows changed), 7 (rows lost) and 11 (rows doubled)."""
+    nth, ws = F.col("resource_id").cast("long") % 5 == 0, F.col("workspace_id")
+    changed = registry.withColumn("approved_by", F.when((ws == "3") & nth, F.lit("somebody")).otherwise(F.col("approved_by")))
+    return changed.filter(~((ws == "7") & nth)).unionByName(registry.filter((ws == "11") & nth))
+
+
+def workspaces_of_region(spark: SparkSession, sf: str, region: str) -> DataFrame:
+    """Ids of a region's workspaces."""
+    regions = table(spark, sf, "region").filter(F.col("r_name") == region).select(F.col("r_regionkey").alias("n_regionkey"))
+    return table(spark, sf, "nation").join(F.broadcast(regions), "n_regionkey").select(_s("n_nationkey").alias("workspace_id"))
+
+
 def pages(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", "url")

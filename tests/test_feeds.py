@@ -1,8 +1,10 @@
 import datetime as dt
+import json
 
 from pyspark.sql import functions as F, types as T
 
 from resgov.schemas import ENDPOINTS_RAW
+from resgov.sources import decode as C
 from resgov.sources import feeds as S
 from resgov.sources.decode import decode_result
 
@@ -140,3 +142,43 @@ def test_workspace_listing_with_urls(spark):
     got = {r.workspace_id: (r.workspace_name, r.url, r.n_resources)
            for r in S.workspaces(raw).collect()}
     assert got == {"1": ("one", "https://one.example.com", 2), "2": ("two", "https://two.example.com", 1)}
+
+
+def variants(spark, rows):
+    from resgov.schemas import RESULT_RAW
+    schema = "result_id int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in RESULT_RAW.fields)
+    return C.decode_variants(spark.createDataFrame(rows, schema))
+
+
+def test_variants_follow_each_results_own_types(spark):
+    kinds = ["BOOLEAN", "BYTE", "int", "LONG", "FLOAT", "DOUBLE", "DECIMAL", "DATE", "TIMESTAMP", "STRING", "ARRAY", "STRUCT", "NOVEL", None]
+    cells = ["TRUE", "7", "-3", "9007199254740993", "0.5", "1e3", "12.50", "2024-02-29", "2024-02-29 10:00:00", "x", "[1, \"a\"]", "{\"k\": null}", "as it is", "text"]
+    bad = ["yes", "seven", "1.5", "", "a", "b", "c", "2024-02-30", "noon", None, "[1,", "{", None, None]
+    manifest = [(f"c{i}", k) for i, k in enumerate(kinds)]
+    rows = variants(spark, [(1, manifest, [cells, bad, cells[:2], []]), (2, [], [[]]), (3, manifest, []), (4, None, None)])
+    got = {(r.result_id, r.row_pos): r for r in rows.select("result_id", "row_pos", F.to_json("row").alias("j"), F.schema_of_variant("row").alias("s")).collect()}
+    assert set(got) == {(1, 0), (1, 1), (1, 2), (1, 3), (2, 0)}
+    first = json.loads(got[1, 0].j)
+    assert [first[f"c{i}"] for i in range(14)] == [True, 7, -3, 9007199254740993, 0.5, 1000.0, 12.5, "2024-02-29", "2024-02-29 10:00:00", "x", [1, "a"], {"k": None}, "as it is", "text"]
+    for part in ("c0: BOOLEAN", "c3: BIGINT", "c5: DOUBLE", "c6: DECIMAL(", "c7: DATE", "c8: TIMESTAMP_NTZ", "c9: STRING", "c10: ARRAY<VARIANT>", "c11: OBJECT<k: VOID>"):
+        assert part in got[1, 0].s, part
+    second = json.loads(got[1, 1].j)
+    assert second["c0"] is False and all(second[f"c{i}"] is None for i in range(1, 14))
+    third = json.loads(got[1, 2].j)
+    assert third["c0"] is True and third["c1"] == 7 and third["c2"] is None and set(third) == set(first) and json.loads(got[1, 3].j)["c0"] is None and got[2, 0].j == "{}"
+
+
+def test_variants_of_repeated_and_odd_names(spark):
+    rows = variants(spark, [(1, [("a", "LONG"), ("b.c'd", "LONG"), ("a", "STRING"), (None, "LONG")], [["1", "2", "last", "4"]])])
+    assert json.loads(rows.select(F.to_json("row")).first()[0]) == {"a": "last", "b.c'd": 2}
+    out = C.typed(rows, T.StructType([T.StructField("b.c'd", T.LongType()), T.StructField("a", T.LongType()), T.StructField("gone", T.StringType())]))
+    assert tuple(out.first()) == (1, 2, None, None)
+
+
+def test_clashing_types_in_one_table(spark):
+    raw = [(1, [("v", "LONG")], [["1"], ["2"]]), (2, [("v", "STRING"), ("w", "DATE")], [["x", "2024-01-01"]]), (3, [("v", "long")], [["3"]])]
+    rows = variants(spark, raw)
+    assert {r.result_id: r.row_schema for r in C.result_schemas(rows).collect()} == {1: "OBJECT<v: BIGINT>", 2: "OBJECT<v: STRING, w: DATE>", 3: "OBJECT<v: BIGINT>"}
+    assert [r.row_schema for r in C.result_schemas(rows, ()).collect()] == ["OBJECT<v: VARIANT, w: DATE>"]
+    assert sorted(r[0] for r in C.typed(rows, T.StructType([T.StructField("v", T.StringType())]), keep=()).collect()) == ["1", "2", "3", "x"]
+    assert [tuple(r) for r in C.type_clashes(rows.sparkSession.createDataFrame(raw, "result_id int, columns array<struct<name:string,type_name:string>>, data_array array<array<string>>")).collect()] == [("v", "LONG,STRING", 2)]

@@ -129,3 +129,21 @@ def test_ledger_rows_from_timed_attempts(spark):
         "started_at timestamp_ntz, finished_at timestamp_ntz, error_message string")
     r = L.ledger_rows(attempts).first()
     assert r.execution_time_seconds == 2.5 and r.applied_at == dt.datetime(2024, 1, 1)
+
+
+def test_percentiles_from_merged_sketches(spark):
+    """Ranks stay within 2 % whatever the span, hot days and orders; sketches of days merge."""
+    from pyspark.sql import functions as F
+    days = [dt.datetime(2024, 1, 1) + dt.timedelta(days=i % 10 if i % 3 else 0) for i in range(30_000)]
+    rows = spark.createDataFrame([(1 + i % 2, float((i * 7919) % 30_011), days[i]) for i in range(30_000)] + [(1, None, days[0]), (9, None, days[0]), (1, float("nan"), days[0])],
+                                 "version int, execution_time_seconds double, applied_at timestamp_ntz")
+    sketches = L.timing_sketches(rows)
+    assert {r.version for r in sketches.collect()} == {1, 2}
+    for since, until in ((None, None), (dt.date(2024, 1, 3), dt.date(2024, 1, 8))):
+        got = {r.version: r for r in L.timing_percentiles(sketches, since=since and F.lit(since), until=until and F.lit(until)).collect()}
+        for version in (1, 2):
+            want = sorted(float((i * 7919) % 30_011) for i in range(30_000) if 1 + i % 2 == version and (since is None or since <= days[i].date() < until))
+            assert got[version].n == len(want)
+            for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)):
+                rank = sum(x <= got[version][name] for x in want) / len(want)
+                assert abs(rank - p) < 0.02
