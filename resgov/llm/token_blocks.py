@@ -49,6 +49,9 @@ END_ID = 2
 LONG_TEXT, TEXT_BYTES = 1 << 20, 1 << 20
 HEADER = "<4siiIQQII"
 MAGIC = b"TIB1"
+# a place where no token can cross: before a space that a visible ASCII or Latin character follows
+CUT = re.compile("(?= [!-~\u00c0-\u024f])")
+CACHE, WORD_CHARS, GROUP = 400_000, 32, 200
 
 
 # ------------------------------------------------------------------ blocks
@@ -153,51 +156,79 @@ def segments(content: bytes):
 # ---------------------------------------------------------------- encoding
 
 class Encoder:
-    """The tokenizer of a JSON file's text.  Long texts go in parts cut where no token can cross.
+    """The tokenizer of a JSON file's text, with the ids of words seen before kept.
 
-    The byte-level splitter begins a new word at a single space between two
-    letters or digits of ASCII, so such a cut leaves all ids as they are.  For
-    other kinds of tokenizers texts are encoded whole.
+    A byte-level splitter begins a new word at a space that a visible character
+    follows, whatever stands before, so a text cut there has the ids of its
+    pieces.  Words that are new in a run of texts are joined (each begins with
+    such a space) and encoded in one call; the tokens' places tell which word
+    each belongs to.  For other kinds of tokenizers texts are encoded whole.
     """
 
     def __init__(self, text: str):
-        self.text, self.made = text, None
+        self.text, self.made, self.seen, self.old = text, None, {}, {}
         spec = json.loads(text)
         split = spec.get("pre_tokenizer") or {}
-        self.cuts = spec.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+        plain = not any(t.get("lstrip") or t.get("rstrip") or t.get("normalized") or " " in t["content"] for t in spec.get("added_tokens", []))
+        self.cuts = plain and spec.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
 
     def __getstate__(self):
-        return {**self.__dict__, "made": None}
-
-    def parts(self, text: str, size: int = LONG_TEXT) -> list[str]:
-        if not self.cuts or len(text) <= size:
-            return [text]
-        out, begin, gap = [], 0, re.compile("[A-Za-z0-9](?= [A-Za-z0-9])")
-        while len(text) - begin > size:
-            found = gap.search(text, begin + size)
-            if found is None:
-                break
-            out.append(text[begin:found.end()])
-            begin = found.end()
-        return out + [text[begin:]]
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+        return {**self.__dict__, "made": None, "seen": {}, "old": {}}
+
+    def _model(self):
         if self.made is None:
             import os
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
             from tokenizers import Tokenizer
             self.made = Tokenizer.from_str(self.text)
-        split = [self.parts(t) for t in texts]
-        out: list[list[int]] = []
-        if all(len(s) == 1 for s in split):
-            return [e.ids for e in self.made.encode_batch(texts, add_special_tokens=False)]
-        for some in split:
-            ids: list[int] = []
-            for part in some:
-                ids += self.made.encode(part, add_special_tokens=False).ids
-            out.append(ids)
+        return self.made
+
+    def _learn(self, words: list[str]) -> None:
+        """Keep the ids of words that begin with a space, a few hundred a text."""
+        groups = [words[i:i + GROUP] for i in range(0, len(words), GROUP)]
+        for some, found in zip(groups, self._model().encode_batch(["".join(g) for g in groups], add_special_tokens=False)):
+            raw = np.array(found.ids, "<u4").tobytes()
+            begins = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.offsets))
+            cuts = (4 * np.searchsorted(begins, np.cumsum([0, *map(len, some)]))).tolist()
+            self.seen.update(zip(some, map(raw.__getitem__, map(slice, cuts, cuts[1:]))))
+
+    def _run(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.seen) > CACHE:  # words met again move on to the new half, the others go with the next change
+            self.old, self.seen = self.seen, {}
+        split = [CUT.split(t) for t in texts]
+        new = set().union(*(parts[1:] for parts in split)).difference(self.seen)
+        if self.old:
+            again = [w for w in new if w in self.old]
+            self.seen.update(zip(again, map(self.old.__getitem__, again)))
+        self._learn([w for w in new if w not in self.seen])
+        firsts = self._model().encode_batch([parts[0] for parts in split], add_special_tokens=False)
+        get = self.seen.__getitem__
+        out = [np.concatenate([np.array(first.ids, np.uint32), np.frombuffer(b"".join(map(get, parts[1:])), "<u4")]) for first, parts in zip(firsts, split)]
+        for word in new:
+            if len(word) > WORD_CHARS:
+                del self.seen[word]
         return out
 
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if not self.cuts:
+            return [np.array(e.ids, np.uint32) for e in self._model().encode_batch(texts, add_special_tokens=False)]
+        if all(len(t) <= LONG_TEXT for t in texts):
+            return self._run(texts)
+        return [np.concatenate([self._run([part])[0] for part in pieces(t)]) for t in texts]
+
+
+def pieces(text: str, size: int = LONG_TEXT):
+    """Parts of a long text, each cut at the first place after ``size`` code points where a word begins."""
+    begin = 0
+    while len(text) - begin > size:
+        found = CUT.search(text, begin + size)
+        if found is None:
+            break
+        yield text[begin:found.start()]
+        begin = found.start()
+    yield text[begin:]
+
 
 def slices(texts: list[str], most: int = TEXT_BYTES):
     """Runs of texts of about ``most`` code points."""
@@ -241,7 +272,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = E
                 for i, found in zip(doc_ids[begin:end], encoder.encode(texts[begin:end])):
                     names.append(i)
                     sizes.append(len(found) + 1)
-                    ids.append(np.array(found + [end_id], np.uint32))
+                    ids.append(np.append(found, np.uint32(end_id)))
                     held += len(found) + 1
                     if held >= segment_ids:
                         yield full()

@@ -1,10 +1,12 @@
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from resgov.llm import bloom_lm as B
 
@@ -49,19 +51,34 @@ def documents(spark):
     return df, [(r.doc_id, r.text) for r in df.collect()]
 
 
-def test_filter_and_joins_against_brute_force(documents):
+def test_scores_against_brute_force(documents):
     df, rows = documents
     check(B.score(df), rows, exact=False)
-    check(B.score(df, max_broadcast=0), rows, exact=True)
+
+
+def test_many_segments_and_chunks(documents):
+    """Tiny segments and chunks change nothing; with many bits an entry no probe errs and scores are those of the counts."""
+    df, rows = documents
+    check(B.score(df.repartition(3, "doc_id"), chunk_bytes=20_000, segment_bytes=4_000, bits_an_entry=600), rows, exact=True)
+    check(B.score(df, bits_an_entry=600), rows, exact=True)
 
 
 def test_odd_rows(spark, odd, nothing):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     check(B.score(odd), rows, exact=False)
-    check(B.score(odd, max_broadcast=0), rows, exact=True)
+    check(B.score(odd, chunk_bytes=1, bits_an_entry=600), rows, exact=True)
     assert B.score(nothing).collect() == []
 
 
+def test_chunk_that_changes_is_an_error(spark):
+    """Rows in another order at the second read would get the levels of other texts."""
+    df = spark.range(400).withColumn("doc_id", F.col("id")).withColumn("text", F.concat(F.lit("word"), F.monotonically_increasing_id() + F.unix_micros(F.current_timestamp())))
+    scored = B.score(df)
+    time.sleep(0.1)
+    with pytest.raises(Exception, match="changed between two reads"):
+        scored.collect()
+
+
 def test_nothing_to_learn_from(spark):
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:3]
     df = spark.createDataFrame([(i, "a b") for i in held], "doc_id long, text string")
@@ -71,11 +88,16 @@ def test_nothing_to_learn_from(spark):
 def test_levels_are_never_too_low():
     keys = np.random.default_rng(1).integers(0, 2**63, 4000, dtype=np.uint64)
     levels = np.random.default_rng(2).integers(0, 7, 4000)
-    bits = 512
-    table = np.zeros(bits * B.SEGMENTS // 8, np.uint8)
-    for level in range(1, 7):
-        at = B.places(keys[levels >= level], level, bits).ravel()
-        np.bitwise_or.at(table, at >> np.uint64(3), (1 << (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
-    found = B.probed(keys, table, bits)
-    assert (found >= levels).all() and (found == levels).mean() > 0.9
+    found = B.probed(keys, B.built(keys, levels))
+    assert (found >= levels).all() and (found == levels).mean() > 0.98
+    assert (B.probed(keys, B.built(keys, levels, 600)) == levels).all() and not B.probed(keys, B.built(keys[:0], levels[:0])).any()
     assert list(B.amount(np.array([0, 1, 2, 3]))) == [0.0, 1.0, 2.5, 5.5]
+    assert list(B.level_of(np.array([0, 1, 2, 3, 4, 7, 8, 2**40]))) == [0, 1, 2, 2, 3, 3, 4, 41]
+
+
+def test_keys_in_bytes():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5000):
+        keys = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        assert (B.unpacked_keys(B.packed_keys(keys)) == keys).all() and (B.unsqueezed(B.squeezed(keys)) == keys).all()
+    assert len(B.packed_keys(keys)) < 7.2 * len(keys) and len(B.squeezed(np.ones(5000, int))) < 100

@@ -55,16 +55,22 @@ def test_segments_and_ranges_of_ids():
         B.Segment(np.zeros(200, np.uint8))
 
 
-def test_parts_of_long_texts_have_the_ids_of_the_whole(tokenizer):
+def test_words_and_pieces_have_the_ids_of_the_whole(tokenizer, monkeypatch):
     with open(FILE, encoding="utf-8") as f:
         encoder = B.Encoder(f.read())
+    assert encoder.cuts
     rng = random.Random(3)
-    for _ in range(200):
-        text = "".join(rng.choice(["ab", "x1", " ", "  ", "\n", "é", "中", "'s", "<|endoftext|>", "!", "\t", "\x1c", " ", "Z"]) for _ in range(200))
-        parts = encoder.parts(text, 10)
-        assert "".join(parts) == text
-        assert sum((tokenizer.encode(p, add_special_tokens=False).ids for p in parts), []) == tokenizer.encode(text, add_special_tokens=False).ids
-    assert len(encoder.parts("some words " * 1000, 100)) > 50
+    marks = ["ab", "x1", " ", " ", "  ", "\n", "é", "中", "'s", "<|endoftext|>", "!", "\t", "\x1c", "\u2003", "\u00a0", "\u3000", "\u0085", "Z", "\U0001F600", "9", "'", "À", "ɏ", "\u180e", "<|endof", "text|>"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randrange(120))) for _ in range(1500)]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    lists = lambda found: [x.tolist() for x in found]
+    assert lists(encoder.encode(texts)) == want and lists(encoder.encode(texts[::-1])) == want[::-1]
+    assert all("".join(B.pieces(t, 10)) == t for t in texts)
+    monkeypatch.setattr(B, "LONG_TEXT", 10)
+    monkeypatch.setattr(B, "CACHE", 50)
+    monkeypatch.setattr(B.pieces, "__defaults__", (10,))
+    assert lists(encoder.encode(texts)) == want
+    assert len(list(B.pieces("some words " * 1000, 100))) > 50
 
 
 def test_documents_table(spark, tokenizer):
