@@ -18,7 +18,8 @@ reach the driver.  Every text is scored in one map.
 
 Defined results: null and empty text have all measures 0; without positives
 every score is 0.5; a null label is unlabelled; a null doc_id counts as held
-out; repeated rows are scored each.
+out; repeated rows are scored each and learnt from once (of several texts of an
+id the greatest).
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bloom_lm import is_held_out
+from .factor_machine import one_row_an_id
 from .frames import prepared, sent
 from .words import _IS_WORD, _places, hash_words, text_pieces
 
@@ -115,8 +117,20 @@ class Network:
             self.v[i] = 0.999 * self.v[i] + 0.001 * g * g
             self.p[i] = self.p[i] - RATE * (self.m[i] / (1 - 0.9**self.t)) / (np.sqrt(self.v[i] / (1 - 0.999**self.t)) + 1e-8)
 
+    @staticmethod
+    def slopes(p: np.ndarray, u: np.ndarray, prior: float | None) -> np.ndarray:
+        """d risk / d output from the scores of positives and unlabelled rows; prior None: plain log loss of the one against the other.
+
+        Where the risk of negatives falls below zero it is ascended alone.
+        """
+        if prior is None:
+            return np.concatenate([(p - 1) / len(p), u / len(u)])
+        loss = lambda q: -np.log(np.maximum(1 - q, 1e-12))  # noqa: E731  of a 0
+        if loss(u).mean() - prior * loss(p).mean() >= 0:
+            return np.concatenate([(prior * (p - 1) - prior * p) / len(p), u / len(u)])
+        return np.concatenate([prior * p / len(p), -u / len(u)])
+
     def fit(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, seed: int = 4) -> "Network":
-        """prior None: plain log loss of positives against unlabelled rows."""
         rng = np.random.default_rng(seed)
         size = 256
         for _ in range(EPOCHS):
@@ -124,16 +138,7 @@ class Network:
                 rows = np.concatenate([positive[rng.integers(0, len(positive), size)], unlabelled[rng.integers(0, len(unlabelled), size)]])
                 x, h, z = self.forward(rows)
                 s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                p, u = s[:size], s[size:]
-                if prior is None:
-                    slope = np.concatenate([p - 1, u]) / size
-                else:
-                    loss = lambda q: -np.log(np.maximum(1 - q, 1e-12))  # noqa: E731  of a 0
-                    negative = loss(u).mean() - prior * loss(p).mean()
-                    if negative >= 0:
-                        slope = np.concatenate([prior * (p - 1) - prior * p, u]) / size
-                    else:  # the risk of negatives fell below zero: ascend it alone
-                        slope = np.concatenate([prior * p, -u]) / size
+                slope = self.slopes(s[:size], s[size:], prior)
                 self.step(x, h, slope)
         return self
 
@@ -181,8 +186,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", part
     open_ids = F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"), parts)
 
     def some(ids: DataFrame) -> DataFrame:
-        chosen = ids.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
-        return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+        return one_row_an_id(docs, ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(size))
 
     rng = np.random.default_rng(9)
     positive = measured(some(labels.where(open_ids & (F.col(label) == 1))))
