@@ -28,6 +28,14 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(name: str, *taken) -> str:
+    """``name``, with underscores before it as long as one of the columns ``taken`` has it (case counts for nothing)."""
+    used = {c.lower() for columns in taken for c in columns}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 def sent(spark: SparkSession, model):
     """Broadcast a fitted model; the function returned gives it back inside a task.
 

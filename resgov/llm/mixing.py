@@ -6,7 +6,7 @@ rounded dependently: two documents are paired, and mass (in words) moves from
 one to the other, in a random direction with odds that keep both expectations,
 until one of them is integral; the other goes on.  Words due are the same
 before and after each step, so a source's taken words end within one document
-of its target.  Blocks of a few hundred documents are settled each by one
+of its target; documents of the last fold then make up for that one.  Blocks of a few hundred documents are settled each by one
 fold, their residuals are regrouped and settled in turn: a reduction tree
 whose depth is the logarithm of the largest source, split over all tasks.
 
@@ -22,12 +22,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .frames import prepared, written
+from .frames import free_name, prepared, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 BLOCK = 200
 RANK_PARTS = 64
+NUMBERS = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -80,6 +81,25 @@ def settled_blocks(items: DataFrame, level: int, seed: int, block: Column) -> Da
     return grouped.select("rank", F.expr(fold).alias("r"))
 
 
+def trimmed(blocks: DataFrame, seed: int) -> DataFrame:
+    """(rank, doc_id, a, copy) of each source's last fold.
+
+    Its one item left over is drawn by its probability, which may leave the source
+    a large document off its target.  Settled documents of the fold, largest first,
+    then change sides wherever that brings the words taken nearer to the target.
+    """
+    last = F.expr(f"if(shiftrightunsigned(xxhash64(r.doc_id, r.a, {seed}), 11) / 9007199254740992D < r.p, 1, 0)")
+    ordered = F.expr("sort_array(transform(r.done, d -> named_struct('less', -d.a, 'doc_id', d.doc_id, 'a', d.a, 'copy', d.copy)))")
+    fold = """aggregate(ordered, named_struct('off', (copy - r.p) * r.a, 'done', cast(array() as array<struct<doc_id: bigint, a: bigint, copy: int>>)),
+        (s, x) -> named_struct(
+          'off', CASE WHEN abs(s.off + (1 - 2 * x.copy) * x.a) < abs(s.off) THEN s.off + (1 - 2 * x.copy) * x.a ELSE s.off END,
+          'done', array_append(s.done, named_struct('doc_id', x.doc_id, 'a', x.a,
+            'copy', CASE WHEN abs(s.off + (1 - 2 * x.copy) * x.a) < abs(s.off) THEN 1 - x.copy ELSE x.copy END))))"""
+    whole = blocks.withColumns({"copy": last, "ordered": ordered}).withColumn("t", F.expr(fold))
+    one = F.struct(F.col("r.doc_id").alias("doc_id"), F.col("r.a").alias("a"), F.col("copy").alias("copy"))
+    return whole.select("rank", F.explode(F.array_append("t.done", one)).alias("d")).select("rank", "d.doc_id", "d.a", "d.copy")
+
+
 def rounded(items: DataFrame, seed: int) -> DataFrame:
     """(rank, doc_id, a, copy): each item (rank, doc_id, a, p), 0 < p < 1, rounded to 0 or 1.
 
@@ -108,17 +128,14 @@ def rounded(items: DataFrame, seed: int) -> DataFrame:
     for part in last[1:]:
         pool = pool.unionByName(part)
     blocks = written(settled_blocks(pool, level, seed, F.lit(0)), "blocks")
-    done.append(blocks.select("rank", F.explode("r.done").alias("d")).select("rank", "d.doc_id", "d.a", "d.copy"))
-    items = blocks.select("rank", "r.doc_id", "r.a", "r.p")
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id", "a", F.lit(seed)), 11) / F.lit(2.0**53)
-    out = items.select("rank", "doc_id", "a", (draw < F.col("p")).cast("int").alias("copy"))
+    out = trimmed(blocks, seed)
     for part in done:
         out = out.unionByName(part)
     return out
 
 
-def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 17) -> DataFrame:
-    """Per document row: doc_id, source, size, source_size, target, nth (among repeats of the row), copies."""
+def shares(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 17) -> DataFrame:
+    """Per distinct (doc_id, source, size): source_size, target, rows (how many there are) and all (the copies they share)."""
     prepared(docs.sparkSession)
     units = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")), "sizes")
     sources = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"))
@@ -130,15 +147,49 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
     extra = rounded(open_items, seed).withColumnRenamed("rank", "of").withColumnRenamed("doc_id", "id")
     joined = due.join(extra, (F.col("rank") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("size") == F.col("a")), "left")
     total = (F.when(F.col("size") > 0, F.col("whole") + F.coalesce("copy", F.lit(0))).otherwise(F.lit(0))).cast("long")
-    rows = joined.withColumn("all", total).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
-    copies = F.floor(F.col("all") / F.col("rows")) + (F.col("nth") <= F.col("all") % F.col("rows")).cast("long")
-    return rows.select("doc_id", "source", "size", "source_size", "target", "nth", copies.cast("long").alias("copies"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", "rows", total.alias("all"))
+
+
+def copies_of(nth: Column) -> Column:
+    """Copies of the nth (from 1) of ``rows`` equal rows that share ``all`` copies evenly."""
+    return (F.floor(F.col("all") / F.col("rows")) + (nth <= F.col("all") % F.col("rows")).cast("long")).cast("long")
+
+
+def numbered(rows: DataFrame, count: str, name: str) -> DataFrame:
+    """Each row once for 1, 2, ... ``count``, in steps of NUMBERS so that no array grows with the count."""
+    step = free_name("step", rows.columns)
+    runs = rows.withColumn(step, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / NUMBERS))))
+    first, last = F.col(step) * NUMBERS + 1, F.least(F.col(count), (F.col(step) + 1) * NUMBERS)
+    return runs.withColumn(name, F.explode(F.sequence(first, last))).drop(step)
+
+
+def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 17) -> DataFrame:
+    """Per document row: doc_id, source, size, source_size, target, nth (among repeats of the row), copies."""
+    rows = numbered(shares(docs, share, most, weights, seed), "rows", "nth")
+    return rows.select("doc_id", "source", "size", "source_size", "target", "nth", copies_of(F.col("nth")).alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it (no words: as it is due, never)."""
-    plan = mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("nth").alias("_nth"), F.col("copies").alias("_copies"))
-    same = Window.partitionBy("doc_id", "source", "_words").orderBy(F.xxhash64("text"))
-    rows = docs.withColumn("_words", word_count(F.col("text"))).withColumn("_row", F.row_number().over(same))
-    taken = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")) & (F.col("_row") == F.col("_nth")))
-    return taken.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    """The rows of docs, each as often as the mix takes it (no words: as it is due, never).
+
+    The row travels as one struct, so its columns may have any names.  Equal rows need numbers only where their copies
+    do not come out even; they are numbered within the partitions of a written table, after those of the partitions
+    before, so that no task holds all repeats.
+    """
+    plan = shares(docs, **options).where("all > 0").select(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("size").alias("words"), "rows", "all")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("doc"), F.col("source").alias("src"), word_count(F.col("text")).alias("n"))
+    same = F.col("doc").eqNullSafe(F.col("id")) & F.col("src").eqNullSafe(F.col("of")) & (F.col("n") == F.col("words"))
+    met = held.join(plan, same).drop("id", "of", "words")
+    even = met.where("all % rows = 0").withColumn("copies", F.expr("all div rows"))
+    odd = written(met.where("all % rows > 0").withColumn("at", F.monotonically_increasing_id()), "repeats").withColumn("part", F.shiftright("at", 33))
+    group = ["doc", "src", "n"]
+    parts = odd.groupBy(*group, "part").agg(F.count("*").alias("held"))
+    before = F.coalesce(F.sum("held").over(Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.select(*[F.col(c).alias(f"{c}_") for c in group], F.col("part").alias("part_"), before.alias("before"))
+    alike = F.col("part") == F.col("part_")
+    for c in group:
+        alike = alike & F.col(c).eqNullSafe(F.col(f"{c}_"))
+    nth = F.row_number().over(Window.partitionBy(*group, "part").orderBy("at")) + F.col("before")
+    uneven = odd.join(offsets, alike).withColumn("copies", copies_of(nth))
+    taken = even.select("row", "copies").unionByName(uneven.select("row", "copies")).where("copies > 0")
+    return numbered(taken, "copies", "copy").select("row.*")

@@ -28,13 +28,13 @@ from __future__ import annotations
 
 import heapq
 import re
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .frames import prepared, sent
+from .frames import free_name, prepared, sent
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -186,34 +186,31 @@ class Coder:
     def _literal(self) -> tuple[tuple[int, ...], float, float]:
         return tuple(self.v.bytes[b] for b in MARK.encode()), self.v.unknown, float("inf")
 
-    def n_best(self, text: str, n: int) -> list[tuple[float, list[int]]]:
-        """The n best segmentations of a text, best first, as (score, ids)."""
+    def ways(self, text: str, n: int) -> tuple[list[int], list[tuple[float, tuple]]]:
+        """Ids of the best segmentation, and the n best, best first, as (score, changes): (begin, end, ids) put in place of the best's ids begin ... end."""
         segments, seen, best = self.segments(text), self.seen.get, self.best
         found = [seen(s) or (best(s) if s is not None else self._literal()) for s in segments]
         score = sum([f[1] for f in found])
         ids = list(chain.from_iterable([f[0] for f in found]))
-        out = [(score, ids)]
         if n == 1 or not found:
-            return out
+            return ids, [(score, ())]
         losses = np.array([f[2] for f in found])
         rows = np.argsort(losses, kind="stable")[:n - 1] if len(losses) < 64 else np.flatnonzero(losses <= np.partition(losses, n - 2)[n - 2])
         rows = sorted(sorted(rows, key=lambda k: (losses[k], k))[:n - 1])
-        begins = np.cumsum([0, *[len(f[0]) for f in found]])
+        begins = list(accumulate([len(f[0]) for f in found], initial=0))
         # (loss, changes): combine the alternatives of the segments that may differ
-        ways: list = [(0.0, ())]
+        out: list = [(0.0, ())]
         for k in rows:
             if losses[k] == float("inf"):
                 continue
             others = self.a_star(segments[k], n)
-            ways = heapq.nsmallest(n, [(loss + others[0][0] - s, changes + (((k, other),) if rank else ())) for loss, changes in ways for rank, (s, other) in enumerate(others)], key=lambda w: w[0])
-        for loss, changes in ways[1:]:
-            other, at = [], 0
-            for k, swap in changes:
-                other += ids[at:begins[k]]
-                other += swap
-                at = begins[k + 1]
-            out.append((score - loss, other + ids[at:]))
-        return out
+            out = heapq.nsmallest(n, [(loss + others[0][0] - s, changes + (((begins[k], begins[k + 1], other),) if rank else ())) for loss, changes in out for rank, (s, other) in enumerate(others)], key=lambda w: w[0])
+        return ids, [(score - loss, changes) for loss, changes in out]
+
+    def n_best(self, text: str, n: int) -> list[tuple[float, list[int]]]:
+        """The n best segmentations of a text, best first, as (score, ids)."""
+        ids, ways = self.ways(text, n)
+        return [(score, changed(ids, changes)) for score, changes in ways]
 
     def decode(self, ids) -> str:
         """The text of a sequence of pieces; byte pieces in a row are UTF-8."""
@@ -227,6 +224,16 @@ class Coder:
         return text
 
 
+def changed(ids, changes) -> list[int]:
+    """The ids of an alternative: (begin, end, ids) each in place of what the best has there."""
+    out, at = [], 0
+    for begin, end, other in changes:
+        out += ids[at:begin]
+        out += other
+        at = end
+    return out + list(ids[at:])
+
+
 def _coder(model) -> "Coder":
     return Coder(model())
 
@@ -262,43 +269,43 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def corpus(docs: DataFrame, model_file: str) -> DataFrame:
-    """The columns of docs but text, and n_pieces, score and ids of the best segmentation."""
+#: An alternative segmentation: its score and the places where it leaves the best one.
+ALTERNATIVES = "array<struct<score: double, changes: array<struct<begin: int, end: int, ids: array<int>>>>>"
+_ALTERNATIVES = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
+NEW_COLUMNS = ("n_pieces", "score", "ids", "alternatives", "round_trip")
+
+
+def corpus(docs: DataFrame, model_file: str, n: int = N_BEST) -> DataFrame:
+    """The columns of docs but text, and of the n best segmentations: n_pieces, score and ids of the best, the alternatives, and whether the best decodes to the text.
+
+    Alternatives are told by what they change, so they cost little; ``changed`` gives their ids.  A new column whose name
+    docs has already gets underscores before its name.
+    """
     spark = prepared(docs.sparkSession)
     model = sent(spark, Vocabulary(model_file))
-    rest = [c for c in docs.columns if c not in ("text", "n_pieces", "score", "ids")]
+    rest = [c for c in docs.columns if c != "text"]
+    names: list[str] = []
+    for name in NEW_COLUMNS:
+        names.append(free_name(name, rest, names))
 
     def run(batches):
         coder = _coder(model)
         for batch in batches:
             for begin in range(0, batch.num_rows, 128):
                 part = batch.slice(begin, 128)
-                ways = [coder.n_best(t or "", 1)[0] for t in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([len(i) for _, i in ways], pa.int64()), pa.array([s for s, _ in ways], pa.float64()), pa.array([i for _, i in ways], pa.list_(pa.int32()))], [*rest, "n_pieces", "score", "ids"])
-
-    rows = docs.select("text", *rest)
+                texts = [t or "" for t in part.column(0).to_pylist()]
+                found = [coder.ways(t, n) for t in texts]
+                alternatives = [[{"score": s, "changes": [{"begin": b, "end": e, "ids": i} for b, e, i in c]} for s, c in ways[1:]] for _, ways in found]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([len(ids) for ids, _ in found], pa.int64()), pa.array([ways[0][0] for _, ways in found], pa.float64()),
+                                                  pa.array([ids for ids, _ in found], pa.list_(pa.int32())), pa.array(alternatives, _ALTERNATIVES),
+                                                  pa.array([coder.decode(ids) == t for t, (ids, _) in zip(texts, found)], pa.bool_())], [*rest, *names])
+
+    rows = docs.select("text", *[F.col(f"`{c}`") for c in rest])
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{kinds}n_pieces long, score double, ids array<int>")
-
-
-def digests(docs: DataFrame, model_file: str, n: int = N_BEST) -> DataFrame:
-    """A row a document without its pieces: counts, scores, a digest of the best ids and whether they decode to the text."""
-    import hashlib
-
-    spark = prepared(docs.sparkSession)
-    model = sent(spark, Vocabulary(model_file))
+    return rows.mapInArrow(run, kinds + ", ".join(f"`{name}` {kind}" for name, kind in zip(names, ("long", "double", "array<int>", ALTERNATIVES, "boolean"))))
 
-    def run(batches):
-        coder = _coder(model)
-        for batch in batches:
-            out: list = [[] for _ in range(6)]
-            for text in batch.column(1).to_pylist():
-                text = text or ""
-                ways = coder.n_best(text, n)
-                for column, value in zip(out, (len(text), len(ways[0][1]), [s for s, _ in ways], [len(i) for _, i in ways], hashlib.sha256(np.array(ways[0][1], np.int32).tobytes()).hexdigest(), coder.decode(ways[0][1]) == text)):
-                    column.append(value)
-            types = (pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, types))], ["doc_id", "n_chars", "n_pieces", "scores", "nbest_pieces", "ids_sha256", "round_trip"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_chars long, n_pieces long, scores array<double>, nbest_pieces array<long>, ids_sha256 string, round_trip boolean")
+def segmentations(docs: DataFrame, model_file: str, n: int = N_BEST) -> DataFrame:
+    """A row a document: doc_id, n_chars and what corpus() gives."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), "text")
+    return corpus(rows, model_file, n)

@@ -23,7 +23,7 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.digests(read(spark, sf_dir, "documents"), MODEL_FILE)
+    return pieces.segmentations(read(spark, sf_dir, "documents"), MODEL_FILE)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

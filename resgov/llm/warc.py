@@ -43,8 +43,21 @@ LEVEL = 3
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 
 
+#: Hadoop's names of file systems that pyarrow knows by another.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
+
+
 def place(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    """File system and path of a folder or file below the shared folder, by its URI or local path."""
+    scheme, sign, rest = uri.partition("://")
+    if not sign and not uri.startswith("file:"):
+        uri = f"file://{uri}"
+    elif sign:
+        uri = f"{SCHEMES.get(scheme, scheme)}://{rest}"
+    try:
+        return fs.FileSystem.from_uri(uri)
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"bundles cannot be written to {uri}: its file system is not one of pyarrow's") from e
 
 
 def seek_table(frames: list[tuple[int, int]]) -> bytes:
@@ -133,6 +146,8 @@ def parse(raw: bytes, at: int = 0) -> tuple[dict, bytes, int]:
 
 def write_archives(pages: DataFrame, folder: str, least: int = 0, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Write (page_id, url, html) rows as bundles below ``folder``; the index: page_id, bundle, frame, offset, length."""
+    system, path = place(folder)  # a file system that will not do is an error before any work
+    system.create_dir(path, recursive=True)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.unhex(F.sha1(F.encode("html", "UTF-8")))).withColumn("size", F.octet_length("html"))
     # a payload's digest and its largest id; only payloads that occur again travel further
@@ -158,8 +173,6 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, date: str = "1
         if bundle is not None:
             bundle.close()
 
-    system, path = place(folder)
-    system.create_dir(path, recursive=True)
     return written(told.mapInArrow(run, "page_id long, bundle string, frame int, offset long, length long"), "warc-index")
 
 
@@ -191,8 +204,9 @@ def read_archives(index: DataFrame) -> DataFrame:
                         types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "body"])
 
+    # a task a bundle: the few names would otherwise end up in one partition, whatever the archive's size
     bundles = index.select("bundle").distinct()
-    return bundles.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, body binary")
+    return bundles.repartition(max(1, bundles.count())).mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, body binary")
 
 
 def fetch(index: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def test_targets_and_taken(spark, documents):
     for r in rows:
         assert abs(r.target - want[r.source]) < 1e-6 * want[r.source] and 0 <= r.copies <= 2 and r.source_size == size[r.source]
         taken[r.source] = taken.get(r.source, 0) + r["size"] * r.copies
-    assert all(abs(taken[s] - want[s]) <= largest for s in want)
+    assert all(abs(taken[s] - want[s]) <= min(largest, 0.02 * want[s]) for s in want)
     assert sum(taken.values()) == pytest.approx(sum(want.values()), rel=0.05)
     again = mix(documents.repartition(7)).collect()
     assert sorted((r.doc_id, r.copies) for r in rows) == sorted((r.doc_id, r.copies) for r in again)
@@ -68,6 +68,25 @@ def test_odd_rows(spark, odd, nothing):
     assert all(r.copies == 0 and r.target == 0 for r in mix(blank).collect())
 
 
+def test_repeated_rows_share_their_copies(spark, monkeypatch):
+    """A row that holds a third of all, with columns named like the helpers: each repeat comes as often as mix() says."""
+    from resgov.llm import mixing
+    monkeypatch.setattr(mixing, "NUMBERS", 64)
+    names = "doc_id long, text string, source string, _row int, _words int, _copies int, copy int, copies int, step int, nth int, `rows` int, `all` int, part int"
+    rows = [(1, "same words here", "a") + (7,) * 10] * 500 + [(i, "w " * (1 + i % 9), "ab"[i % 2]) + (i,) * 10 for i in range(2, 900)] + [(None, "", None) + (0,) * 10] * 300
+    docs = spark.createDataFrame(rows, names).repartition(6)
+    plan, out = mix(docs).collect(), mixed_documents(docs)
+    assert out.columns == docs.columns and len(plan) == len(rows)
+    got = {}
+    for r in out.collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + 1
+    want = {}
+    for r in plan:
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.copies
+    assert got == {i: n for i, n in want.items() if n} and len({r.copies for r in plan if r.doc_id == 1}) <= 2
+    assert all(r._row == (7 if r.doc_id == 1 else r.doc_id) for r in out.collect())
+
+
 def test_plan_is_native(spark, documents):
-    plan = mix(documents)._jdf.queryExecution().toString()
+    plan = mix(documents)._jdf.queryExecution().toString() + mixed_documents(documents)._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))

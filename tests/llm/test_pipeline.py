@@ -4,6 +4,7 @@ import sys
 
 import corpus_pipeline as C
 import __spark_entry__ as E
+from pyspark.sql import functions as F
 from resgov.llm import near_dedup, pii, pieces
 from resgov.llm.queries import MODEL_FILE, queries
 
@@ -38,6 +39,28 @@ def test_stages_one_by_one(spark):
     assert len(out) == mixed.count() and all(coder.decode(r.ids) == texts[r.doc_id] and r.n_pieces == len(r.ids) for r in out)
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named like a stage's helpers or results pass every stage unchanged."""
+    names = ["_row", "row", "_words", "_copies", "_copy", "copies", "node", "score", "ids", "n_pieces", "alternatives", "label", "odd name", "Size"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 120")
+    for i, name in enumerate(names):
+        docs = docs.withColumn(name, F.col("doc_id") * 100 + i)
+    for name, stage in C.STAGES:
+        docs = C.written(stage(spark, docs, SF), "t")
+        rows = docs.collect()
+        assert rows and all(r[n] == r["doc_id"] * 100 + i for r in rows for i, n in enumerate(names)), name
+    assert docs.columns[-5:] == ["_n_pieces", "_score", "_ids", "_alternatives", "round_trip"] and all(r["round_trip"] for r in rows)
+
+
+def test_mixing_and_encoding_of_odd_rows(spark, odd, nothing):
+    kept = C.mixing(spark, odd, SF)
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} <= {r.doc_id for r in odd.collect()}
+    out = C.encoding(spark, odd, SF)
+    assert out.count() == odd.count() and all(r.round_trip and len(r.alternatives) <= 3 for r in out.collect())
+    for name, stage in C.STAGES:
+        assert stage(spark, nothing, SF).collect() == [], name
+
+
 def test_near_dedup_keeps_one_row_of_a_group(spark, odd):
     """Repeated rows, null ids and one id over two texts: one row of each group, every row without words."""
     words, other = " ".join(f"a{i}" for i in range(90)), " ".join(f"b{i}" for i in range(90))

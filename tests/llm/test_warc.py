@@ -2,6 +2,7 @@ import io
 
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from resgov.llm import warc as W
 
@@ -55,3 +56,33 @@ def test_bundle_is_plain_zstandard(tmp_path):
 
 def test_empty_table(spark):
     assert W.archived(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_bundles_are_read_by_a_task_each(spark, pages, tmp_path, monkeypatch):
+    """Read tasks grow with the number of bundles; none gathers them all."""
+    monkeypatch.setattr(W, "BUNDLE_BYTES", 500)
+    monkeypatch.setattr(W, "FRAME_BYTES", 2000)
+    index = W.write_archives(pages, str(tmp_path / "w"))
+    bundles = index.select("bundle").distinct().count()
+    assert bundles > 10
+    tasks = W.read_archives(index).withColumn("task", F.spark_partition_id())
+    assert tasks.rdd.getNumPartitions() == bundles and tasks.count() == pages.count() and tasks.select("task").distinct().count() > bundles / 2
+
+
+def test_file_systems_by_scheme(monkeypatch):
+    """Hadoop's names for object stores are those of pyarrow's file systems (not resolved here: that needs a network)."""
+    assert W.place("/tmp/x")[1] == W.place("file:/tmp/x")[1] == W.place("file:///tmp/x")[1] == "/tmp/x"
+    with pytest.raises(ValueError, match="bundles cannot be written"):
+        W.place("unheard://host/folder")
+
+    class Recorder:
+        from_uri = staticmethod(lambda uri: uri)
+
+    monkeypatch.setattr(W.fs, "FileSystem", Recorder)
+    assert W.place("s3a://bucket/shared/folder") == "s3://bucket/shared/folder" and W.place("hdfs://host:1/x") == "hdfs://host:1/x"
+    assert W.place("wasbs://c@a.blob/x") == "abfss://c@a.blob/x"
+
+
+def test_an_unknown_file_system_is_an_error_before_any_work(spark, pages):
+    with pytest.raises(ValueError, match="bundles cannot be written"):
+        W.write_archives(pages, "unheard://host/folder")
