@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from resgov.llm import factor_machine, pieces, pii
-from resgov.llm.frames import prepared, written
+from resgov.llm.frames import free_name, prepared, written
 from resgov.llm.mixing import mixed_documents
 from resgov.llm.near_dedup import survivors
 from resgov.llm.queries import MODEL_FILE, read
@@ -33,8 +33,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     no other; rows without words all stay.
     """
     prepared(spark)
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    return rows.join(survivors(rows, "_row", k=5, percent=80), "_row", "left_semi").select(docs.columns)
+    row = free_name("row", docs.columns)
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    return rows.join(survivors(rows, row, k=5, percent=80), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_chars, n_pieces, score and ids of the best segmentation."""
+    """The columns but text, and the N best segmentations: n_pieces, score and ids of the best, the alternatives, whether it decodes to the text."""
     prepared(spark)
     return pieces.corpus(docs, MODEL_FILE)
 
