@@ -50,8 +50,10 @@ LONG_TEXT, TEXT_BYTES = 1 << 20, 1 << 20
 HEADER = "<4siiIQQII"
 MAGIC = b"TIB1"
 # a place where no token can cross: before a space that a visible ASCII or Latin character follows
-CUT = re.compile("(?= [!-~\u00c0-\u024f])")
-CACHE, WORD_CHARS, GROUP = 400_000, 32, 200
+CUT = re.compile(" (?=[!-~\u00c0-\u024f])")
+ODD_SPACE = re.compile(" (?![!-~\u00c0-\u024f])")
+CACHE, WORD_CHARS, GROUP = 600_000, 32, 200
+MARKS = ",.;:!?"
 
 
 # ------------------------------------------------------------------ blocks
@@ -184,30 +186,52 @@ class Encoder:
         return self.made
 
     def _learn(self, words: list[str]) -> None:
-        """Keep the ids of words that begin with a space, a few hundred a text."""
+        """Keep the ids of words (each with a space before it), a few hundred a text.
+
+        A mark after a letter is a token of its own, so a word that ends in one is its bare word and the mark.
+        """
+        marked = {w: w[:-1] for w in words if w[-1] in MARKS and w[-2:-1].isascii() and w[-2:-1].isalpha()}
+        bare = [b for b in set(marked.values()).difference(words) if b not in self.seen]
+        words = [w for w in words if w not in marked] + bare
         groups = [words[i:i + GROUP] for i in range(0, len(words), GROUP)]
-        for some, found in zip(groups, self._model().encode_batch(["".join(g) for g in groups], add_special_tokens=False)):
+        for some, found in zip(groups, self._model().encode_batch([" " + " ".join(g) for g in groups], add_special_tokens=False)):
             raw = np.array(found.ids, "<u4").tobytes()
-            begins = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.offsets))
-            cuts = (4 * np.searchsorted(begins, np.cumsum([0, *map(len, some)]))).tolist()
+            token_of, at, cuts = found.char_to_token, 0, []
+            for w in some:
+                cuts.append(4 * token_of(at))
+                at += len(w) + 1
+            cuts.append(len(raw))
             self.seen.update(zip(some, map(raw.__getitem__, map(slice, cuts, cuts[1:]))))
+        if marked:
+            tails = {m: np.array(self._model().encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in MARKS}
+            for w, b in marked.items():
+                self.seen[w] = self.seen[b] + tails[w[-1]]
 
     def _run(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.seen) > CACHE:  # words met again move on to the new half, the others go with the next change
             self.old, self.seen = self.seen, {}
-        split = [CUT.split(t) for t in texts]
-        new = set().union(*(parts[1:] for parts in split)).difference(self.seen)
-        if self.old:
-            again = [w for w in new if w in self.old]
-            self.seen.update(zip(again, map(self.old.__getitem__, again)))
-        self._learn([w for w in new if w not in self.seen])
-        firsts = self._model().encode_batch([parts[0] for parts in split], add_special_tokens=False)
-        get = self.seen.__getitem__
-        out = [np.concatenate([np.array(first.ids, np.uint32), np.frombuffer(b"".join(map(get, parts[1:])), "<u4")]) for first, parts in zip(firsts, split)]
-        for word in new:
-            if len(word) > WORD_CHARS:
-                del self.seen[word]
-        return out
+        firsts, words, counts = [], [], []
+        for text in texts:
+            first, *rest = cut(text)
+            firsts.append(first)
+            words += rest
+            counts.append(len(rest))
+        ids_of = dict.fromkeys(words)  # the run's words: a small table, met far more often than the large ones
+        known = list(map(self.seen.get, ids_of))
+        new = [w for w, ids in zip(ids_of, known) if ids is None]
+        again = {w: self.old[w] for w in new if w in self.old}
+        self.seen.update(again)
+        self._learn([w for w in new if w not in again])
+        ids_of.update(zip(ids_of, known))
+        for w in new:
+            ids_of[w] = self.seen[w]
+            if len(w) > WORD_CHARS:
+                del self.seen[w]
+        found = list(map(ids_of.__getitem__, words))
+        ids = np.frombuffer(b"".join(found), "<u4")
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)])[np.cumsum([0, *counts])]
+        begun = self._model().encode_batch(firsts, add_special_tokens=False)
+        return [np.concatenate([np.array(first.ids, np.uint32), ids[a:b]]) for first, a, b in zip(begun, ends, ends[1:])]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -218,6 +242,11 @@ class Encoder:
         return [np.concatenate([self._run([part])[0] for part in pieces(t)]) for t in texts]
 
 
+def cut(text: str) -> list[str]:
+    """The text up to its first cut, then its words without the space before each."""
+    return CUT.split(text) if ODD_SPACE.search(text) else text.split(" ")
+
+
 def pieces(text: str, size: int = LONG_TEXT):
     """Parts of a long text, each cut at the first place after ``size`` code points where a word begins."""
     begin = 0
