@@ -310,10 +310,7 @@ def feed_rejects(spark, sf):
 @query
 def landed_health(spark, sf):
     """A5: landed lines, readable or not, per feed."""
-    lines = X.landed(spark, sf)
-    bad = S.rejects(lines).groupBy("type").agg(F.count(F.lit(1)).alias("n_rejected"))
-    return (lines.groupBy("type").agg(F.count(F.lit(1)).alias("n_lines")).join(bad, "type", "left")
-            .select("type", "n_lines", F.coalesce("n_rejected", F.lit(0)).cast("long").alias("n_rejected")))
+    return S.landed_health(X.landed(spark, sf))
 
 
 @query

@@ -101,28 +101,42 @@ def normalise_databases(raw: DataFrame) -> DataFrame:
                                          F.when(is_truthy(dns), F.concat(F.lit("Host: "), dns)), F.lit("")))
 
 
-def parsed(lines: DataFrame, kind: str) -> DataFrame:
-    """Landed JSON lines of one feed with ``record``, null where a line is no whole record of the feed's schema.
+def _record(kind: str) -> Column:
+    """A line as a record of its feed's schema; parsing is permissive, so a bad line never ends the job."""
+    return F.from_json("line", f"{LANDED[kind]}, _corrupt STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
 
-    Parsing is permissive: a bad line never ends the job, it goes to ``rejects``.
-    """
-    own = lines.filter(F.col("type") == kind)
-    record = F.from_json("line", f"{LANDED[kind]}, _corrupt STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    return own.withColumn("record", record).withColumn("record", F.when(F.col("record._corrupt").isNull(), F.col("record")))
+
+def _whole(record: Column) -> Column:
+    return record.isNotNull() & record["_corrupt"].isNull()
 
 
 def records(lines: DataFrame, kind: str) -> DataFrame:
-    """The raw feed of its readable lines."""
-    return parsed(lines, kind).filter(F.col("record").isNotNull()).select("record.*").drop("_corrupt")
+    """The raw feed of its readable lines.
+
+    The record is the output of a generator, through which no filter is pushed: each line is parsed once.
+    """
+    own = lines.filter(F.col("type") == kind).select(F.explode(F.array(_record(kind))).alias("record"))
+    return own.filter(_whole(F.col("record"))).select("record.*").drop("_corrupt")
+
+
+def readable(kinds: Sequence[str] = tuple(LANDED)) -> Column:
+    """Whether a landed line is a whole record of its feed (false for feeds unknown), parsed once."""
+    out = F.lit(False)
+    for kind in kinds:
+        # the lambda's variable stands for the record in both tests
+        out = F.when(F.col("type") == kind, F.element_at(F.transform(F.array(_record(kind)), _whole), 1)).otherwise(out)
+    return out
 
 
 def rejects(lines: DataFrame) -> DataFrame:
     """Lines of all feeds that could not be read, as they came (quarantine)."""
-    out = None
-    for kind in LANDED:
-        bad = parsed(lines, kind).filter(F.col("record").isNull()).drop("record")
-        out = bad if out is None else out.unionByName(bad)
-    return out
+    return lines.filter(F.col("type").isin(*LANDED) & ~readable())
+
+
+def landed_health(lines: DataFrame) -> DataFrame:
+    """Per feed: lines and how many of them could not be read, in one pass."""
+    bad = F.col("type").isin(*LANDED) & ~readable()
+    return lines.select("type", bad.alias("bad")).groupBy("type").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if("bad").alias("n_rejected"))
 
 
 def landed_inventory(lines: DataFrame, prefixes: Sequence[str]) -> DataFrame:
