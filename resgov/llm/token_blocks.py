@@ -46,14 +46,14 @@ from .frames import prepared, sent, written
 BLOCK, PERCENTILE = 128, 0.9
 SEGMENT_IDS, FILE_SEGMENTS = 1 << 20, 16
 END_ID = 2
-LONG_TEXT, TEXT_BYTES = 1 << 20, 1 << 20
+LONG_TEXT, TEXT_BYTES = 1 << 20, 4 << 20
 HEADER = "<4siiIQQII"
 MAGIC = b"TIB1"
 # a place where no token can cross: before a space that a visible ASCII or Latin character follows
 CUT = re.compile(" (?=[!-~\u00c0-\u024f])")
 ODD_SPACE = re.compile(" (?![!-~\u00c0-\u024f])")
-CACHE, WORD_CHARS, GROUP = 600_000, 32, 200
-MARKS = ",.;:!?"
+CACHE, WORD_CHARS, GROUP = 800_000, 32, 200
+MARKS, TAILS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", 2000
 
 
 # ------------------------------------------------------------------ blocks
@@ -64,13 +64,15 @@ def bit_length(x: np.ndarray) -> np.ndarray:
 
 def pack(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, where each block starts and the end) of unsigned 32-bit ids."""
+    ids = ids.astype(np.uint32, copy=False)
     blocks = -(-len(ids) // BLOCK)
-    padded = np.concatenate([ids.astype(np.int64), np.repeat(ids[-1:].astype(np.int64), blocks * BLOCK - len(ids))]).reshape(blocks, BLOCK)
-    low = padded.min(axis=1) if blocks else np.zeros(0, np.int64)
+    padded = np.concatenate([ids, np.repeat(ids[-1:], blocks * BLOCK - len(ids))]).reshape(blocks, BLOCK)
+    low = padded.min(axis=1) if blocks else np.zeros(0, np.uint32)
     rest = padded - low[:, None]
     nth = min(BLOCK - 1, max(0, int(np.ceil(percentile * BLOCK)) - 1))
     width = bit_length(np.partition(rest, nth, axis=1)[:, nth])
-    row, position = np.nonzero(rest >> width[:, None])
+    # values of more bits than the width
+    row, position = np.nonzero(rest >= np.where(width < 32, np.left_shift(np.uint64(1), width.astype(np.uint64)), np.uint64(2**32))[:, None])
     exceptions = np.bincount(row, minlength=blocks)
     starts = np.concatenate([[0], np.cumsum(6 + width * (BLOCK // 8) + exceptions * 5)]).astype(np.int64)
     out = np.zeros(starts[-1], np.uint8)
@@ -79,8 +81,9 @@ def pack(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[np.ndarray, n
     for w in np.unique(width[width > 0]):
         mine = np.flatnonzero(width == w)
         for part in np.array_split(mine, -(-len(mine) // 2048)):
-            bits = ((rest[part][:, :, None] >> np.arange(w)) & 1).astype(np.uint8).reshape(len(part), -1)
-            out[starts[part][:, None] + 6 + np.arange(w * (BLOCK // 8))] = np.packbits(bits, axis=1, bitorder="little")
+            # the low bits of each value, first bit first, without those above the width
+            bits = np.unpackbits(rest[part].astype("<u4").view(np.uint8).reshape(len(part), BLOCK, 4), axis=2, bitorder="little")[:, :, :w]
+            out[starts[part][:, None] + 6 + np.arange(w * (BLOCK // 8))] = np.packbits(bits.reshape(len(part), -1), axis=1, bitorder="little")
     at = starts[row] + 6 + width[row] * (BLOCK // 8)
     turn = np.arange(len(row)) - np.repeat(np.cumsum(exceptions) - exceptions, exceptions)
     out[at + turn] = position
@@ -168,14 +171,15 @@ class Encoder:
     """
 
     def __init__(self, text: str):
-        self.text, self.made, self.seen, self.old = text, None, {}, {}
+        self.text, self.made, self.seen, self.old, self.tails = text, None, {}, {}, {}
         spec = json.loads(text)
         split = spec.get("pre_tokenizer") or {}
+        self.special = tuple(t["content"] for t in spec.get("added_tokens", []))
         plain = not any(t.get("lstrip") or t.get("rstrip") or t.get("normalized") or " " in t["content"] for t in spec.get("added_tokens", []))
         self.cuts = plain and spec.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
 
     def __getstate__(self):
-        return {**self.__dict__, "made": None, "seen": {}, "old": {}}
+        return {**self.__dict__, "made": None, "seen": {}, "old": {}, "tails": {}}
 
     def _model(self):
         if self.made is None:
@@ -188,9 +192,13 @@ class Encoder:
     def _learn(self, words: list[str]) -> None:
         """Keep the ids of words (each with a space before it), a few hundred a text.
 
-        A mark after a letter is a token of its own, so a word that ends in one is its bare word and the mark.
+        Marks after a letter or digit are tokens of their own, so a word that ends in some is its bare word and the marks.
         """
-        marked = {w: w[:-1] for w in words if w[-1] in MARKS and w[-2:-1].isascii() and w[-2:-1].isalpha()}
+        marked = {}
+        for w in words:
+            b = w.rstrip(MARKS)
+            if len(b) < len(w) and b[-1:].isascii() and b[-1:].isalnum() and not any(t in w for t in self.special):
+                marked[w] = b
         bare = [b for b in set(marked.values()).difference(words) if b not in self.seen]
         words = [w for w in words if w not in marked] + bare
         groups = [words[i:i + GROUP] for i in range(0, len(words), GROUP)]
@@ -202,10 +210,11 @@ class Encoder:
                 at += len(w) + 1
             cuts.append(len(raw))
             self.seen.update(zip(some, map(raw.__getitem__, map(slice, cuts, cuts[1:]))))
-        if marked:
-            tails = {m: np.array(self._model().encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in MARKS}
-            for w, b in marked.items():
-                self.seen[w] = self.seen[b] + tails[w[-1]]
+        for w, b in marked.items():
+            tail = w[len(b):]
+            if tail not in self.tails:
+                self.tails = {tail: np.array(self._model().encode(tail, add_special_tokens=False).ids, "<u4").tobytes(), **(self.tails if len(self.tails) < TAILS else {})}
+            self.seen[w] = self.seen[b] + self.tails[tail]
 
     def _run(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.seen) > CACHE:  # words met again move on to the new half, the others go with the next change
@@ -264,7 +273,7 @@ def slices(texts: list[str], most: int = TEXT_BYTES):
     begin, held = 0, 0
     for i, text in enumerate(texts):
         held += len(text)
-        if held >= most or i - begin >= 255:
+        if held >= most:
             yield begin, i + 1
             begin, held = i + 1, 0
     if begin < len(texts):
