@@ -1,26 +1,28 @@
 """Embedding near-dedup by NN-descent.
 
 Vectors are compared only within their label (and length).  Equal vectors are
-one node with a weight.  Every node keeps a list of its K nearest nodes known.
-Lists start from several random-plane orderings: nodes are sorted by their sign
-codes and meet those sorted next to them.  Then, round by round, the neighbours
-of each node (its list, and a sample of those that list it) are joined with
-each other, and better ones enter the lists, until a round finds no new link.
-
-A node whose whole list is linked is saturated: it may have more links than its
-list can hold.  Components with saturated nodes are dense.  Links between two
-dense components need not be in any list, so dense components of a label are
+one node with a weight.  Every node keeps a list of the nearest nodes known, K
+at first.  Lists start from several random-plane orderings: nodes are sorted by
+their sign codes and meet those sorted next to them.  Then, round by round, the
+neighbours of each node (its list, and a sample of those that list it) are
+joined with each other where one of the two is new since the last round, and
+better ones enter the lists, until a round finds no new link.
+
+A list that is linked to its last entry is saturated: it doubles, as often as
+it takes for its last entry to fall below the threshold, up to ``LIST_MOST``.
+A node with that many links and more makes its component dense.  Links between
+two dense components need not be in any list, so dense components of a label are
 held against each other (``bridges``): blocks of ``BLOCK`` nodes have a centre
 and a largest angle to it, and only pairs of blocks that the triangle inequality
 of angles rules out are not compared.  Components joined so are one, and each is
 compared exactly in pairs of blocks, each pair one bounded group; only counts
 come back, so a dense group of n costs no n * n rows.
 
-Recall is audited: nodes in the order of their hashes, ``AUDIT`` and then four
-times as many at a time, are compared with all nodes by brute force, until
-``LINKED`` of them have links or every node has been compared.  While less than
-``RECALL`` of their links are known, as a share of all and as a mean over the
-nodes, the search goes on with twice as many orderings.  If ``MOST`` orderings
+Recall is audited: the nodes whose smallest vec_id is divisible by ``AUDIT_STEP``
+(all nodes, if these are fewer than ``AUDIT_LEAST``) are compared with all nodes
+by brute force, in waves of at most ``AUDIT_BYTES``.  While less than ``RECALL``
+of their links are known, as a share of all and as a mean over the nodes with
+links, the search goes on with twice as many orderings.  If ``MOST`` orderings
 are not enough, all nodes of a label are compared in pairs of blocks, which is
 exact.
 
@@ -41,7 +43,8 @@ from .frames import components, prepared, sent, written
 K, WINDOW, NEAR, TABLES, BITS = 8, 8, 4, 8, 60
 BLOCK = 512
 MOST = 8 * TABLES
-AUDIT, AUDIT_MOST, LINKED, RECALL = 400, 25_600, 200, 0.98
+LIST_MOST = 32
+AUDIT_STEP, AUDIT_LEAST, AUDIT_BYTES, RECALL = 100, 200, 8 << 20, 0.98
 EDGES = "u long, v long, sim double"
 
 
@@ -121,24 +124,32 @@ def neighbours_by_order(nodes: DataFrame, table: int, parts: int, threshold: flo
     return dealt.select("node", "label", "raw").mapInArrow(meet, EDGES)
 
 
-def nearest(edges: DataFrame) -> DataFrame:
-    """The K nearest of each node's edges."""
+def nearest(edges: DataFrame, threshold: float) -> DataFrame:
+    """The lists of (u, v, sim, born) edges: the K nearest, or twice as many as long as the last one is linked."""
+    one = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("born").alias("born"))
     nth = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
-    return edges.dropDuplicates(["u", "v"]).withColumn("nth", nth).where(F.col("nth") <= K).drop("nth")
+    linked = F.sum((F.col("sim") >= threshold).cast("int")).over(Window.partitionBy("u"))
+    doubled = K * F.pow(F.lit(2.0), F.floor(F.log2(F.col("linked") / K)) + 1)
+    size = F.when(F.col("linked") < K, F.lit(float(K))).otherwise(F.least(doubled, F.lit(float(LIST_MOST))))
+    top = one.withColumn("nth", nth).where(F.col("nth") <= LIST_MOST).withColumn("linked", linked)
+    return top.where(F.col("nth") <= size).select("u", "v", "sim", "born")
 
 
-def joined_neighbours(lists: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(u, v, sim) of neighbours of one node that would enter the list of u."""
+def joined_neighbours(lists: DataFrame, nodes: DataFrame, threshold: float, latest: int) -> DataFrame:
+    """(u, v, sim) of neighbours of one node that would enter the list of u; one of the two entered in round ``latest``."""
+    own = lists.withColumn("new", F.col("born") == latest)
     nth = F.row_number().over(Window.partitionBy("v").orderBy(F.xxhash64("u", "v")))
-    back = lists.withColumn("nth", nth).where(F.col("nth") <= K).select(F.col("v").alias("m"), F.col("u").alias("node"))
-    around = lists.select(F.col("u").alias("m"), F.col("v").alias("node")).unionByName(back).distinct()
-    last = lists.groupBy("u").agg(F.count("*").alias("n"), F.min("sim").alias("low"))
-    known = nodes.join(last, F.col("node") == F.col("u"), "left").select("node", "raw", F.when(F.col("n") >= K, F.col("low")).otherwise(F.lit(-2.0)).alias("low"))
+    back = own.withColumn("nth", nth).where(F.col("nth") <= K).select(F.col("v").alias("m"), F.col("u").alias("node"), "new")
+    around = own.select(F.col("u").alias("m"), F.col("v").alias("node"), "new").unionByName(back).groupBy("m", "node").agg(F.max("new").alias("new"))
+    last = lists.groupBy("u").agg(F.count("*").alias("n"), F.count_if(F.col("sim") >= threshold).alias("linked"), F.min("sim").alias("low"))
+    # what a list takes in: links, while it grows; what is nearer than its last, when it is full
+    low = F.when((F.col("linked") >= K) & (F.col("linked") < LIST_MOST), F.lit(threshold)).when(F.col("n") >= K, F.col("low")).otherwise(F.lit(-2.0))
+    known = nodes.join(last, F.col("node") == F.col("u"), "left").select("node", "raw", low.alias("low"))
 
     def run(batches):
-        kept: list = [np.zeros(0, np.int64), np.zeros(0, np.int64), [], np.zeros(0)]
+        kept: list = [np.zeros(0, np.int64), np.zeros(0, np.int64), [], np.zeros(0), np.zeros(0, bool)]
 
-        def groups(m, ids, raws, low, final):
+        def groups(m, ids, raws, low, new, final):
             us, vs, sims = [], [], []
             cuts = np.flatnonzero(np.append(True, m[1:] != m[:-1])) if len(m) else np.zeros(0, int)
             ends = np.append(cuts[1:], len(m))
@@ -148,7 +159,7 @@ def joined_neighbours(lists: DataFrame, nodes: DataFrame) -> DataFrame:
                 x = unit(raws[b:e])
                 s = x @ x.T
                 np.fill_diagonal(s, -3.0)
-                i, j = np.nonzero(s > low[b:e][:, None])
+                i, j = np.nonzero((s >= low[b:e][:, None]) & (new[b:e][:, None] | new[b:e][None, :]))
                 us.append(ids[b:e][i])
                 vs.append(ids[b:e][j])
                 sims.append(s[i, j])
@@ -158,14 +169,15 @@ def joined_neighbours(lists: DataFrame, nodes: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, t)) for c, t in ((us, np.int64), (vs, np.int64), (sims, np.float64))], ["u", "v", "sim"])
 
         for batch in batches:
-            m, ids, low = (np.append(kept[i], batch.column(j).to_numpy()) for i, j in ((0, 0), (1, 1), (3, 3)))
+            m, ids, low, new = (np.append(kept[i], batch.column(i).to_numpy(zero_copy_only=False)) for i in (0, 1, 3, 4))
             raws = kept[2] + batch.column(2).to_pylist()
-            us, vs, sims, rest = groups(m, ids, raws, low, False)
-            kept = [m[rest:], ids[rest:], raws[rest:], low[rest:]]
+            us, vs, sims, rest = groups(m, ids, raws, low, new, False)
+            kept = [m[rest:], ids[rest:], raws[rest:], low[rest:], new[rest:]]
             yield out(us, vs, sims)
         yield out(*groups(*kept, True)[:3])
 
-    met = around.join(known, "node").select("m", "node", "raw", "low")
+    open_ = around.where("new").select("m").distinct()  # the others have no new pair
+    met = around.join(open_, "m", "left_semi").join(known, "node").select("m", "node", "raw", "low", "new")
     parts = max(8, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return met.repartition(parts, "m").sortWithinPartitions("m").mapInArrow(run, EDGES)
 
@@ -282,45 +294,40 @@ def true_links(nodes: DataFrame, chosen: list, threshold: float) -> DataFrame:
 
 
 def audit(nodes: DataFrame, threshold: float) -> DataFrame:
-    """(node, truth) of nodes in hash order, until LINKED of them have links or none is left."""
-    hashed = nodes.select("node", "label", "raw", F.xxhash64("node").alias("h"))
-    truth, size, after = None, AUDIT, None
-    while True:
-        rest = hashed if after is None else hashed.where(F.col("h") > F.lit(after))
-        chosen = rest.orderBy("h").limit(size).collect()
-        if not chosen:
-            break
-        more = written(true_links(nodes, [r[:3] for r in chosen], threshold), "truth")
+    """(node, truth) of the audited nodes that have links."""
+    stated = nodes.where(F.col("first_id") % AUDIT_STEP == 0)
+    chosen = written((stated if stated.count() >= AUDIT_LEAST else nodes).select("node", "label", "raw"), "audited")
+    waves = max(1, -(-int(chosen.agg(F.sum(F.octet_length("raw") + 64)).first()[0] or 0) // AUDIT_BYTES))
+    truth = None
+    for wave in range(waves):
+        some = chosen.where(F.pmod(F.xxhash64("node"), F.lit(waves)) == wave).collect()
+        more = written(true_links(nodes, some, threshold), "truth")
         truth = more if truth is None else truth.unionByName(more)
-        if truth.count() >= LINKED:
-            break
-        after, size = chosen[-1].h, min(4 * size, AUDIT_MOST)
     return truth
 
 
-def recall(truth: DataFrame | None, counts: DataFrame) -> float:
+def recall(truth: DataFrame, counts: DataFrame) -> float:
     """Share of the audited links that counts (node, links) has: of all or as a mean over nodes, whichever is less; 1 if there are none."""
-    if truth is None:
-        return 1.0
     known = F.least("truth", F.coalesce("links", F.lit(0)))
     row = truth.join(counts, "node", "left").agg(F.sum(known) / F.sum("truth"), F.avg(known / F.col("truth"))).first()
     return 1.0 if row[0] is None else float(min(row))
 
 
-def searched(nodes: DataFrame, threshold: float, tables: range, lists: DataFrame | None) -> DataFrame:
-    """Neighbour lists after further orderings and rounds of joins."""
+def searched(nodes: DataFrame, threshold: float, tables: range, lists: DataFrame | None, born: int) -> tuple[DataFrame, int]:
+    """Neighbour lists after further orderings and rounds of joins, and the number of the last round."""
     # neighbours across a partition's end are not met: no fewer than 64 windows a partition
     parts = max(1, min(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.count() // (64 * WINDOW)))
     for table in tables:
-        more = neighbours_by_order(nodes, table, parts, threshold)
+        more = neighbours_by_order(nodes, table, parts, threshold).withColumn("born", F.lit(born))
         lists = more if lists is None else lists.unionByName(more)
-    lists = written(nearest(lists), "lists")
+    lists = written(nearest(lists, threshold), "lists")
     known = lists.where(F.col("sim") >= threshold).count()
     while True:
-        lists = written(nearest(lists.unionByName(joined_neighbours(lists, nodes))), "lists")
+        more = joined_neighbours(lists, nodes, threshold, born).withColumn("born", F.lit(born + 1))
+        lists, born = written(nearest(lists.unionByName(more), threshold), "lists"), born + 1
         found = lists.where(F.col("sim") >= threshold).count()
         if found <= known:
-            return lists
+            return lists, born
         known = found
 
 
@@ -331,12 +338,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     nodes = written(rows.where("raw is not null").groupBy("label", "raw").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("weight"))
                     .withColumn("node", F.monotonically_increasing_id()), "nodes")
     truth = audit(nodes, threshold)
-    lists, tables = None, TABLES
+    lists, tables, born = None, TABLES, 0
     while True:
-        lists = searched(nodes, threshold, range(0 if tables == TABLES else tables // 2, tables), lists)
+        lists, born = searched(nodes, threshold, range(0 if tables == TABLES else tables // 2, tables), lists, born + 1)
         links = lists.where(F.col("sim") >= threshold)
         groups = written(components(links, "u", "v"), "groups").withColumnRenamed("label", "component")
-        full = links.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= K).select(F.col("u").alias("node"))
+        full = links.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= LIST_MOST).select(F.col("u").alias("node"))
         dense = groups.join(full, "node").select("component").distinct()
         members = written(groups.join(dense, "component").join(nodes, "node").select("component", "label", "node", "weight", "raw"), "members")
         joins = components(bridges(members, threshold)).select(F.col("node").alias("component"), F.col("label").alias("top"))

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from resgov.llm import nn_descent as N
 
@@ -71,7 +72,7 @@ def test_short_recall_is_not_accepted(spark, monkeypatch):
     """Orderings that find nothing: rare links outside the first audit queries are still all found."""
     empty = lambda nodes, *_: nodes.sparkSession.createDataFrame([], N.EDGES)
     monkeypatch.setattr(N, "neighbours_by_order", empty)
-    monkeypatch.setattr(N, "AUDIT", 5)
+    monkeypatch.setattr(N, "AUDIT_BYTES", 5000)
     monkeypatch.setattr(N, "BLOCK", 64)
     monkeypatch.setattr(N, "MOST", N.TABLES)
     rng = np.random.default_rng(9)
@@ -80,6 +81,38 @@ def test_short_recall_is_not_accepted(spark, monkeypatch):
     assert got(spark, rows) == brute(rows, 0.93)
 
 
+def test_saturated_lists_double(spark):
+    """Lists grow by doubling until their last entry is no link, up to the largest size; others keep K."""
+    def edges(u, linked, rest):
+        return [(u, 1000 + i, 0.99 - i / 1000, 0) for i in range(linked)] + [(u, 2000 + i, 0.5 - i / 1000, 0) for i in range(rest)]
+
+    rows = edges(1, 0, 50) + edges(2, 7, 50) + edges(3, 8, 50) + edges(4, 15, 50) + edges(5, 16, 50) + edges(6, 31, 50) + edges(7, 60, 5) + edges(8, 20, 2) + edges(9, 3, 0)
+    lists = N.nearest(spark.createDataFrame(rows + rows[:9], "u long, v long, sim double, born int"), 0.93)
+    sizes = {r.u: (r["n"], r.links) for r in lists.groupBy("u").agg(F.count("*").alias("n"), F.count_if(F.col("sim") >= 0.93).alias("links")).collect()}
+    assert sizes == {1: (8, 0), 2: (8, 7), 3: (16, 8), 4: (16, 15), 5: (32, 16), 6: (32, 31), 7: (32, 32), 8: (22, 20), 9: (3, 3)}
+
+
+def test_groups_between_the_sizes(spark, monkeypatch):
+    """Groups of 9 to 30 members, linked all with all: their lists hold every link, none is counted in blocks."""
+    monkeypatch.setattr(N, "dense_counts", lambda members, threshold: members.selectExpr("node", "cast(-1 as long) as links").limit(0))
+    rng = np.random.default_rng(3)
+    rows = []
+    for size in range(9, 31, 3):
+        centre = rng.normal(size=24)
+        rows += [(len(rows) + i, [float(np.float32(v)) for v in centre + rng.normal(scale=0.01, size=24)], size % 2, 0) for i in range(size)]
+    rows += [(len(rows) + i, [float(np.float32(v)) for v in rng.normal(size=24)], i % 2, 0) for i in range(200)]
+    assert got(spark, rows) == brute(rows, 0.93)
+
+
+def test_audit_of_stated_ids(spark, monkeypatch):
+    monkeypatch.setattr(N, "AUDIT_LEAST", 5)
+    nodes = spark.range(1000).selectExpr("id as node", "id as first_id", "'a' as label", "cast(1 as long) as weight")
+    raw = [(i, np.array([1.0, float(i % 3)]).tobytes()) for i in range(1000)]
+    nodes = nodes.join(spark.createDataFrame(raw, "node long, raw binary"), "node")
+    truth = {r.node: r.truth for r in N.audit(nodes, 0.93).collect()}
+    assert set(truth) == set(range(0, 1000, 100)) and all(n == sum(j % 3 == i % 3 or {i % 3, j % 3} == {1, 2} and 3 / 10**0.5 >= 0.93 for j in range(1000)) - 1 for i, n in truth.items())
+
+
 def test_recall_weighs_links(spark):
     truth = spark.createDataFrame([(i, 1) for i in range(99)] + [(99, 100)], "node long, truth long")
     counts = spark.createDataFrame([(i, 1) for i in range(99)], "node long, links long")
