@@ -57,3 +57,47 @@ def test_order_counts():
 def test_occurrence_numbers():
     kmers = np.array([5, 7, 5, 9, 7, 5], dtype=np.uint64)
     assert list(O.occurrences(kmers)) == [0, 0, 1, 0, 1, 2]
+
+
+def plain_fingerprint(text, k=O.K, l=O.L):
+    """The definition in whole numbers: every k-mer with its occurrence number ranked by each permutation, the l least in text order hashed."""
+    low = 2**64 - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & low
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & low
+        return x ^ (x >> 31)
+
+    step, k = int(O._STEP), min(k, len(text))
+
+    def window(i, width):
+        """Hash of text[i:i + width] from its longest power of two and the rest that adjoins or overlaps."""
+        if width == 1:
+            return mix((ord(text[i]) + step) & low)
+        half = 1
+        while half * 2 < width:
+            half *= 2
+        part = min(half, width - half)
+        h = ((window(i, half) * step) & low) ^ ((window(i + part, half) + half) & low)
+        return h ^ (h >> 29)
+
+    kmers, seen, keys = [mix(window(i, k)) for i in range(len(text) - k + 1)], {}, []
+    for x in kmers:
+        keys.append(mix((x + seen.get(x, 0) * step) & low))
+        seen[x] = seen.get(x, 0) + 1
+    out = []
+    for j in range(O.M):
+        ranks = [((key ^ int(O._XOR[j])) * int(O._MUL[j])) & low for key in keys]
+        entry = step
+        for i in sorted(sorted(range(len(keys)), key=lambda i: (ranks[i], i))[:l]):
+            entry = (entry * 0xD6E8FEB86659FD93 + kmers[i]) & low
+            entry ^= entry >> 31
+        out.append(mix(entry) >> 32)
+    return out
+
+
+def test_fingerprint_against_its_definition():
+    rng = random.Random(8)
+    texts = ["a", "ab", "aaaaaaaaaaaaaaaaaaaaaaaa", "abcabcabcabcabcabcabc", "é中\U0001F600 x é中\U0001F600 x"] + ["".join(rng.choice("ab c") for _ in range(rng.randrange(1, 120))) for _ in range(12)]
+    for text in texts:
+        assert O.fingerprint(O.code_points(text)).tolist() == plain_fingerprint(text), text
