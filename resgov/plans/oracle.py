@@ -555,6 +555,9 @@ def _sql() -> dict[str, str]:
       FROM asked a ASOF LEFT JOIN held h ON a.resource_id = h.resource_id AND a.workspace_id = h.workspace_id AND h."at" <= a.asked_at"""
     q["registry_of_region"] = f"""{rg} SELECT {REG_COLS} FROM reg WHERE workspace_id IN (
         SELECT CAST(n_nationkey AS VARCHAR) FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA')"""
+    q["stored_schema_drift"] = f"""{rg}, n AS (SELECT count(*) FILTER (WHERE workspace_id IN ('1', '2')) AS old, count(*) FILTER (WHERE workspace_id = '5') AS odd FROM reg)
+      SELECT 'revoked_reason' AS name, 'string' AS expected, CAST(NULL AS VARCHAR) AS actual, 'missing' AS problem, CAST(1 AS BIGINT) AS n_files, CAST(old AS BIGINT) AS n_rows FROM n
+      UNION ALL SELECT 'is_approved', 'boolean', 'string', 'type', 1, odd FROM n UNION ALL SELECT 'note', NULL, 'string', 'extra', 1, odd FROM n"""
     q["resource_status_bucketed"] = q["resource_status"]
     q["registry_lookup"] = f"{rg} SELECT {REG_COLS} FROM reg WHERE resource_id = '64' AND workspace_id = '21'"
     q["stored_ledger_maintained"] = f"""{lg},

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions.times import midnight_as_written, ntz
 from ..operators import asof as O
 from ..operators import decisions as D
+from ..operators import drift as R
 from ..operators import layout as W
 from ..operators import ledger as L
 from ..operators import snapshots as K
@@ -20,6 +21,7 @@ from ..operators import stats as A
 from ..operators import status as J
 from ..operators import validate as V
 from ..schemas import LEDGER
+from ..schemas import REGISTRY as REGISTRY_SCHEMA
 from ..session import configure, shared_dir
 from ..sources import feeds as S
 from ..sources import fixtures as X
@@ -525,6 +527,18 @@ def registry_lookup(spark, sf):
     return W.lookup(_bucketed(spark, registry(spark, sf), "registry"), LOOKUP_KEY)
 
 
+@query
+def stored_schema_drift(spark, sf):
+    """A registry folder written under three layouts: which columns its files lack, add or type otherwise."""
+    reg, folder = registry(spark, sf), shared_dir(spark, f"registry-layouts-{uuid.uuid4().hex}")
+    of = lambda *ids: reg.filter(F.col("workspace_id").isin(*ids)).coalesce(1)
+    of("1", "2").drop("revoked_reason").write.parquet(f"{folder}/part=1")
+    of("3", "4").write.parquet(f"{folder}/part=2")
+    of("5").withColumn("is_approved", F.col("is_approved").cast("string")).withColumn("note", F.lit("x")).write.parquet(f"{folder}/part=3")
+    report = R.drift_report(spark, folder, REGISTRY_SCHEMA)
+    return report.groupBy("name", "expected", "actual", "problem").agg(F.countDistinct("file").alias("n_files"), F.sum("n_rows").alias("n_rows"))
+
+
 @query
 def stored_ledger_maintained(spark, sf):
     """K2/K5: a ledger stored by version, appended to twice, then without the failed rows of version 1: rows per version and status."""

@@ -24,6 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from ..functions.paths import plain_path
 from ..operators import decisions as D
 from ..operators import snapshots as K
 from ..operators import validate as V
@@ -89,9 +90,7 @@ def unread_files(spark: SparkSession, landed: str, path: str) -> DataFrame:
     """Landed files of which the T1 query has written no row: damaged, empty or not yet taken.  Lists files, reads none of them."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(landed).select(F.col("path").alias("file"), "length")
     seen = checked_rows(spark, path, "valid").select("file").unionByName(checked_rows(spark, path, "rejected").select("file")).distinct()
-    # one side escapes characters of the path, the other may not
-    plain = lambda c: F.regexp_replace(F.url_decode(F.regexp_replace(c, r"\+", "%2B")), "^file:/+", "/")
-    return listed.withColumn("_f", plain(F.col("file"))).join(seen.select(plain(F.col("file")).alias("_f")).distinct(), "_f", "left_anti").drop("_f")
+    return listed.withColumn("_f", plain_path(F.col("file"))).join(seen.select(plain_path(F.col("file"), escaped=True).alias("_f")).distinct(), "_f", "left_anti").drop("_f")
 
 
 def without_redelivered(stream: DataFrame, delay: str, keys=("seq", "at", "action", "resource_id", "workspace_id")) -> DataFrame:
