@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .frames import components, prepared, sent, written
@@ -58,13 +59,17 @@ def encoded(vectors: DataFrame) -> DataFrame:
     """(vec_id, label, raw): raw holds the components as float64; null label and raw where the vector is unusable."""
     def run(batches):
         for batch in batches:
-            raws, labels = [], batch.column(1).to_pylist()
-            for i, item in enumerate(batch.column(2)):
-                x = np.array(item.values.to_pylist() if item.is_valid else [], dtype=np.float64)
+            column = batch.column(2)
+            offsets, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)  # a null component is nan
+            known = column.is_valid().to_numpy(zero_copy_only=False) & batch.column(1).is_valid().to_numpy(zero_copy_only=False) & (offsets[1:] > offsets[:-1])
+            raws: list = [None] * batch.num_rows
+            for i in np.flatnonzero(known):
+                x = flat[offsets[i]:offsets[i + 1]]
                 with np.errstate(over="ignore"):
-                    good = len(x) and labels[i] is not None and np.isfinite(x).all() and 0 < np.linalg.norm(x) < np.inf
-                raws.append(x.tobytes() if good else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([y if r else None for y, r in zip(labels, raws)], pa.string()), pa.array(raws, pa.binary())], ["vec_id", "label", "raw"])
+                    if np.isfinite(x).all() and 0 < np.linalg.norm(x) < np.inf:
+                        raws[i] = x.tobytes()
+            usable = pa.array([r is not None for r in raws], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pc.if_else(usable, batch.column(1), None), pa.array(raws, pa.binary())], ["vec_id", "label", "raw"])
 
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     return rows.mapInArrow(run, "vec_id long, label string, raw binary")
