@@ -58,5 +58,5 @@ def epoch_millis_ntz(col: Column) -> Column:
 
 
 def elapsed_seconds(start: Column, end: Column) -> Column:
-    """Seconds from ``start`` to ``end`` as a double (microsecond precision)."""
-    return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1_000_000.0
+    """Seconds from ``start`` to ``end`` as a double (microsecond precision), whatever the session zone."""
+    return (end.cast("timestamp_ntz") - start.cast("timestamp_ntz")).cast("interval second").cast("decimal(18,6)").cast("double")

@@ -594,6 +594,9 @@ def _sql() -> dict[str, str]:
       t AS (SELECT 'o_totalprice' AS name, CASE i % 3 WHEN 0 THEN 'STRING' WHEN 1 THEN 'DOUBLE' ELSE 'DECIMAL' END AS t FROM r
             UNION ALL SELECT 'o_orderkey', CASE i % 5 WHEN 0 THEN 'STRING' ELSE 'LONG' END FROM r)
       SELECT name, string_agg(DISTINCT t, ',' ORDER BY t) AS types, CAST(count(DISTINCT t) AS BIGINT) AS n_types FROM t GROUP BY name HAVING count(DISTINCT t) > 1"""
+    q["ledger_durations"] = f"""{lg}
+      SELECT version, CAST(count(*) AS BIGINT) AS n_rows, round(min(s), 6) AS least, round(max(s), 6) AS most
+      FROM (SELECT version, CASE WHEN applied_at IS NOT NULL THEN version * 3601.25::DOUBLE END AS s FROM ledger WHERE version IS NOT NULL) GROUP BY version"""
     q["ledger_percentiles"] = f"""{lg}
       SELECT version, CAST(count(*) AS BIGINT) AS n_times, true AS p50_ok, true AS p95_ok, true AS p99_ok FROM ledger WHERE execution_time_seconds IS NOT NULL GROUP BY version"""
     return q

@@ -587,6 +587,14 @@ def result_type_clashes(spark, sf):
     return C.type_clashes(X.result_mixed(spark, sf))
 
 
+@query
+def ledger_durations(spark, sf):
+    """Ledger rows from attempts with a start and an end: time taken per version."""
+    attempts = (_ledger(spark, sf).filter(F.col("version").isNotNull()).drop("execution_time_seconds").withColumn("started_at", F.col("applied_at")).drop("applied_at")
+                .withColumn("finished_at", F.col("started_at") + F.make_dt_interval(secs=(F.col("version") * F.lit(3601.25)).cast("decimal(18,6)"))))
+    return L.ledger_rows(attempts).groupBy("version").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.min("execution_time_seconds"), 6).alias("least"), F.round(F.max("execution_time_seconds"), 6).alias("most"))
+
+
 @query
 def ledger_percentiles(spark, sf):
     """Per version, whether percentiles from merged daily sketches lie within 2 % of their exact ranks."""

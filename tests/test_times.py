@@ -45,3 +45,16 @@ def test_utc_in_any_session_zone(spark):
         assert (r.z, r.n, r.e, r.far) == ("2024-03-10 23:30:00", "2024-11-03 01:30:00", "2024-11-03 06:00:00.123", None)
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_elapsed_seconds_knows_no_clock_change(spark):
+    """Wall times in UTC: a night in which the session zone's clocks change is as long as any."""
+    from resgov.functions.times import elapsed_seconds
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.sql("""SELECT timestamp_ntz'2024-03-10 01:00:00' AS a, timestamp_ntz'2024-03-10 04:00:00.000001' AS b
+                          UNION ALL SELECT timestamp_ntz'2024-11-03 04:00:00', timestamp_ntz'2024-11-03 00:30:00' UNION ALL SELECT NULL, timestamp_ntz'2024-11-03 00:30:00'""")
+        assert [r[0] for r in df.select(elapsed_seconds(F.col("a"), F.col("b"))).collect()] == [10_800.000001, -12_600.0, None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
