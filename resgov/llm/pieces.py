@@ -38,7 +38,7 @@ from .frames import free_name, prepared, sent
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE = 600_000
+CACHE = 400_000
 N_BEST = 4
 
 
@@ -75,11 +75,11 @@ class Vocabulary:
 
 
 class Coder:
-    """Encodes and decodes; segments seen before are looked up."""
+    """Encodes and decodes; segments seen before are looked up (two halves of CACHE, so that common ones stay)."""
 
     def __init__(self, vocabulary: Vocabulary):
         import ahocorasick
-        self.v, self.seen, self.others = vocabulary, {}, {}
+        self.v, self.seen, self.old, self.others = vocabulary, {}, {}, {}
         self.split = re.compile(vocabulary.segment, re.S).findall
         automaton = ahocorasick.Automaton()
         for name, piece in vocabulary.lattice.items():
@@ -126,8 +126,12 @@ class Coder:
 
     def best(self, segment: str) -> tuple[tuple[int, ...], float, float]:
         """(ids, score, loss of the second best) of a segment; no second: infinite loss."""
-        if len(self.seen) >= CACHE:
-            self.seen.clear()
+        found = self.old.get(segment)
+        if found is not None:
+            self.seen[segment] = found
+            return found
+        if len(self.seen) >= CACHE:  # segments met again move on to the new half, the others go with the next change
+            self.old, self.seen = self.seen, {}
         pairs, cuts = self.v.pairs, [0]
         cuts += [k for k in range(1, len(segment)) if segment[k - 1:k + 1] not in pairs]
         if len(cuts) == 1:
