@@ -559,7 +559,7 @@ def _sql() -> dict[str, str]:
       SELECT 'revoked_reason' AS name, 'string' AS expected, CAST(NULL AS VARCHAR) AS actual, 'missing' AS problem, CAST(1 AS BIGINT) AS n_files, CAST(old AS BIGINT) AS n_rows FROM n
       UNION ALL SELECT 'is_approved', 'boolean', 'string', 'type', 1, odd FROM n UNION ALL SELECT 'note', NULL, 'string', 'extra', 1, odd FROM n"""
     q["resource_status_bucketed"] = q["resource_status"]
-    q["registry_lookup"] = f"{rg} SELECT {REG_COLS} FROM reg WHERE resource_id = '64' AND workspace_id = '21'"
+    q["registry_lookup"] = f"{rg} SELECT {REG_COLS} FROM reg ORDER BY CAST(resource_id AS BIGINT), workspace_id LIMIT 1"
     q["stored_ledger_maintained"] = f"""{lg},
       stored AS (SELECT schema_key, version, status FROM ledger WHERE version <= 3 AND NOT coalesce(version = 1 AND status = 'failed', false)
         UNION ALL SELECT schema_key, version, status FROM ledger WHERE version > 3

@@ -35,7 +35,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 WORKSPACE = "7"
 # Buckets of the stored tables; on a cluster about the table's size over 128 MB.
 BUCKETS = 8
-LOOKUP_KEY = ("64", "21")
 # Columns that tell the fixture's ledger rows apart.
 IDS = ("tie1", "tie2")
 REGISTRY: dict[str, Query] = {}
@@ -523,8 +522,10 @@ def resource_status_bucketed(spark, sf):
 
 @query
 def registry_lookup(spark, sf):
-    """K1: the registry row of one key, read from its bucket."""
-    return W.lookup(_bucketed(spark, registry(spark, sf), "registry"), LOOKUP_KEY)
+    """K1: the registry row of one key (that of the lowest resource number), read from its bucket."""
+    stored = _bucketed(spark, registry(spark, sf), "registry")
+    key = stored.agg(F.min(F.struct(F.col("resource_id").cast("long").alias("number"), "resource_id", "workspace_id")).alias("k")).select("k.resource_id", "k.workspace_id").first()
+    return W.lookup(stored, tuple(k or "" for k in key))
 
 
 @query
