@@ -52,7 +52,7 @@ MAGIC = b"TIB1"
 # a place where no token can cross: before a space that a visible ASCII or Latin character follows
 CUT = re.compile(" (?=[!-~\u00c0-\u024f])")
 ODD_SPACE = re.compile(" (?![!-~\u00c0-\u024f])")
-CACHE, WORD_CHARS, GROUP = 800_000, 32, 200
+CACHE, WORD_CHARS, GROUP = 1_000_000, 32, 64
 MARKS, TAILS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", 2000
 
 
@@ -82,7 +82,8 @@ def pack(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[np.ndarray, n
         mine = np.flatnonzero(width == w)
         for part in np.array_split(mine, -(-len(mine) // 2048)):
             # the low bits of each value, first bit first, without those above the width
-            bits = np.unpackbits(rest[part].astype("<u4").view(np.uint8).reshape(len(part), BLOCK, 4), axis=2, bitorder="little")[:, :, :w]
+            low_bytes = rest[part].astype("<u2" if w <= 16 else "<u4").view(np.uint8).reshape(len(part), BLOCK, -1)
+            bits = np.unpackbits(low_bytes, axis=2, bitorder="little")[:, :, :w]
             out[starts[part][:, None] + 6 + np.arange(w * (BLOCK // 8))] = np.packbits(bits.reshape(len(part), -1), axis=1, bitorder="little")
     at = starts[row] + 6 + width[row] * (BLOCK // 8)
     turn = np.arange(len(row)) - np.repeat(np.cumsum(exceptions) - exceptions, exceptions)
