@@ -8,16 +8,20 @@ only the partitions a change touches.
 
 from __future__ import annotations
 
+import uuid
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from ..schemas import KEY, LEDGER, REGISTRY
+from ..session import shared_dir
 from .ledger import FAILED
 
 ROW_KEY = "row_key"
 LEDGER_KEY = ["schema_key", "version", "checksum", "applied_at"]
+# Versions a task writes at once; only rows of further versions are sorted before they are written.
+OPEN_FOLDERS = 16
 
 
 # ------------------------------------------------------------- by workspace
@@ -70,30 +74,60 @@ def lookup(bucketed: DataFrame, key: Sequence[str]) -> DataFrame:
 
 # -------------------------------------------------------------- by version
 
+def _by_version(spark: SparkSession, writer: DataFrameWriter, path: str) -> None:
+    """Write a subfolder a version, each task its rows where they are: neither exchanged nor, up to OPEN_FOLDERS versions, sorted."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(OPEN_FOLDERS))
+    try:
+        writer.partitionBy("version").parquet(path)
+    finally:
+        spark.conf.set(name, before)
+
+
 def write_ledger(rows: DataFrame, path: str) -> str:
     """Store ledger rows in the new folder ``path``, a subfolder a version."""
-    return write_partitioned(rows, path, ("version",))
+    _by_version(rows.sparkSession, rows.write.mode("errorifexists"), path)
+    return path
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return read_partitioned(spark, path, LEDGER)
 
 
+def key_digest(keys: Sequence[str] = LEDGER_KEY) -> Column:
+    """SHA-256 of a key of several columns, nulls being values: 32 bytes in place of the key."""
+    text = [F.col(k).cast("string") for k in keys]
+    return F.unhex(F.sha2(F.concat(*[F.coalesce(F.concat(F.char_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text]), 256))
+
+
 def append_new(rows: DataFrame, path: str) -> None:
     """INSERT of the rows not stored yet, by (schema_key, version, checksum, applied_at); a second run adds nothing.
 
     Only the folders of the versions to be added are read.  Of new rows that share a key the greatest is added.
+
+    What is exchanged are digests of keys, of new and stored rows together.  They tell the exceptions, which are written
+    as a table: keys that are new to a version with a folder, and keys that several rows of a version without a folder
+    share.  Other rows of versions without a folder are added where they are, other rows of versions with one are stored
+    already.  A short table of exceptions is broadcast, a long one joined by digest.
     """
     spark = rows.sparkSession
     rest = [c for c in LEDGER.fieldNames() if c not in LEDGER_KEY]
-    fresh = (rows.groupBy(*LEDGER_KEY).agg(F.max(F.struct(*rest)).alias("_r"))
-             .select(*[F.col(c) if c in LEDGER_KEY else F.col(f"_r.{c}").alias(c) for c in LEDGER.fieldNames()]))
-    versions = fresh.select(F.col("version").alias("_v")).distinct()
-    stored = read_ledger(spark, path).join(versions, F.col("version").eqNullSafe(F.col("_v")), "left_semi").select(*[F.col(c).alias(f"_{c}") for c in LEDGER_KEY])
-    same = F.lit(True)
-    for c in LEDGER_KEY:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    fresh.join(stored, same, "left_anti").write.mode("append").partitionBy("version").parquet(path)
+    kept = read_ledger(spark, path)
+    folders = kept.select(F.col("version").alias("_v")).distinct().withColumn("_met", F.lit(True))  # a row a version
+    fresh = (rows.select(*LEDGER.fieldNames()).withColumn("_key", key_digest())
+             .join(F.broadcast(folders), F.col("version").eqNullSafe(F.col("_v")), "left").withColumn("_met", F.col("_met").isNotNull()).drop("_v"))
+    versions = rows.select(F.col("version").alias("_v")).distinct()
+    stored = kept.join(F.broadcast(versions), F.col("version").eqNullSafe(F.col("_v")), "left_semi")
+    seen = fresh.select("_key", "_met", F.lit(False).alias("_old")).union(stored.select(key_digest().alias("_key"), F.lit(True), F.lit(True)))
+    counted = seen.groupBy("_key").agg(F.max("_met").alias("_met"), F.max("_old").alias("_old"), F.count(F.lit(1)).alias("_n"))
+    table = shared_dir(spark, f"ledger-keys-{uuid.uuid4().hex}")
+    counted.filter(~F.col("_old") & (F.col("_met") | (F.col("_n") > 1))).select("_key").write.parquet(table)
+    listed = spark.read.parquet(table)
+    alone = fresh.filter(~F.col("_met")).join(listed, "_key", "left_anti").select(*LEDGER.fieldNames())
+    greatest = (fresh.join(listed, "_key", "left_semi").groupBy("_key", *LEDGER_KEY).agg(F.max(F.struct(*rest)).alias("_r"))
+                .select(*[F.col(c) if c in LEDGER_KEY else F.col(f"_r.{c}").alias(c) for c in LEDGER.fieldNames()]))
+    _by_version(spark, alone.union(greatest).write.mode("append"), path)
 
 
 def delete_failed(spark: SparkSession, path: str, version: int) -> None:
@@ -104,6 +138,6 @@ def delete_failed(spark: SparkSession, path: str, version: int) -> None:
     """
     kept = read_ledger(spark, path).filter((F.col("version") == version) & ~F.coalesce(F.col("status") == FAILED, F.lit(False)))
     if kept.limit(1).count():
-        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path)
+        _by_version(spark, kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic"), path)
     elif read_ledger(spark, path).filter(F.col("version") == version).limit(1).count():
         kept.drop("version").limit(0).write.mode("overwrite").parquet(f"{path.rstrip('/')}/version={version}")

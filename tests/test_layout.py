@@ -2,6 +2,7 @@
 
 import contextlib
 import os
+import random
 import re
 import uuid
 
@@ -136,6 +137,45 @@ def test_append_reads_only_the_folders_of_its_versions(spark, folder):
     assert content(spark, folder) == sorted([(k, v or 0, s, d) for k, v, s, d in ROWS] + [("n", 2, "applied", 5)])
 
 
+def in_parts(df, parts, number):
+    """df dealt over ``parts`` partitions by the number ``number``, as it comes."""
+    return df.sparkSession.createDataFrame(df.rdd.keyBy(lambda r: number(r)).partitionBy(parts, lambda k: k % parts).values(), df.schema)
+
+
+def test_ledger_rows_are_written_where_they_are(spark, folder):
+    rows = [(f"s{i}", v, "applied", 1) for i in range(50) for v in (1, 2, 3)]
+    dealt = in_parts(ledger(spark, rows), 5, lambda r: int(r.schema_key[1:]))
+    W.write_ledger(dealt.filter("version < 3"), folder)
+    W.append_new(dealt, folder)
+    assert content(spark, folder) == sorted((k, v, s, d) for k, v, s, d in rows)
+    assert [sum(f"version={v}/" in f for f in files(folder)) for v in (1, 2, 3)] == [5, 5, 5]
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_append_against_brute_force(spark, folder, threshold):
+    """Keys shared by new rows, keys stored already, keys with nulls, in versions with and without a folder; a long list of keys is not broadcast."""
+    rng = random.Random(7)
+    some = lambda n, versions: [(rng.choice(["s", "1:s", "", None]), rng.choice(versions), rng.choice(["d", "e", None]), "sql", rng.choice(["c", "-", None]), rng.choice(["applied", "failed"]),
+                                 rng.choice([None, ts("2024-01-01 00:00:00.000001"), ts("2024-01-01 00:00:00")]), 1.0, None, None, None, "a", "a") for _ in range(n)]
+    old, new = some(30, [1, 2, None]), some(300, [2, 3, 4, None]) + some(9, [17])
+    key = lambda r: (r[0], r[1], r[4], r[6])
+    order = lambda r: [(x is not None, x or "") for x in (r[2], r[3], r[5])]
+    want, stored = list(old), {key(r) for r in old}
+    best = {}
+    for r in new:
+        if key(r) not in stored:
+            best[key(r)] = max(best.get(key(r), r), r, key=order)
+    want += best.values()
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", threshold):
+        W.write_ledger(spark.createDataFrame(old, LEDGER), folder)
+        for _ in range(2):
+            W.append_new(spark.createDataFrame(new, LEDGER).repartition(3), folder)
+    # empty texts come back as they are; only the version is a folder
+    got = [tuple(r) for r in W.read_ledger(spark, folder).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
 # ------------------------------------------------------------ fingerprints
 
 def test_fingerprints_find_changed_lost_and_doubled_rows(spark):
