@@ -3,6 +3,7 @@ import random
 
 import pytest
 from conftest import ts
+from pyspark.sql import functions as F
 from test_plans import SF, plan
 
 from resgov.operators import asof as O
@@ -51,6 +52,22 @@ def test_a_hot_key_is_cut_and_carried_over_partitions_without_facts(spark):
     assert got.groupBy("held_value").count().collect() == [("first", 4000)]
 
 
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_pieces_are_bounded_whatever_the_partitions(spark, partitions):
+    rng = random.Random(partitions)
+    time = lambda: rng.choice([ts(f"2024-01-{rng.randrange(1, 29):02d} 00:00:00")] * 9 + [None])
+    questions = [(i, rng.choice(["hot", "hot", "a", None]), 1, time(), "q", 1) for i in range(700)]
+    facts = [("hot", 1, time(), i, f"v{i}", i) for i in range(40)] + [("a", 1, ts("2024-01-01 00:00:00"), 99, "a", 99)]
+    q, f = spark.createDataFrame(questions, Q), spark.createDataFrame(facts, FACT)
+    parts = O.timeline(q, f, ["k1", "k2"], "at", "t", ["seq"], ["value"], partitions, piece_rows=16)
+    sizes = [r["count"] for r in parts.groupBy("_part").count().collect()]
+    assert max(sizes) == 16 and sum(sizes) == len(questions) + sum(r[2] is not None for r in facts)
+    got = O.as_of(q, f, ["k1", "k2"], "at", "t", ["seq"], ["value", "n"], prefix="held_", partitions=partitions, piece_rows=16)
+    # one piece, two by the sampled cuts, a task
+    assert got.where("id is not null").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 4 * 16
+    assert sorted((r.id, r.held_value, r.held_n) for r in got.collect()) == brute(questions, facts)
+
+
 def test_empty_sides(spark):
     q, f = spark.createDataFrame([(1, "a", 1, ts("2024-01-01 00:00:00"), "q", 1)], Q), spark.createDataFrame([], FACT)
     assert [r.held_value for r in O.as_of(q, f, ["k1", "k2"], "at", "t", ["seq"], ["value"], prefix="held_").collect()] == [None]
