@@ -37,6 +37,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -220,26 +221,30 @@ class Encoder:
     def _run(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.seen) > CACHE:  # words met again move on to the new half, the others go with the next change
             self.old, self.seen = self.seen, {}
-        firsts, words, counts = [], [], []
-        for text in texts:
-            first, *rest = cut(text)
-            firsts.append(first)
-            words += rest
-            counts.append(len(rest))
-        ids_of = dict.fromkeys(words)  # the run's words: a small table, met far more often than the large ones
-        known = list(map(self.seen.get, ids_of))
-        new = [w for w, ids in zip(ids_of, known) if ids is None]
+        parts, firsts, rows, counts = split_texts(texts)
+        # the run's words as numbers of a small table: a word met often is looked up once
+        coded = parts.dictionary_encode()
+        number = coded.indices.to_numpy()[rows]
+        met = np.zeros(len(coded.dictionary), bool)
+        met[number] = True
+        words = coded.dictionary.filter(pa.array(met)).to_numpy(zero_copy_only=False).tolist()
+        known = list(map(self.seen.get, words))
+        new = [w for w, ids in zip(words, known) if ids is None]
         again = {w: self.old[w] for w in new if w in self.old}
         self.seen.update(again)
         self._learn([w for w in new if w not in again])
-        ids_of.update(zip(ids_of, known))
+        found = [self.seen[w] if ids is None else ids for w, ids in zip(words, known)]
         for w in new:
-            ids_of[w] = self.seen[w]
             if len(w) > WORD_CHARS:
                 del self.seen[w]
-        found = list(map(ids_of.__getitem__, words))
-        ids = np.frombuffer(b"".join(found), "<u4")
-        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)])[np.cumsum([0, *counts])]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        which = (np.cumsum(met) - 1)[number]
+        much = size[which]
+        ends = np.concatenate([[0], np.cumsum(much)])
+        # each word's ids: those from its place in the table on
+        places = np.arange(ends[-1]) + np.repeat((np.cumsum(size) - size)[which] - ends[:-1], much)
+        ids = np.frombuffer(b"".join(found), "<u4")[places]
+        ends = ends[np.cumsum([0, *counts])]
         begun = self._model().encode_batch(firsts, add_special_tokens=False)
         return [np.concatenate([np.array(first.ids, np.uint32), ids[a:b]]) for first, a, b in zip(begun, ends, ends[1:])]
 
@@ -257,6 +262,20 @@ def cut(text: str) -> list[str]:
     return CUT.split(text) if ODD_SPACE.search(text) else text.split(" ")
 
 
+def split_texts(texts: list[str]) -> tuple[pa.Array, list[str], np.ndarray, np.ndarray]:
+    """All parts that cut() makes of the texts, each text's first one, the places of the others in order of texts, how many a text has."""
+    odd = np.fromiter((ODD_SPACE.search(t) is not None for t in texts), bool, len(texts))
+    cuts = [pc.split_pattern(pa.array([t for t, o in zip(texts, odd) if not o], pa.string()), " "), pa.array([cut(t) for t, o in zip(texts, odd) if o], pa.list_(pa.string()))]
+    parts = pa.concat_arrays([c.values for c in cuts])
+    at, size = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    for c, mine, before in zip(cuts, (~odd, odd), (0, len(cuts[0].values))):
+        offsets = c.offsets.to_numpy().astype(np.int64)
+        at[mine], size[mine] = before + offsets[:-1], np.diff(offsets)
+    counts = size - 1
+    rows = np.arange(counts.sum()) + np.repeat(at + 1 - (np.cumsum(counts) - counts), counts)
+    return parts, parts.take(pa.array(at)).to_numpy(zero_copy_only=False).tolist(), rows, counts
+
+
 def pieces(text: str, size: int = LONG_TEXT):
     """Parts of a long text, each cut at the first place after ``size`` code points where a word begins."""
     begin = 0

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -73,6 +74,18 @@ def test_words_and_pieces_have_the_ids_of_the_whole(tokenizer, monkeypatch):
     assert len(list(B.pieces("some words " * 1000, 100))) > 50
 
 
+def test_a_run_of_texts_is_cut_as_each_of_them():
+    texts = ["", " ", "a", "one two two", " lead", "two  spaces here", "tab \there", "é中 \U0001F600 x", "trail ", "one two", "中 文 a b"]
+    for some in (texts, texts[:5], ["a  b"], ["a b"], texts[::-1]):
+        parts, firsts, rows, counts = B.split_texts(some)
+        rest, at = parts.take(pa.array(rows)).to_pylist(), 0
+        got = []
+        for first, n in zip(firsts, counts):
+            got.append([first, *rest[at:at + n]])
+            at += n
+        assert got == [B.cut(t) for t in some] and at == len(rest)
+
+
 def test_documents_table(spark, tokenizer):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
