@@ -1,3 +1,5 @@
+import datetime as dt
+
 import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, label int, words int"
@@ -16,3 +18,8 @@ def odd(spark):
 @pytest.fixture(scope="session")
 def nothing(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+def ts(text):
+    """As in ../conftest.py: whichever of the two files is loaded last is the tests' ``conftest``."""
+    return dt.datetime.fromisoformat(text)
