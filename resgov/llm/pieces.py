@@ -12,7 +12,8 @@ character that is unknown to the vocabulary, so a text's lattice falls apart
 into segments (a word with its space mark, mostly).  The N best of a text
 combine the N best of its segments; at most N - 1 segments with the least loss
 can differ from the best, so A* runs on those only, and equal segments share
-their Viterbi pass.
+their Viterbi pass.  The passes of a run of texts go over all its new short
+segments at once, place by place; long segments go one by one.
 
 As in SentencePiece, a space mark stands for each space and one leads the text,
 unknown characters become byte pieces, and text is not normalised further.  A
@@ -28,10 +29,13 @@ from __future__ import annotations
 
 import heapq
 import re
-from itertools import accumulate, chain
+from functools import partial
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .frames import free_name, prepared, sent
@@ -40,6 +44,11 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 CACHE = 400_000
 N_BEST = 4
+LITERAL = MARK + MARK  # key of a mark that a text itself holds
+SPACED = re.compile(f" {MARK}[^ ]*| +(?= {MARK})| +[^ ]*")
+SHORT = 32  # characters of a segment that is passed over together with others
+TOGETHER = 4096  # segments passed over together
+RUN_ROWS, RUN_BYTES = 256, 1 << 20  # texts whose new segments are gathered; the one that reaches the bytes is the last
 
 
 class Vocabulary:
@@ -58,10 +67,12 @@ class Vocabulary:
                 self.ids[name] = (i, float(model.get_score(i)))
                 scores.append(float(model.get_score(i)))
         self.unknown = min(scores) - UNKNOWN_PENALTY
-        # what a piece adds to a text; bytes from 0x80 on as the code points that stand for single bytes
-        self.says = [n.replace(MARK, " ") for n in self.names]
+        # the bytes that a piece adds to a text
+        says = [n.replace(MARK, " ").encode() for n in self.names]
         for b, i in self.bytes.items():
-            self.says[i] = chr(b if b < 0x80 else 0xDC00 + b)
+            says[i] = bytes([b])
+        self.says, self.says_count = np.frombuffer(b"".join(says), np.uint8), np.array([len(x) for x in says])
+        self.says_begin = np.cumsum(self.says_count) - self.says_count
         crossing = [n for n in self.ids if MARK in n.lstrip(MARK)]
         if crossing or len(self.bytes) != 256:
             raise ValueError("pieces must hold space marks only in front, and all 256 bytes must be pieces")
@@ -69,9 +80,115 @@ class Vocabulary:
         known = {c for n in self.ids for c in n if c != MARK}
         # a known character that is no piece itself may stand alone at the price of an unknown one
         self.lattice = {n: (len(n), i, s) for n, (i, s) in self.ids.items()} | {c: (1, -1, self.unknown) for c in known if c not in self.ids}
-        # a segment: space marks and the known characters after them, or one unknown character
-        inside = "".join(re.escape(c) for c in sorted(known))
-        self.segment = f"{MARK}*[{inside}]+|{MARK}+|[^{MARK}]"
+        # segments: space marks and the known characters after them; one unknown character (or literal mark) each
+        self.outside = "([^ " + "".join(re.escape(c) for c in sorted(known)) + "])"
+        self.trie, self.coder = Trie(self.lattice), None
+
+
+class Trie:
+    """All places of pieces in a text, found for all its characters at once: a table of (state, next character)."""
+
+    def __init__(self, names):
+        known = sorted({c for name in names for c in name})
+        self.kinds = len(known) + 1
+        self.kind = np.zeros(ord(known[-1]) + 2, np.int64)  # 0: in no piece
+        self.kind[[ord(c) for c in known]] = np.arange(1, self.kinds)
+        states, steps, self.piece = {"": 0}, [], [-1]
+        for number, name in enumerate(names):
+            state = 0
+            for k, kind in enumerate(self.kind[[ord(c) for c in name]].tolist(), 1):
+                step, before = state * self.kinds + kind, len(states)
+                state = states.setdefault(name[:k], before)
+                if state == before:
+                    steps.append(step)
+                    self.piece.append(-1)
+            self.piece[state] = number
+        self.piece, steps = np.array(self.piece), np.array(steps)
+        self.shift = np.uint64(64 - (4 * len(steps)).bit_length())
+        self.step, self.to = np.full(1 << 64 - int(self.shift), -1), np.zeros(1 << 64 - int(self.shift), np.int32)
+        slots, waiting = self._slot(steps), np.arange(len(steps))
+        while len(waiting):  # those that find their slot taken try the next
+            free = waiting[self.step[slots[waiting]] < 0]
+            self.step[slots[free]] = steps[free]
+            waiting = waiting[self.step[slots[waiting]] != steps[waiting]]
+            slots[waiting] = (slots[waiting] + 1) % len(self.step)
+        self.to[slots] = np.arange(1, len(steps) + 1)
+
+    def _slot(self, steps: np.ndarray) -> np.ndarray:
+        return (steps.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def _next(self, states: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """The states after one more character; 0: none."""
+        steps = states * self.kinds + kinds
+        slots = self._slot(steps)
+        there = self.step[slots]
+        out = np.where(there == steps, self.to[slots], 0)
+        missed = np.flatnonzero((there != steps) & (there >= 0))
+        while len(missed):
+            slots[missed] = (slots[missed] + 1) % len(self.step)
+            there = self.step[slots[missed]]
+            same = there == steps[missed]
+            out[missed[same]] = self.to[slots[missed[same]]]
+            missed = missed[~same & (there >= 0)]
+        return out
+
+    def matches(self, texts: list[str]):
+        """By length: (length, begins, numbers of pieces) in the texts, which are joined by one character between."""
+        codes = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le"), np.uint32)
+        kinds = self.kind[np.minimum(codes, len(self.kind) - 1)]
+        kinds[np.cumsum([len(t) + 1 for t in texts]) - 1] = 0
+        length, begins, states = 0, np.flatnonzero(kinds), 0
+        while len(begins):
+            length += 1
+            states = self._next(states, kinds[begins + (length - 1)])
+            begins, states = begins[states > 0], states[states > 0]
+            pieces = self.piece[states]
+            yield length, begins[pieces >= 0], pieces[pieces >= 0]
+            more = kinds[begins + length] > 0
+            begins, states = begins[more], states[more]
+
+
+class Segments(dict):
+    """Numbers of segments, given at first sight; by number score, loss of the second best, and the place of the ids among those of all."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.score, self.loss = np.empty(0), np.empty(0)
+        self.begin, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids, self.n_ids = np.empty(0, np.int32), 0
+        self.done = 0  # segments from this number on wait for their values
+
+    def __missing__(self, key: str) -> int:
+        number = self[key] = len(self.names)
+        self.names.append(key)
+        return number
+
+    def put(self, numbers, score, loss, count, ids) -> None:
+        """Values of the segments of these numbers; ids one after another."""
+        for name in ("score", "loss", "begin", "count"):
+            setattr(self, name, _roomy(getattr(self, name), len(self.names)))
+        self.ids = _roomy(self.ids, self.n_ids + len(ids))
+        count = np.asarray(count, np.int64)
+        self.score[numbers], self.loss[numbers], self.count[numbers] = score, loss, count
+        self.begin[numbers] = self.n_ids + np.cumsum(count) - count
+        self.ids[self.n_ids:self.n_ids + len(ids)] = ids
+        self.n_ids += len(ids)
+
+    def ids_of(self, numbers) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of segments one after another, and where each segment's begin, with the end."""
+        return _joined(self.ids, self.begin[numbers], self.count[numbers])
+
+
+def _joined(items: np.ndarray, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of items one after another, and where each begins, with the end."""
+    ends = np.cumsum(count)
+    total = int(ends[-1]) if len(ends) else 0
+    return items[np.arange(total) + np.repeat(begin - ends + count, count)], np.concatenate([[0], ends])
+
+
+def _roomy(array: np.ndarray, size: int) -> np.ndarray:
+    """``array``, or a copy with room for ``size`` values and as many again."""
+    return array if len(array) >= size else np.concatenate([array, np.zeros(2 * size - len(array), array.dtype)])
 
 
 class Coder:
@@ -79,13 +196,15 @@ class Coder:
 
     def __init__(self, vocabulary: Vocabulary):
         import ahocorasick
-        self.v, self.seen, self.old, self.others = vocabulary, {}, {}, {}
-        self.split = re.compile(vocabulary.segment, re.S).findall
+        self.v, self.seen, self.old, self.others = vocabulary, Segments(), Segments(), {}
+        self.apart = partial(re.compile(vocabulary.outside).sub, f" {MARK}\\1 {MARK}")
         automaton = ahocorasick.Automaton()
         for name, piece in vocabulary.lattice.items():
             automaton.add_word(name, piece)
         automaton.make_automaton()
-        self.matches = automaton.iter  # all (last position, (length, id, score)) by last position
+        self.matches = automaton.iter  # all (last position, (length, id, score)) by last position, longest first
+        self.id = np.array([piece[1] for piece in vocabulary.lattice.values()], np.int32)
+        self.price = np.array([piece[2] for piece in vocabulary.lattice.values()])
 
     def a_star(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations, best first, as (score, ids)."""
@@ -124,30 +243,118 @@ class Coder:
             out += [i] if i >= 0 else [self.v.bytes[b] for b in text[-2 - i].encode()]
         return tuple(out)
 
-    def best(self, segment: str) -> tuple[tuple[int, ...], float, float]:
-        """(ids, score, loss of the second best) of a segment; no second: infinite loss."""
-        found = self.old.get(segment)
-        if found is not None:
-            self.seen[segment] = found
-            return found
-        if len(self.seen) >= CACHE:  # segments met again move on to the new half, the others go with the next change
-            self.old, self.seen = self.seen, {}
-        pairs, cuts = self.v.pairs, [0]
-        cuts += [k for k in range(1, len(segment)) if segment[k - 1:k + 1] not in pairs]
-        if len(cuts) == 1:
-            found = self._best(segment)
-        else:  # no piece crosses these places: best and loss of the parts make those of the whole
-            cuts.append(len(segment))
-            parts = [segment[i:j] for i, j in zip(cuts, cuts[1:])]
-            got = [self.seen.get(part) or self.best(part) for part in parts]
-            found = (tuple(chain.from_iterable([g[0] for g in got])), sum([g[1] for g in got]), min([g[2] for g in got]))
-        self.seen[segment] = found
-        return found
+    def _cuts(self, segment: str) -> list[int]:
+        """Where the parts of a segment begin, and its end: no piece crosses from one to the next."""
+        pairs = self.v.pairs
+        return [0, *[k for k in range(1, len(segment)) if segment[k - 1:k + 1] not in pairs], len(segment)]
+
+    def _fill(self) -> None:
+        """Values of the segments that wait for them."""
+        seen, old = self.seen, self.old
+        names, number, known, short, texts, single, cut = seen.names, seen.done, [], [], [], [], []
+        while number < len(names):  # parts of long segments join at the end
+            key = names[number]
+            text = segment_of(key)
+            if key in old:
+                known.append(number)
+            elif key == LITERAL or not text or len(text) > SHORT and len(cuts := self._cuts(text)) == 2:
+                single.append(number)
+            elif len(text) <= SHORT:
+                short.append(number)
+                texts.append(text)
+            else:
+                cut.append((number, [seen[key_of(text[i:j])] for i, j in zip(cuts, cuts[1:])]))
+            number += 1
+        seen.done = number
+        if known:
+            before = [old[names[k]] for k in known]
+            seen.put(known, old.score[before], old.loss[before], old.count[before], old.ids_of(before)[0])
+        for at in range(0, len(short), TOGETHER):
+            numbers = np.array(short[at:at + TOGETHER])
+            done, *values = self._best_of(texts[at:at + TOGETHER])
+            seen.put(numbers[done], *values)
+            single += numbers[~done].tolist()
+        values = [self._literal() if names[k] == LITERAL else self._best(segment_of(names[k])) for k in single]
+        if single:
+            seen.put(single, [v[1] for v in values], [v[2] for v in values], [len(v[0]) for v in values], list(chain.from_iterable([v[0] for v in values])))
+        for number, parts in cut:  # best and loss of the parts make those of the whole
+            ids = seen.ids_of(parts)[0]
+            seen.put([number], sum(seen.score[parts].tolist()), seen.loss[parts].min(), [len(ids)], ids)
+
+    def _best_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """_best of many segments: whether it is found here; scores, losses, counts of ids and ids of those where it is.
+
+        Not found here: what has no way through the lattice, or has one by way of byte pieces.  Segments lie longest
+        first; column p holds place p of all that have p or more characters, so an edge of a length leads from a
+        stretch of one column to the stretch as long of another.
+        """
+        low, sizes = float("-inf"), np.array([len(t) for t in texts])
+        order = np.argsort(-sizes, kind="stable")
+        sizes, n, longest = sizes[order], len(texts), int(sizes.max())
+        width = np.searchsorted(-sizes, -np.arange(longest + 1), side="right").tolist()
+        base = np.concatenate([[0], np.cumsum(width)])
+        owner = np.repeat(np.arange(n), sizes + 1)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes + 1)
+        node = base[place] + owner
+        found = list(self.v.trie.matches([texts[k] for k in order]))
+        top = len(found)
+        price, pieces = np.full((top, base[-1]), low), np.zeros((top, base[-1]), np.int32)
+        any_edge = np.zeros((longest + 1, top + 1), bool)  # by place and length
+        for length, first, piece in found:
+            price[length - 1, node[first]], pieces[length - 1, node[first]] = self.price[piece], piece
+            any_edge[place[first], length] = True
+        any_edge, begins = any_edge.tolist(), base.tolist()
+        forward, came = np.full(base[-1], low), np.zeros(base[-1], np.int8 if top < 128 else np.int64)
+        forward[:n] = 0.0
+        for p in range(1, longest + 1):
+            w, here = width[p], begins[p]
+            best, by = forward[here:here + w], came[here:here + w]
+            for length in range(min(p, top), 0, -1):  # of equal ones the longest last piece
+                if any_edge[p - length][length]:
+                    b = begins[p - length]
+                    total = forward[b:b + w] + price[length - 1, b:b + w]
+                    more = total > best
+                    np.copyto(best, total, where=more)
+                    np.copyto(by, length, where=more)
+        end = base[sizes] + np.arange(n)
+        on, walk, at = np.zeros_like(came), np.flatnonzero(forward[end] > low), sizes
+        at = at[walk]
+        while len(walk):
+            length = came[base[at] + walk]
+            at = at - length
+            on[base[at] + walk] = length
+            walk, at = walk[at > 0], at[at > 0]
+        # a second segmentation leaves the best path by some piece: the best of those through it
+        back, second = np.full(base[-1], low), np.full(n, low)
+        back[end] = 0.0
+        for p in range(longest - 1, -1, -1):
+            b = begins[p]
+            for length in range(1, min(top, longest - p) + 1):
+                if any_edge[p][length]:
+                    w, e = width[p + length], begins[p + length]
+                    through = back[e:e + w] + price[length - 1, b:b + w]
+                    np.maximum(back[b:b + w], through, out=back[b:b + w])
+                    through += forward[b:b + w]
+                    through[on[b:b + w] == length] = low
+                    np.maximum(second[:w], through, out=second[:w])
+        node = np.flatnonzero(on)
+        who = order[node - base[np.searchsorted(base, node, side="right") - 1]]
+        turn = np.argsort(who, kind="stable")
+        who, ids = who[turn], self.id[pieces[on[node].astype(np.int64) - 1, node]][turn]
+        done = np.ones(n, bool)
+        done[order[forward[end] == low]] = False
+        done[who[ids < 0]] = False
+        score, loss = np.empty(n), np.empty(n)
+        with np.errstate(invalid="ignore"):
+            score[order], loss[order] = forward[end], forward[end] - second
+        return done, score[done], loss[done], np.bincount(who, minlength=n)[done], ids[done[who]]
 
     def _best(self, text: str) -> tuple[tuple[int, ...], float, float]:
         size, low = len(text), float("-inf")
         forward, came = [0.0] + [low] * size, [None] * (size + 1)
         edges = list(self.matches(text))
+        if not text:
+            return (), 0.0, float("inf")
         if not edges:  # one unknown character
             return self._bytes(text, (-2,)), self.v.unknown, float("inf")
         for edge in edges:
@@ -175,41 +382,55 @@ class Coder:
                 second = forward[start] + through
         return self._bytes(text, ids), forward[size], forward[size] - second
 
-    def segments(self, text: str) -> list[str]:
-        """Segments of a text; a literal mark, which must not look like a space, is None."""
-        if not text:
-            return []
-        if MARK not in text:
-            return self.split(MARK + text.replace(" ", MARK))
-        out: list = []
-        for k, part in enumerate(text.split(MARK)):
-            lead = MARK if k == 0 else ""
-            out += ([None] if k else []) + self.split(lead + part.replace(" ", MARK))
-        return out
-
     def _literal(self) -> tuple[tuple[int, ...], float, float]:
         return tuple(self.v.bytes[b] for b in MARK.encode()), self.v.unknown, float("inf")
 
-    def ways(self, text: str, n: int) -> tuple[list[int], list[tuple[float, tuple]]]:
-        """Ids of the best segmentation, and the n best, best first, as (score, changes): (begin, end, ids) put in place of the best's ids begin ... end."""
-        segments, seen, best = self.segments(text), self.seen.get, self.best
-        found = [seen(s) or (best(s) if s is not None else self._literal()) for s in segments]
-        score = sum([f[1] for f in found])
-        ids = list(chain.from_iterable([f[0] for f in found]))
-        if n == 1 or not found:
-            return ids, [(score, ())]
-        losses = np.array([f[2] for f in found])
+    def segments(self, text: str) -> list[str]:
+        """Segments of a text by their keys: what follows the first space mark, further ones written as spaces; those without space marks after a mark."""
+        if not text:
+            return []
+        apart = self.apart(text)
+        if text[0] == " " or "  " in text:
+            return [key[1:] for key in SPACED.findall(" " + apart)]
+        return apart.split(" ")
+
+    def coded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the best segmentations one after another, where each text's begin, with the end; the same of the segments' numbers."""
+        if len(self.seen) >= CACHE or self.seen.n_ids >= 16 * CACHE:  # segments met again move on to the new half, the others go with the next change
+            self.old, self.seen = self.seen, Segments()
+        number, numbers, cuts = self.seen.__getitem__, [], [0]
+        for text in texts:
+            numbers.append(np.fromiter(map(number, self.segments(text)), np.int64))
+            cuts.append(cuts[-1] + len(numbers[-1]))
+        self._fill()
+        numbers = np.concatenate(numbers) if numbers else np.empty(0, np.int64)
+        ids, begins = self.seen.ids_of(numbers)
+        return ids, begins[cuts], numbers, np.array(cuts)
+
+    def best_ways(self, numbers: np.ndarray, n: int) -> list[tuple[float, tuple]]:
+        """The n best segmentations of a text of these segments, as ways() gives them."""
+        seen = self.seen
+        score = sum(seen.score[numbers].tolist())
+        if n == 1 or not len(numbers):
+            return [(score, ())]
+        losses = seen.loss[numbers]
         rows = np.argsort(losses, kind="stable")[:n - 1] if len(losses) < 64 else np.flatnonzero(losses <= np.partition(losses, n - 2)[n - 2])
-        rows = sorted(sorted(rows, key=lambda k: (losses[k], k))[:n - 1])
-        begins = list(accumulate([len(f[0]) for f in found], initial=0))
+        loss_of = dict(zip(rows.tolist(), losses[rows].tolist()))
+        rows = sorted(sorted(loss_of, key=lambda k: (loss_of[k], k))[:n - 1])
+        ends = np.cumsum(seen.count[numbers])
         # (loss, changes): combine the alternatives of the segments that may differ
         out: list = [(0.0, ())]
         for k in rows:
-            if losses[k] == float("inf"):
+            if loss_of[k] == float("inf"):
                 continue
-            others = self.a_star(segments[k], n)
-            out = heapq.nsmallest(n, [(loss + others[0][0] - s, changes + (((begins[k], begins[k + 1], other),) if rank else ())) for loss, changes in out for rank, (s, other) in enumerate(others)], key=lambda w: w[0])
-        return ids, [(score - loss, changes) for loss, changes in out]
+            others, begin, end = self.a_star(segment_of(seen.names[numbers[k]]), n), int(ends[k - 1]) if k else 0, int(ends[k])
+            out = sorted([(loss + others[0][0] - s, changes + (((begin, end, other),) if rank else ())) for loss, changes in out for rank, (s, other) in enumerate(others)], key=itemgetter(0))[:n]
+        return [(score - loss, changes) for loss, changes in out]
+
+    def ways(self, text: str, n: int) -> tuple[list[int], list[tuple[float, tuple]]]:
+        """Ids of the best segmentation, and the n best, best first, as (score, changes): (begin, end, ids) put in place of the best's ids begin ... end."""
+        ids, _, numbers, _ = self.coded([text])
+        return ids.tolist(), self.best_ways(numbers, n)
 
     def n_best(self, text: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a text, best first, as (score, ids)."""
@@ -218,14 +439,22 @@ class Coder:
 
     def decode(self, ids) -> str:
         """The text of a sequence of pieces; byte pieces in a row are UTF-8."""
-        text = "".join(map(self.v.says.__getitem__, ids))
-        if text[:1] == " ":
-            text = text[1:]
-        try:
-            text.encode()
-        except UnicodeEncodeError:
-            text = text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
-        return text
+        return self.decoded(np.asarray(ids, np.int64), [0, len(ids)])[0]
+
+    def decoded(self, ids: np.ndarray, ends) -> list[str]:
+        """The texts of sequences of pieces one after another; ends tells where each begins, with the end."""
+        said, places = _joined(self.v.says, self.v.says_begin[ids], self.v.says_count[ids])
+        said, places = said.tobytes(), places[ends].tolist()
+        return [said[i + (said[i:i + 1] == b" " and i < j):j].decode("utf-8", "replace") for i, j in zip(places, places[1:])]
+
+
+def segment_of(key: str) -> str:
+    """The segment with its space marks."""
+    return key[1:] if key[:1] == MARK else MARK + key.replace(" ", MARK)
+
+
+def key_of(segment: str) -> str:
+    return segment[1:].replace(MARK, " ") if segment[0] == MARK else MARK + segment
 
 
 def changed(ids, changes) -> list[int]:
@@ -238,8 +467,22 @@ def changed(ids, changes) -> list[int]:
     return out + list(ids[at:])
 
 
-def _coder(model) -> "Coder":
-    return Coder(model())
+def _coder(model) -> Coder:
+    """The worker's coder: what it has seen stays between tasks."""
+    vocabulary = model()
+    if vocabulary.coder is None:
+        vocabulary.coder = Coder(vocabulary)
+    return vocabulary.coder
+
+
+def _runs(batch: pa.RecordBatch, texts: int):
+    """Slices of a batch for a run each; ``texts`` is the place of the text column."""
+    begin = size = 0
+    for row, length in enumerate(pc.binary_length(batch.column(texts)).to_pylist(), 1):
+        size += length or 0
+        if row - begin == RUN_ROWS or size >= RUN_BYTES or row == batch.num_rows:
+            yield batch.slice(begin, row - begin)
+            begin, size = row, 0
 
 
 def encode(docs: DataFrame, model_file: str, n: int = N_BEST) -> DataFrame:
@@ -250,11 +493,11 @@ def encode(docs: DataFrame, model_file: str, n: int = N_BEST) -> DataFrame:
     def run(batches):
         coder = _coder(model)
         for batch in batches:
-            column = batch.column(1)
-            for begin in range(0, batch.num_rows, 64):
-                texts = column.slice(begin, 64).to_pylist()
-                ways = [coder.n_best(t or "", n) for t in texts]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, 64), column.slice(begin, 64), pa.array([w[0][1] for w in ways], pa.list_(pa.int32())), pa.array([[s for s, _ in w] for w in ways], pa.list_(pa.float64())), pa.array([[i for _, i in w[1:]] for w in ways], pa.list_(pa.list_(pa.int32())))], ["doc_id", "text", "ids", "scores", "nbest"])
+            for part in _runs(batch, 1):
+                ids, ends, numbers, cuts = coder.coded([t or "" for t in part.column(1).to_pylist()])
+                ways = [coder.best_ways(numbers[i:j], n) for i, j in zip(cuts, cuts[1:])]
+                others = [[changed(ids[i:j].tolist(), c) for _, c in w[1:]] for w, i, j in zip(ways, ends, ends[1:])]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)), pa.array([[s for s, _ in w] for w in ways], pa.list_(pa.float64())), pa.array(others, pa.list_(pa.list_(pa.int32())))], ["doc_id", "text", "ids", "scores", "nbest"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, text string, ids array<int>, scores array<double>, nbest array<array<int>>")
@@ -295,14 +538,14 @@ def corpus(docs: DataFrame, model_file: str, n: int = N_BEST) -> DataFrame:
     def run(batches):
         coder = _coder(model)
         for batch in batches:
-            for begin in range(0, batch.num_rows, 128):
-                part = batch.slice(begin, 128)
+            for part in _runs(batch, 0):
                 texts = [t or "" for t in part.column(0).to_pylist()]
-                found = [coder.ways(t, n) for t in texts]
-                alternatives = [[{"score": s, "changes": [{"begin": b, "end": e, "ids": i} for b, e, i in c]} for s, c in ways[1:]] for _, ways in found]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([len(ids) for ids, _ in found], pa.int64()), pa.array([ways[0][0] for _, ways in found], pa.float64()),
-                                                  pa.array([ids for ids, _ in found], pa.list_(pa.int32())), pa.array(alternatives, _ALTERNATIVES),
-                                                  pa.array([coder.decode(ids) == t for t, (ids, _) in zip(texts, found)], pa.bool_())], [*rest, *names])
+                ids, ends, numbers, cuts = coder.coded(texts)
+                found = [coder.best_ways(numbers[i:j], n) for i, j in zip(cuts, cuts[1:])]
+                alternatives = [[{"score": s, "changes": [{"begin": b, "end": e, "ids": i} for b, e, i in c]} for s, c in ways[1:]] for ways in found]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(np.diff(ends), pa.int64()), pa.array([ways[0][0] for ways in found], pa.float64()),
+                                                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)), pa.array(alternatives, _ALTERNATIVES),
+                                                  pa.array([said == t for said, t in zip(coder.decoded(ids, ends), texts)], pa.bool_())], [*rest, *names])
 
     rows = docs.select("text", *[F.col(f"`{c}`") for c in rest])
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[1:])

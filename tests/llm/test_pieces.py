@@ -72,6 +72,84 @@ def test_alternatives_are_the_n_best(coder):
             assert all(0 <= b < e <= len(ids) for b, e, _ in changes) and list(changes) == sorted(changes)
 
 
+def plainly(coder, text):
+    """Segments of a text one after another; a literal mark is None."""
+    known = {c for name in coder.v.lattice for c in name} - {P.MARK}
+    out, marks, open_ = [], P.MARK, False
+    for c in text if text else ():
+        if c == " ":
+            marks, open_ = marks + P.MARK, False
+            continue
+        if c in known and open_:
+            out[-1] += c
+        elif c in known:
+            out.append(marks + c)
+        else:
+            out += ([marks] if marks else []) + [None if c == P.MARK else c]
+        marks, open_ = "", c in known
+    return out + ([marks] if marks and text else [])
+
+
+def odd_texts(seed, count):
+    rng = random.Random(seed)
+    return ["".join(rng.choice([" ", " ", "\n", "▁", "a", "the", "ing", "é", "中", "ㅅ", "\0", "\U0001F600"]) for _ in range(rng.randint(0, 30))) for _ in range(count)]
+
+
+def test_short_segments_are_passed_over_together(coder, monkeypatch):
+    """No pass of its own for a new short segment, and the same ids, score and loss as by one."""
+    fresh, alone = P.Coder(coder.v), []
+    monkeypatch.setattr(fresh, "_best", lambda text: alone.append(text) or coder._best(text))
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("abcdeinghé") for _ in range(rng.randint(1, 30))) for _ in range(50)) for _ in range(20)]
+    for text in texts:
+        ids, ways = fresh.ways(text, 4)
+        best = [coder._best(P.MARK + word) for word in text.split(" ")]
+        assert ids == [i for b in best for i in b[0]] and ways[0][0] == sum(b[1] for b in best)
+        assert ways[0][0] - ways[1][0] == min(b[2] for b in best)
+    assert alone == []
+
+
+def test_runs_of_texts_have_the_ids_of_their_segments(coder, monkeypatch):
+    """Whatever the run, the cache and the number of segments passed over together."""
+    monkeypatch.setattr(P, "CACHE", 40)
+    monkeypatch.setattr(P, "TOGETHER", 7)
+    monkeypatch.setattr(P, "SHORT", 6)
+    fresh, texts = P.Coder(coder.v), TEXTS + odd_texts(6, 300) + ["", "a\n b", "a \nb", "  \n  ▁ ", "a" * 500 + "中" * 50]
+    for begin in range(0, len(texts), 10):
+        run = texts[begin:begin + 10]
+        ids, ends, numbers, cuts = fresh.coded(run)
+        assert fresh.decoded(ids, ends) == run
+        for k, text in enumerate(run):
+            best = [coder._literal() if s is None else coder._best(s) for s in plainly(coder, text)]
+            assert ids[ends[k]:ends[k + 1]].tolist() == [i for b in best for i in b[0]], text
+            ways = fresh.best_ways(numbers[cuts[k]:cuts[k + 1]], 2)
+            assert [ways[0][0] - score for score, _ in ways[1:]] == [x for x in [min((b[2] for b in best), default=float("inf"))] if x < float("inf")]
+    assert fresh.coded([])[0].tolist() == []
+
+
+def test_a_known_character_without_a_piece(coder, monkeypatch):
+    """Its bytes stand for it, in a run as alone."""
+    vocabulary = P.Vocabulary(MODEL_FILE)
+    vocabulary.lattice["é"] = (1, -1, vocabulary.unknown)
+    fresh = P.Coder(vocabulary)
+    ids, ways = fresh.ways("xéx é", 3)
+    assert (tuple(ids), ways[0][0]) == (fresh._best("▁xéx")[0] + fresh._best("▁é")[0], fresh._best("▁xéx")[1] + fresh._best("▁é")[1])
+    assert all(fresh.decode(i) == "xéx é" for _, i in fresh.n_best("xéx é", 3))
+
+
+def test_decode_of_any_ids(coder):
+    b = coder.v.bytes
+    assert coder.decode([]) == "" and coder.decode([b[0xC3], b[0xA9], b[0x20]]) == "é " and coder.decode([b[0x20], b[0xE4], b[0x61]]) == "\ufffda"
+
+
+def test_runs_are_bounded(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(P, "RUN_ROWS", 3)
+    monkeypatch.setattr(P, "RUN_BYTES", 10)
+    batch = pa.RecordBatch.from_pydict({"text": ["a", None, "b", "c", "x" * 30, "d", "e"]})
+    assert [r.num_rows for r in P._runs(batch, 0)] == [3, 2, 2] and list(P._runs(batch.slice(0, 0), 0)) == []
+
+
 def test_frames(spark, odd, nothing):
     encoded = P.encode(odd, MODEL_FILE, 3)
     back = P.decode(encoded, MODEL_FILE)
