@@ -42,13 +42,13 @@ from .frames import free_name, prepared, sent
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE = 400_000
+CACHE = 50_000  # a worker holds two halves of so many segments between tasks; more of them save little time for their memory
 N_BEST = 4
 LITERAL = MARK + MARK  # key of a mark that a text itself holds
 SPACED = re.compile(f" {MARK}[^ ]*| +(?= {MARK})| +[^ ]*")
 SHORT = 32  # characters of a segment that is passed over together with others
 TOGETHER = 4096  # segments passed over together
-RUN_ROWS, RUN_BYTES = 256, 1 << 20  # texts whose new segments are gathered; the one that reaches the bytes is the last
+RUN_ROWS, RUN_BYTES = 128, 1 << 18  # texts whose new segments are gathered; the one that reaches the bytes is the last
 
 
 class Vocabulary:
